@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from widetab.functions.rng import normal
+from widetab.functions.vectors import array_literal
 from widetab.operators.layout import columns_by_type, to_long
 
 LARGEST = sys.float_info.max
@@ -203,6 +205,28 @@ def variance_cut(threshold: float) -> float:
     return threshold * (1 - threshold)
 
 
+def constant_features(moments: DataFrame) -> list[int]:
+    """Features without variance; the list is no longer than the table is wide."""
+    return sorted(r["feature_idx"] for r in moments.filter(F.col("var_pop") == 0).select("feature_idx").collect())
+
+
+def break_constant(df: DataFrame, eps: float = 1e-6, seed: int = 0, part: str | None = None) -> DataFrame:
+    """Add N(0, eps) noise to features without variance, so that later stages do not drop them.
+
+    With a ``part`` column only the ``train`` rows are looked at and changed.
+    """
+    train = df if part is None else df.filter(F.col(part) == "train")
+    flagged = constant_features(feature_moments(train))
+    if not flagged:
+        return df
+    is_flagged = lambda i: F.array_contains(array_literal(flagged, "int"), i)
+    noise = lambda i: normal(seed, F.col("row_id"), i) * F.lit(float(eps))
+    changed = F.transform("features", lambda v, i: F.when(is_flagged(i), v + noise(i)).otherwise(v))
+    if part is not None:
+        changed = F.when(F.col(part) == "train", changed).otherwise(F.col("features"))
+    return df.withColumn("features", changed)
+
+
 # --- task type ----------------------------------------------------------------------------------
 
 MULTICLASS_LIMIT = 20
