@@ -65,19 +65,19 @@ def _unquote(field: Column) -> Column:
     return F.when(inner != "", F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.when(F.trim(field) == '""', "").otherwise(field))
 
 
+def whole_files(spark: SparkSession, root: str, pattern: str, recursive: bool) -> DataFrame:
+    """``(path, value)``: one row per small text file."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def scan_rows(spark: SparkSession, root: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
     """``(path, file, fields MAP<STRING,STRING>)``: every data row of every CSV file below ``root``.
 
     Files may have different headers, which a multi-file CSV read does not support: it takes the first
     header for all. A result file has one row per fold, so it is read as one value and split in place.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", recursive)
-        .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    files = whole_files(spark, root, pattern, recursive)
     lines = F.filter(F.split("value", r"\r?\n"), lambda l: F.trim(l) != "")
     table = files.select("path", text.base_name(F.col("path")).alias("file"), lines.alias("lines"))
     header = F.transform(F.split(F.get("lines", F.lit(0)), FIELD_SEPARATOR), lambda f: F.trim(_unquote(f)))
@@ -110,13 +110,9 @@ def load_results(spark: SparkSession, root: str, requested_columns: Sequence[str
     )
 
 
-def read_config_files(spark: SparkSession, root: str, pattern: str = "*_config.yaml") -> DataFrame:
+def read_config_files(spark: SparkSession, root: str, pattern: str = "*_config.yaml", recursive: bool = True) -> DataFrame:
     """``(path, file, line_no, key, kind, ..., indent)`` for the ``key: value`` lines of config files."""
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    files = whole_files(spark, root, pattern, recursive)
     lines = files.select("path", text.base_name(F.col("path")).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
     return text.parse_key_values(lines).drop("value")
 
@@ -151,7 +147,7 @@ def load_width_study(spark: SparkSession, root: str, pattern: str = "*_results.c
     whether it was used or why it was skipped.
     """
     rows = scan_rows(spark, root, pattern, recursive=False)
-    configs = config_value(read_config_files(spark, root), "num_features")
+    configs = config_value(read_config_files(spark, root, recursive=False), "num_features")
     score = F.try_element_at("fields", F.lit(metric)).try_cast("double")
     scored = rows.withColumn("_score", F.when(~F.isnan(score), score)).withColumn("_has", F.array_contains("header", metric))
     per_file = scored.groupBy("file").agg(F.max("_has").alias("has_metric"), F.count("_score").alias("n_valid"))
