@@ -17,6 +17,7 @@ from widetab.plans import experiment, report
 from widetab.plans.prepare import prepare
 from widetab.sources import results as result_files
 from widetab.sources import tables
+from widetab.session import cut_lineage
 
 QUERIES = {}
 ALL_STATS = 16  # target width used with the 64-wide table
@@ -45,7 +46,10 @@ def wide_regression(spark, folder) -> DataFrame:
 
 
 def wide_binary(spark, folder) -> DataFrame:
-    """Labelled documents as a mixed table: counts of the whole text, language and source."""
+    """Labelled documents as a mixed table: counts of the whole text, language and source.
+
+    Fits read a table several times, so they take it from a checkpoint instead of parsing texts again.
+    """
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     body = F.col("text")
     counts = docs.select(
@@ -58,7 +62,7 @@ def wide_binary(spark, folder) -> DataFrame:
 
 
 def encoded_binary(spark, folder) -> DataFrame:
-    table = wide_binary(spark, folder)
+    table = cut_lineage(wide_binary(spark, folder))
     return encode.ColumnEncoder().fit(table).transform(table)
 
 
@@ -608,7 +612,7 @@ def gbt_oof(spark, folder):
 @query
 def prepared_parts(spark, folder):
     """Impute, encode and narrow one split of the mixed table."""
-    table = split.holdout(wide_binary(spark, folder), 0.3, 47, "label")
+    table = split.holdout(cut_lineage(wide_binary(spark, folder)), 0.3, 47, "label")
     train, test = (table.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
     prepared = prepare(train, test, "binary", reducer=make_reducer("kbest_fs", num_features=4, task_type="binary"))
     marked = prepared.train.withColumn("part", F.lit("train")).unionByName(prepared.test.withColumn("part", F.lit("test")))
@@ -621,7 +625,7 @@ def experiment_run(spark, folder):
         "documents", model="linear", methods=("original", "kbest_fs", "pca_dr"), task_type="binary",
         num_features=3, num_repeats=1, num_folds=1, num_k_folds=3, save_time=False,
     )
-    found, _ = experiment.run(wide_binary(spark, folder), exp)
+    found, _ = experiment.run(cut_lineage(wide_binary(spark, folder)), exp)
     return found.select("dataset_name", "model", "method", "repeat", "fold", "seed", "metric", F.round("score", 4).alias("score"), F.round("val_score", 4).alias("val_score"))
 
 

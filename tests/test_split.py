@@ -88,15 +88,27 @@ def test_many_folds_use_ranks(spark):
 def test_ranks_are_exact_for_any_bucket_count(spark, bits):
     df = labelled(spark, {"a": 200, "b": 3})
     rows = df.select(F.col("label").alias("g"), split.hash52(1, F.col("row_id")).alias("key"), F.col("row_id").alias("tie"))
-    found = ranks.ranked(rows, bits).toPandas()
+    counted = ranks.Counted(rows, bits)
+    found = counted.ranked().toPandas()
     expected = found.sort_values(["key", "tie"]).groupby("g").cumcount() + 1
     assert (found["rank"] == expected.reindex(found.index)).all()
-    cuts = ranks.cutoffs(rows, {"a": [1, 100, 200], "b": [2]}, bits)
+    cuts = counted.cutoffs({"a": [1, 100, 200], "b": [2]})
     for (g, r), (key, tie) in cuts.items():
         row = found[(found["g"] == g) & (found["rank"] == r)].iloc[0]
         assert (row["key"], row["tie"]) == (key, tie)
 
 
+def test_large_groups_are_counted_again_with_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FIRST_BITS", 2)
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
+    df = labelled(spark, {"a": 300, "b": 3})
+    rows = df.select(F.col("label").alias("g"), split.hash52(1, F.col("row_id")).alias("key"), F.col("row_id").alias("tie"))
+    counted = ranks.Counted(rows)
+    assert counted.bits == 5 and counted.sizes == {"a": 300, "b": 3}
+    assert counted.counts.agg(F.max("n")).first()[0] < 40
+    assert sorted(r["rank"] for r in counted.ranked().filter("g = 'a'").collect()) == list(range(1, 301))
+
+
 @pytest.mark.parametrize("per_bucket", [1, 3, 1000])
 def test_running_totals(spark, per_bucket):
     rng = np.random.default_rng(0)

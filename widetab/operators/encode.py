@@ -7,6 +7,7 @@ seen there gets the most frequent code, as a missing value would.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
@@ -111,10 +112,17 @@ def column_fingerprints(df: DataFrame, columns: Sequence[str], row_id: str, dtyp
     )
 
 
-def duplicate_columns(df: DataFrame, columns: Sequence[str], row_id: str) -> dict[str, str]:
-    """``{column: earlier equal column}``. Equal fingerprints are candidates; a scan confirms them."""
+def duplicate_columns(df: DataFrame, columns: Sequence[str], row_id: str, summaries: dict | None = None) -> dict[str, str]:
+    """``{column: earlier equal column}``.
+
+    Columns with equal ``summaries`` (anything already known that equal columns share) get fingerprints;
+    equal fingerprints are candidates, and a last scan of those pairs confirms them.
+    """
     order = {c: i for i, c in enumerate(columns)}
     numeric = set(columns_by_type(df, "number")) | set(columns_by_type(df, "boolean"))
+    if summaries is not None:
+        shared = Counter(summaries[c] for c in columns)
+        columns = [c for c in columns if shared[summaries[c]] > 1]
     pairs = []
     for dtype, group in (
         ("double", [c for c in columns if c in numeric]),
@@ -149,16 +157,20 @@ class ColumnEncoder(Estimator):
         dates = [c for c in columns if c in set(columns_by_type(df, "datetime"))]
         numbers = [c for c in columns if c in set(columns_by_type(df, "number") + columns_by_type(df, "boolean"))]
         strings = [c for c in columns if c in set(columns_by_type(df, "string"))]
-        pairs = self._number_ranges(df, numbers + dates)
+        ranges = self._number_ranges(df, numbers + dates)
         counts = category_counts(df, strings).persist() if strings else None
-        distinct = {} if counts is None else {
-            r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()
+        categories = {} if counts is None else {
+            r["column"]: (r["k"], r["n"])
+            for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()
         }
-        constant = [c for c in numbers + dates if pairs[c][0] is None or pairs[c][0] == pairs[c][1]]
+        distinct = {c: k for c, (k, _) in categories.items()}
+        constant = [c for c in numbers + dates if ranges[c]["lo"] == ranges[c]["hi"]]
         constant += [c for c in strings if distinct.get(c, 0) <= 1]
         live = [c for c in columns if c not in set(constant)]
-        duplicates = duplicate_columns(df, live, self.row_id)
+        summaries = {c: ("text", *categories[c]) if c in categories else ("number", c in dates, *ranges[c].values()) for c in live}
+        duplicates = duplicate_columns(df, live, self.row_id, summaries)
         live = [c for c in live if c not in duplicates]
+        binary = self._two_valued(df, ranges, [c for c in numbers if c in live])
         short = [c for c in strings if c in live and distinct[c] <= LITERAL_CODES]
         long = [c for c in strings if c in live and distinct[c] > LITERAL_CODES]
         literal: dict[str, list[str]] = {c: [] for c in short}
@@ -178,33 +190,42 @@ class ColumnEncoder(Estimator):
             tables = {c: coded.filter(F.col("column") == c).select("value", "code") for c in long}
         if counts is not None:
             counts.unpersist()
-        binary = {c: pairs[c][:2] for c in numbers if c in live and pairs[c][2]}
         return ColumnEncoderModel(
             self.label, self.row_id, self.keep, live, set(dates), binary, literal, tables, modes, constant, duplicates
         )
 
     @staticmethod
-    def _number_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
-        """``{column: (min, max, has exactly two values)}`` in one long-form pass."""
+    def _number_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+        """``{column: {n, lo, hi, mean, var}}`` of numbers and timestamps in one long-form pass."""
         if not columns:
             return {}
         dates = set(columns_by_type(df, "datetime"))
         cell = lambda c: F.struct(F.lit(c).alias("column"), _as_number(c, c in dates, df).alias("value"))
         cells = df.select(F.inline(F.array(*[cell(c) for c in columns])))
-        ends = cells.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        rows = {r["column"]: (r["lo"], r["hi"]) for r in ends.collect()}
-        inner = lambda c: _as_number(c, c in dates, df).isNotNull() & ~_as_number(c, c in dates, df).isin(
-            *[v for v in rows[c] if v is not None]
+        ends = cells.groupBy("column").agg(
+            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+            F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
         )
-        open_columns = [c for c in columns if rows.get(c, (None,))[0] is not None]
-        between = {}
-        if open_columns:
-            flag = lambda c: F.struct(F.lit(c).alias("column"), inner(c).cast("int").alias("m"))
-            marks = df.select(F.inline(F.array(*[flag(c) for c in open_columns]))).groupBy("column").agg(F.max("m").alias("m"))
-            between = {r["column"]: r["m"] for r in marks.collect()}
-        return {
-            c: (*rows.get(c, (None, None)), between.get(c) == 0 and rows[c][0] != rows[c][1]) for c in columns
-        }
+        return {r["column"]: {k: r[k] for k in ("n", "lo", "hi", "mean", "var")} for r in ends.collect()}
+
+    @staticmethod
+    def _two_valued(df: DataFrame, ranges: dict[str, dict], columns: Sequence[str]) -> dict[str, tuple]:
+        """``{column: (low, high)}`` for columns with exactly two values.
+
+        The variance is at most ``(mean - low)(high - mean)``, with equality exactly when all values are at
+        the two ends. That singles out candidates without a pass; only those are looked at again.
+        """
+        def candidate(r: dict) -> bool:
+            bound = (r["mean"] - r["lo"]) * (r["hi"] - r["mean"])
+            return abs(bound - r["var"]) <= 1e-6 * (r["hi"] - r["lo"]) ** 2
+
+        likely = [c for c in columns if candidate(ranges[c])]
+        if not likely:
+            return {}
+        inner = lambda c: ~_as_number(c, False, df).isin(ranges[c]["lo"], ranges[c]["hi"])
+        flag = lambda c: F.struct(F.lit(c).alias("column"), F.coalesce(inner(c), F.lit(False)).cast("int").alias("m"))
+        marks = df.select(F.inline(F.array(*[flag(c) for c in likely]))).groupBy("column").agg(F.max("m").alias("m"))
+        return {r["column"]: (ranges[r["column"]]["lo"], ranges[r["column"]]["hi"]) for r in marks.collect() if not r["m"]}
 
 
 def _as_number(name: str, is_date: bool, df: DataFrame) -> Column:

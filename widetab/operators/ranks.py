@@ -8,6 +8,7 @@ map-side combined aggregate, and only (group, bucket) pieces are ever sorted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 
 from widetab.functions.rng import HASH_BITS
 
-BUCKET_BITS = 16
+FIRST_BITS = 12
+MAX_BITS = 24
+ROWS_PER_BUCKET = 1_000_000
+MAX_GROUPS = 100_000
 MAX_CUTOFFS = 100_000
 
 
@@ -23,78 +27,81 @@ def _bucket(key: Column, bits: int) -> Column:
     return F.shiftright(key, HASH_BITS - bits).cast("int")
 
 
-def bucket_counts(rows: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
     """``(g, bucket, n, before)`` from ``(g, key, tie)``: bucket sizes and the rows of the group ahead."""
     counts = rows.groupBy("g", _bucket(F.col("key"), bits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("bigint"))
 
 
-def ranked(rows: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
-    """Add ``rank`` (from 1) of every row in its group by ``(key, tie)``.
+class Counted:
+    """Bucket counts of ``(g, key, tie)`` rows, kept for the steps that follow, and the group sizes.
 
-    The bucket offsets and the rows meet on ``(g, bucket)``, which is also how the rows are sorted, so
-    they share one shuffle of the key columns.
+    The first count uses few buckets. Only when a group is so large that such a bucket is too much for
+    one task are the rows counted again with more of them. Groups are classes or chunks of a target, so
+    their number is limited.
     """
-    rows = rows.withColumn("bucket", _bucket(F.col("key"), bits))
-    offsets = bucket_counts(rows, bits).select(
-        F.col("g").alias("_g"), F.col("bucket").alias("_bucket"), "before"
-    )
-    inside = Window.partitionBy("g", "bucket").orderBy("key", "tie")
-    placed = rows.withColumn("_rn", F.row_number().over(inside))
-    joined = placed.join(offsets, (placed["g"] == offsets["_g"]) & (placed["bucket"] == offsets["_bucket"]))
-    return joined.withColumn("rank", (F.col("before") + F.col("_rn")).cast("bigint")).drop(
-        "_g", "_bucket", "_rn", "bucket", "before"
-    )
-
-
-def group_sizes(rows: DataFrame, limit: int = MAX_CUTOFFS) -> dict:
-    """Rows per group, for a number of groups that must be small (classes, not entities)."""
-    found = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} groups")
-    sizes = {r["g"]: r["n"] for r in found}
-    if None in sizes:
-        raise ValueError(f"{sizes[None]} rows have no class; drop or fill missing targets first")
-    return sizes
-
 
-def cutoffs(rows: DataFrame, wanted: Mapping[object, Sequence[int]], bits: int = BUCKET_BITS) -> dict:
-    """``{(group, rank): (key, tie)}`` of the rows at the wanted ranks.
-
-    One counting pass finds the bucket of each rank; a second pass sorts only those buckets.
-    """
-    pairs = [(g, int(r)) for g, ranks in wanted.items() for r in ranks]
-    if not pairs:
-        return {}
-    if len(pairs) > MAX_CUTOFFS:
-        raise ValueError(f"more than {MAX_CUTOFFS} cut-offs; use ranked() instead")
-    spark = rows.sparkSession
-    rows = rows.withColumn("bucket", _bucket(F.col("key"), bits))
-    schema = f"_g {rows.schema['g'].dataType.simpleString()}, wanted bigint"
-    targets = F.broadcast(spark.createDataFrame(pairs, schema))
-    counts = bucket_counts(rows, bits)
-    inside = (F.col("wanted") > F.col("before")) & (F.col("wanted") <= F.col("before") + F.col("n"))
-    located = (
-        counts.join(targets, (counts["g"] == targets["_g"]) & inside)
-        .select("_g", F.col("bucket").alias("_bucket"), "wanted", (F.col("wanted") - F.col("before")).alias("local"))
-        .collect()
-    )
-    plan = spark.createDataFrame(
-        [tuple(r) for r in located], f"{schema.split(',')[0]}, _bucket int, wanted bigint, local bigint"
-    )
-    edges = F.broadcast(plan.select("_g", "_bucket").distinct())
-    edge_rows = rows.join(edges, (rows["g"] == edges["_g"]) & (rows["bucket"] == edges["_bucket"]), "left_semi")
-    order = Window.partitionBy("g", "bucket").orderBy("key", "tie")
-    numbered = edge_rows.withColumn("_rn", F.row_number().over(order))
-    wanted_rows = F.broadcast(plan)
-    hits = numbered.join(
-        wanted_rows,
-        (numbered["g"] == wanted_rows["_g"])
-        & (numbered["bucket"] == wanted_rows["_bucket"])
-        & (numbered["_rn"] == wanted_rows["local"]),
-    ).select("g", "wanted", "key", "tie")
-    return {(r["g"], r["wanted"]): (r["key"], r["tie"]) for r in hits.collect()}
+    def __init__(self, rows: DataFrame, bits: int | None = None):
+        self.rows, self.bits = rows, bits or FIRST_BITS
+        self.counts = bucket_counts(rows, self.bits).persist()
+        found = self.counts.groupBy("g").agg(F.sum("n").alias("n")).limit(MAX_GROUPS + 1).collect()
+        if len(found) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups")
+        self.sizes: dict = {r["g"]: r["n"] for r in found}
+        if None in self.sizes:
+            raise ValueError(f"{self.sizes[None]} rows have no class; drop or fill missing targets first")
+        largest = max(self.sizes.values(), default=0)
+        needed = math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET)))
+        if bits is None and needed > self.bits:
+            self.counts.unpersist()
+            self.bits = min(MAX_BITS, needed)
+            self.counts = bucket_counts(rows, self.bits).persist()
+
+    @property
+    def group_type(self) -> str:
+        return self.rows.schema["g"].dataType.simpleString()
+
+    def release(self) -> None:
+        self.counts.unpersist()
+
+    def ranked(self) -> DataFrame:
+        """Add ``rank`` (from 1) of every row in its group by ``(key, tie)``.
+
+        The rows are sorted inside (group, bucket); adding the rows in the buckets ahead gives the rank.
+        Both sides are distributed by (group, bucket), so they share one shuffle of the key columns.
+        """
+        inside = Window.partitionBy("g", "bucket").orderBy("key", "tie")
+        placed = self.rows.withColumn("bucket", _bucket(F.col("key"), self.bits)).withColumn("_rn", F.row_number().over(inside))
+        joined = placed.join(self.counts.select("g", "bucket", "before"), ["g", "bucket"])
+        return joined.select("g", "key", "tie", (F.col("before") + F.col("_rn")).cast("bigint").alias("rank"))
+
+    def cutoffs(self, wanted: Mapping[object, Sequence[int]]) -> dict:
+        """``{(group, rank): (key, tie)}`` of the rows at the wanted ranks.
+
+        The kept counts name the bucket of each rank; one pass over the rows sorts only those buckets.
+        """
+        pairs = [(g, int(r)) for g, ranks in wanted.items() for r in ranks]
+        if not pairs:
+            return {}
+        if len(pairs) > MAX_CUTOFFS:
+            raise ValueError(f"more than {MAX_CUTOFFS} cut-offs; use ranked() instead")
+        spark = self.rows.sparkSession
+        targets = F.broadcast(spark.createDataFrame(pairs, f"g {self.group_type}, wanted bigint"))
+        inside = (F.col("wanted") > F.col("before")) & (F.col("wanted") <= F.col("before") + F.col("n"))
+        located = self.counts.join(targets, "g").filter(inside)
+        plan = located.select("g", "bucket", "wanted", (F.col("wanted") - F.col("before")).alias("_rn")).collect()
+        wanted_rows = F.broadcast(spark.createDataFrame(
+            [tuple(r) for r in plan], f"g {self.group_type}, bucket int, wanted bigint, _rn bigint"
+        ))
+        edges = F.broadcast(spark.createDataFrame(
+            sorted({(r["g"], r["bucket"]) for r in plan}), f"g {self.group_type}, bucket int"
+        ))
+        edge_rows = self.rows.withColumn("bucket", _bucket(F.col("key"), self.bits)).join(edges, ["g", "bucket"], "left_semi")
+        order = Window.partitionBy("g", "bucket").orderBy("key", "tie")
+        numbered = edge_rows.withColumn("_rn", F.row_number().over(order).cast("bigint"))
+        hits = numbered.join(wanted_rows, ["g", "bucket", "_rn"]).select("g", "wanted", "key", "tie")
+        return {(r["g"], r["wanted"]): (r["key"], r["tie"]) for r in hits.collect()}
 
 
 def not_after(key: Column, tie: Column, cut_key: Column, cut_tie: Column) -> Column:

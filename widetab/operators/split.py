@@ -41,8 +41,8 @@ def holdout(df: DataFrame, test_size: float = 0.3, seed: int = 0, label: str | N
     With ``label`` the split is stratified. As usual for stratified splits, a class with one row or
     more classes than rows in a part is an error.
     """
-    keyed = _keyed(df, seed, label)
-    sizes = ranks.group_sizes(keyed)
+    counted = ranks.Counted(_keyed(df, seed, label))
+    sizes = counted.sizes
     if not sizes:
         raise ValueError("cannot split an empty table")
     n = sum(sizes.values())
@@ -55,16 +55,18 @@ def holdout(df: DataFrame, test_size: float = 0.3, seed: int = 0, label: str | N
         if total < len(sizes) or n - total < len(sizes):
             raise ValueError("a part of the split is smaller than the number of classes")
     quota = class_quotas(sizes, test_size)
-    found = ranks.cutoffs(keyed, {g: [q] for g, q in quota.items() if q > 0})
+    found = counted.cutoffs({g: [q] for g, q in quota.items() if q > 0})
+    counted.release()
     cuts = {g: found[g, q] for g, q in quota.items() if q > 0}
-    key, tie = hash52(seed, F.col("row_id")), F.col("row_id")
+    keyed = df.withColumn("_k", hash52(seed, F.col("row_id")))
+    key, tie = F.col("_k"), F.col("row_id")
     if not label:
         cut_key, cut_tie = cuts[0]
         chosen = ranks.not_after(key, tie, F.lit(cut_key), F.lit(cut_tie))
-        return df.withColumn("part", F.when(chosen, "test").otherwise("train"))
-    joined = _join_cuts(df, label, [(g, *c) for g, c in cuts.items()], "_key bigint, _tie {tie}")
+        return keyed.withColumn("part", F.when(chosen, "test").otherwise("train")).drop("_k")
+    joined = _join_cuts(keyed, label, [(g, *c) for g, c in cuts.items()], "_key bigint, _tie {tie}")
     chosen = F.coalesce(ranks.not_after(key, tie, F.col("_key"), F.col("_tie")), F.lit(False))
-    return joined.withColumn("part", F.when(chosen, "test").otherwise("train")).drop("_key", "_tie")
+    return joined.withColumn("part", F.when(chosen, "test").otherwise("train")).drop("_k", "_key", "_tie")
 
 
 def _join_cuts(df: DataFrame, label: str, cuts: list[tuple], fields: str) -> DataFrame:
@@ -97,29 +99,32 @@ def kfold(df: DataFrame, k: int = 8, seed: int = 0, label: str | None = None, ou
     """Add a fold number 0..k-1, stratified when ``label`` is given; usable as a ``foldCol``."""
     if k < 2:
         raise ValueError("at least two folds are needed")
-    keyed = _keyed(df, seed, label)
-    if k > MAX_CUT_FOLDS:
-        folds = chunk_table(df, k, seed, label)
-        return df.join(folds.withColumnRenamed("chunk", out), "row_id")
-    sizes = ranks.group_sizes(keyed)
+    counted = ranks.Counted(_keyed(df, seed, label))
+    sizes = counted.sizes
     if sum(sizes.values()) < k:
         raise ValueError(f"{sum(sizes.values())} rows cannot fill {k} folds")
+    if k > MAX_CUT_FOLDS:
+        folds = _blocks(counted, k).select("row_id", F.col("chunk").alias(out))
+        return df.join(folds, "row_id")
     layout = fold_layout(sizes, k)
     wanted = {g: sorted({end for _, end in blocks[:-1] if 0 < end < sizes[g]}) for g, blocks in layout.items()}
-    found = ranks.cutoffs(keyed, wanted)
-    key, tie = hash52(seed, F.col("row_id")), F.col("row_id")
+    found = counted.cutoffs(wanted)
+    counted.release()
+    # The hash is a column of its own, so that it is computed once and not for every comparison.
+    keyed = df.withColumn("_k", hash52(seed, F.col("row_id")))
+    key, tie = F.col("_k"), F.col("row_id")
     if not label:
-        return df.withColumn(out, _fold_of(key, tie, _steps(layout[0], sizes[0], lambda e: found[0, e])))
+        return keyed.withColumn(out, _fold_of(key, tie, _steps(layout[0], sizes[0], lambda e: found[0, e]))).drop("_k")
     cuts = [
         (g, [(fold, *(cut or (None, None))) for fold, cut in _steps(blocks, sizes[g], lambda e, g=g: found[g, e])])
         for g, blocks in layout.items()
     ]
-    joined = _join_cuts(df, label, cuts, "_cuts array<struct<fold:int,key:bigint,tie:{tie}>>")
+    joined = _join_cuts(keyed, label, cuts, "_cuts array<struct<fold:int,key:bigint,tie:{tie}>>")
     inside = F.filter(
         F.col("_cuts"),
         lambda c: c["key"].isNull() | ranks.not_after(key, tie, c["key"], c["tie"]),
     )
-    return joined.withColumn(out, F.get(inside, F.lit(0))["fold"]).drop("_cuts")
+    return joined.withColumn(out, F.get(inside, F.lit(0))["fold"]).drop("_k", "_cuts")
 
 
 def _steps(blocks: list, size: int, cut) -> list:
@@ -140,16 +145,20 @@ def _fold_of(key: Column, tie: Column, steps: list) -> Column:
 
 
 def chunk_table(df: DataFrame, k: int, seed: int = 0, label: str | None = None) -> DataFrame:
-    """``(row_id, chunk)`` with the block layout of :func:`kfold`, for any number of chunks.
+    """``(row_id, label, chunk)`` with the block layout of :func:`kfold`, for any number of chunks.
 
-    Ranks are exact and distributed; only keys are shuffled, the features stay where they are.
+    Ranks are exact and distributed; only keys are shuffled, the features stay where they are. Without
+    ``label`` the label column is 0.
     """
-    placed = ranks.ranked(_keyed(df, seed, label))
+    return _blocks(ranks.Counted(_keyed(df, seed, label)), k)
+
+
+def _blocks(counted: ranks.Counted, k: int) -> DataFrame:
+    placed = counted.ranked()
     sizes = placed.sparkSession.createDataFrame(
-        _class_offsets(ranks.group_sizes(_keyed(df, seed, label))),
-        f"_g {placed.schema['g'].dataType.simpleString()}, size bigint, class_offset bigint",
+        _class_offsets(counted.sizes), f"g {counted.group_type}, size bigint, class_offset bigint"
     )
-    joined = placed.join(F.broadcast(sizes), placed["g"] == sizes["_g"])
+    joined = placed.join(F.broadcast(sizes), "g")
     small = F.floor(F.col("size") / F.lit(k))
     extra = F.col("size") - small * k
     rank0 = F.col("rank") - 1
@@ -157,7 +166,7 @@ def chunk_table(df: DataFrame, k: int, seed: int = 0, label: str | None = None)
         extra + F.floor((rank0 - extra * (small + 1)) / F.greatest(small, F.lit(1)))
     )
     chunk = F.pmod(F.col("class_offset") + block, F.lit(k)).cast("int")
-    return joined.select(F.col("tie").alias("row_id"), chunk.alias("chunk"))
+    return joined.select(F.col("tie").alias("row_id"), F.col("g").alias("label"), chunk.alias("chunk"))
 
 
 def _class_offsets(sizes: dict) -> list[tuple]:
@@ -170,9 +179,12 @@ def _class_offsets(sizes: dict) -> list[tuple]:
 
 def chunks(df: DataFrame, max_rows: int = 256, seed: int = 0, label: str | None = None) -> DataFrame:
     """``(row_id, label, chunk)``: the table cut into ``max(2, ceil(n / max_rows))`` even chunks."""
-    k = max(2, math.ceil(df.count() / max(1, max_rows)))
-    keep = df.select("row_id", F.col(label or "label").alias("label"))
-    return keep.join(chunk_table(df, k, seed, label), "row_id")
+    counted = ranks.Counted(_keyed(df, seed, label))
+    k = max(2, math.ceil(sum(counted.sizes.values()) / max(1, max_rows)))
+    placed = _blocks(counted, k)
+    if label:
+        return placed
+    return placed.drop("label").join(df.select("row_id", "label"), "row_id")
 
 
 def chunk_holdout(chunked: DataFrame, test_size: float = 0.3, seed: int = 0, stratify: bool = True) -> DataFrame:
