@@ -175,6 +175,30 @@ def lasso_fs(spark, folder):
     return model.report.withColumn("score", F.round("score", 4))
 
 
+@query
+def lasso_optimal(spark, folder):
+    """Optimality conditions of the L1 model at every feature, over all rows.
+
+    The residual's covariance with a standardised feature is the penalty for a used feature and at most
+    the penalty for an unused one.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    df = wide_regression(spark, folder)
+    alpha = stats.lasso_alpha_max(df).first()["alpha"]
+    scales = stats.standard_scales(df).orderBy("feature_idx").collect()
+    z = vectors.standardize(F.col("features"), [r["mean"] for r in scales], [r["scale"] for r in scales])
+    rows = df.select(z.alias("features"), array_to_vector(z).alias("v"), "label")
+    model = LinearRegression(featuresCol="v", regParam=alpha, elasticNetParam=1.0, standardization=False, tol=1e-9, maxIter=3000).fit(rows)
+    weight = vectors.array_literal(model.coefficients.toArray())
+    residuals = model.transform(rows).select("features", (F.col("label") - F.col("prediction")).alias("residual"))
+    slopes = layout.to_long(residuals, ("residual",)).groupBy("feature_idx").agg(F.covar_pop("value", "residual").alias("g"))
+    used = F.get(weight, F.col("feature_idx"))
+    excess = F.when(used == 0, F.greatest(F.abs("g") - F.lit(alpha), F.lit(0.0))).otherwise(F.abs(F.col("g") - F.signum(used) * F.lit(alpha)))
+    return slopes.select("feature_idx", (excess <= 1e-4 * alpha).alias("optimal"))
+
+
 @query
 def lasso_fs_classes(spark, folder):
     df = encoded_binary(spark, folder)
@@ -224,6 +248,17 @@ def pca_total_variance(spark, folder):
     return projected.agg(F.round(F.sum("var_pop"), 6).alias("total_variance"), F.count(F.lit(1)).alias("components"))
 
 
+@query
+def pca_uncorrelated(spark, folder):
+    """Different components are uncorrelated over all rows, and their variances descend."""
+    df = wide(spark, folder)
+    projected = make_reducer("pca_dr", num_features=ALL_STATS).fit(df).transform(df)
+    cov = matrix.covariance(projected)
+    variances = cov.filter("i = j").select(F.col("i").alias("v"), F.col("cov_pop").alias("var"))
+    pairs = cov.filter("i < j").join(variances.withColumnsRenamed({"v": "i", "var": "vi"}), "i").join(variances.withColumnsRenamed({"v": "j", "var": "vj"}), "j")
+    return pairs.select("i", "j", (F.abs("cov_pop") < 1e-9).alias("uncorrelated"), (F.col("vi") >= F.col("vj")).alias("descending"))
+
+
 @query
 def pca_explained(spark, folder):
     """Variance of every component, measured on the projected rows."""
@@ -268,6 +303,16 @@ def agglo_dr(spark, folder):
     return cells(make_reducer("agglo_dr", num_features=8).fit(df).transform(df), "row_id", index="cluster")
 
 
+@query
+def agglo_clusters(spark, folder):
+    """Every feature is in exactly one of the clusters."""
+    clusters = make_reducer("agglo_dr", num_features=8).fit(wide(spark, folder)).clusters
+    rows = [(c, i) for c, members in enumerate(clusters) for i in members]
+    members = spark.createDataFrame(rows, "cluster int, feature_idx int")
+    seen = layout.to_long(wide(spark, folder), ()).groupBy("feature_idx").agg(F.count("value").alias("cells"))
+    return seen.join(members, "feature_idx", "left").groupBy("feature_idx", "cells").agg(F.count("cluster").alias("clusters"))
+
+
 @query
 def rbf_landmarks(spark, folder):
     """Kernel of every row against 16 landmark rows."""
@@ -601,6 +646,18 @@ def oof_logistic(spark, folder):
     return bagged.oof.select("row_id", "label", "fold", F.round(F.get("probability", F.lit(1)), 4).alias("p1"))
 
 
+@query
+def oof_coverage(spark, folder):
+    """Out-of-fold predictions cover every labelled order once, in the fold the row belongs to."""
+    df = read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+        F.array(F.col("o_totalprice") / 1e5, F.month("o_orderdate").cast("double")).alias("features"),
+    )
+    learner = learn.make_learner("linear", task_type="binary", classes=2, maxIter=5)
+    bagged = learn.bag(df, learner, folds=3, task_type="binary", seed=53, mode="mean")
+    return bagged.oof.select("row_id", "label", "fold", F.size("probability").alias("classes"))
+
+
 @query
 def gbt_oof(spark, folder):
     learner = learn.make_learner("gbt", task_type="regression", maxIter=5, maxDepth=3)

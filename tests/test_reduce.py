@@ -50,6 +50,25 @@ def test_pca(spark, small_blocks):
     assert model.names_out == ["PCA_0", "PCA_1", "PCA_2", "PCA_3"]
 
 
+@pytest.mark.parametrize("method", ["pca_dr", "kbest+pca"])
+def test_fold_models_from_one_scan_equal_single_fits(spark, small_blocks, monkeypatch, method):
+    x, y = correlated(n=90), np.arange(90) % 3
+    df = frame(spark, x + 1e3, y).withColumn("fold", F.pmod(F.floor(F.col("row_id") / 7), F.lit(3)).cast("int")).persist()
+    estimator = make_reducer(method, num_features=5)
+    together = estimator.fit_folds(df, 3)
+    monkeypatch.setattr(reduce, "FOLD_BYTES", 0)
+    for i, single in estimator.fit_folds(df, 3).items():
+        assert np.allclose(np.abs(single.components), np.abs(together[i].components), atol=1e-6)
+        assert np.allclose(to_numpy(single.transform(df)), to_numpy(together[i].transform(df)), atol=1e-5)
+
+
+def test_basis_in_slices(spark, monkeypatch):
+    x, q = correlated(), np.random.default_rng(2).normal(size=(20, 7))
+    monkeypatch.setattr(matrix, "MAX_BROADCAST_BYTES", 8 * 20 * 3)
+    centred = x - x.mean(0)
+    assert np.allclose(matrix.normal_equations_pass(frame(spark, x), q, x.mean(0)), centred.T @ (centred @ q))
+
+
 def test_wide_pca_agrees_with_the_covariance(spark, small_blocks):
     x = correlated()
     df = frame(spark, x)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import frame
+from widetab.operators import split
 from widetab.operators.registry import make_reducer
 from widetab.plans import experiment, report
 from widetab.sources import results, tables
@@ -63,6 +64,24 @@ def test_published_task_round_trip(spark, tmp_path):
     assert table.count() == 6 and tables.split_dimensions(splits) == (2, 3)
 
 
+def test_bucketed_tasks_join_without_a_shuffle(spark, tmp_path):
+    data = spark.range(50).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("features"))
+    splits = split.schedule(data.select("row_id"), 2, 2).select("row_id", "repeat", "fold", F.lit("train").alias("part"))
+    tables.write_task(data, splits, "demo", 4, str(tmp_path))
+    try:
+        joined = split.published_parts(*tables.read_saved_task(spark, "demo"))
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+            assert joined.count() == 200
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    finally:
+        spark.sql("DROP TABLE demo_data")
+        spark.sql("DROP TABLE demo_splits")
+
+
 def result_rows(spark):
     rows = [("d", "m", meth, 150, r, f, 100 * r, "rmse", 1.0 + f, 0.5, 1.1, 2.0) for meth in ("a", "b") for r in range(2) for f in range(2)]
     return spark.createDataFrame(rows, experiment.RESULT_SCHEMA)

@@ -98,6 +98,19 @@ def test_ranks_are_exact_for_any_bucket_count(spark, bits):
         assert (row["key"], row["tie"]) == (key, tie)
 
 
+def test_counts_too_many_for_the_driver_stay_a_table(spark, monkeypatch):
+    df = labelled(spark, {"a": 300, "b": 3})
+    rows = df.select(F.col("label").alias("g"), split.hash52(1, F.col("row_id")).alias("key"), F.col("row_id").alias("tie"))
+    wanted = {"a": [1, 77, 300], "b": [3]}
+    local = ranks.Counted(rows)
+    expected, order = local.cutoffs(wanted), sorted(tuple(r) for r in local.ranked().collect())
+    monkeypatch.setattr(ranks, "LOCAL_COUNTS", 5)
+    table = ranks.Counted(rows)
+    assert local.local and table.local is None and table.sizes == local.sizes
+    assert table.cutoffs(wanted) == expected and sorted(tuple(r) for r in table.ranked().collect()) == order
+    table.release()
+
+
 def test_large_groups_are_counted_again_with_more_buckets(spark, monkeypatch):
     monkeypatch.setattr(ranks, "FIRST_BITS", 2)
     monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)

@@ -19,14 +19,6 @@ from widetab.session import cut_lineage
 BROADCAST_ROWS = 200_000
 
 
-def small_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a table that must be small, and say so when it is not."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows")
-    return rows
-
-
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only when it is known to be small; leave the join to Spark otherwise.
 

@@ -209,7 +209,10 @@ def score_with(df: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], out
     """
     d = width(df)
     # Broadcast values use plain pickle, which has no closures, so the function travels as bytes.
-    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(predictor))
+    packed = cloudpickle.dumps(predictor)
+    if len(packed) > matrix.MAX_BROADCAST_BYTES:
+        raise ValueError(f"a predictor of {len(packed)} bytes is too large to broadcast; let it load its weights from a shared path")
+    shared = df.sparkSession.sparkContext.broadcast(packed)
     names, position = df.columns, df.columns.index("features")
     dtype = T.DoubleType() if outputs == 1 else T.ArrayType(T.DoubleType())
 

@@ -7,6 +7,7 @@ holds the partial results of all others. Only results as large as the model reac
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widetab.operators.layout import width
+from widetab.functions.vectors import array_literal
 from widetab.session import task_count
 
 BLOCK = 512
@@ -106,53 +107,96 @@ def _pieces(matrix: np.ndarray, symmetric: bool) -> Iterator[tuple[int, int, np.
             yield i // BLOCK, j // BLOCK, matrix[i : i + BLOCK, j : j + BLOCK]
 
 
-def gram_blocks(df: DataFrame, d: int, shift: np.ndarray | float = 0.0, features: str = "features") -> DataFrame:
+def gram_blocks(df: DataFrame, d: int, shift: np.ndarray | float = 0.0, features: str = "features", group: str | None = None) -> DataFrame:
     """Upper blocks of ``sum_i (x_i - shift)(x_i - shift)'`` keyed by ``(bi <= bj)``.
 
     A task accumulates a limited number of block pairs in place; a wider table is read once for each
-    group of pairs, so the memory of a task does not grow with the square of the width.
+    group of pairs, so the memory of a task does not grow with the square of the width. With ``group``
+    (small integers from 0) every group has its own matrix: its block rows start at ``group * blocks``.
     """
     moved = df.sparkSession.sparkContext.broadcast(np.asarray(shift, dtype=np.float64))
     edges = range(0, d, BLOCK)
     pairs = [(i, j) for i in edges for j in edges if i <= j]
+    blocks = len(edges)
 
     def one_pass(chosen: list[tuple[int, int]]) -> DataFrame:
-        def step(state, column):
+        def step(state, column, groups=None):
             x = batch_matrix(column, d) - moved.value
             state = {} if state is None else state
-            for i, j in chosen:
-                product = x[:, i : i + BLOCK].T @ x[:, j : j + BLOCK]
-                if (i, j) in state:
-                    state[i, j] += product
-                else:
-                    state[i, j] = product
+            labels = np.zeros(len(x), dtype=int) if groups is None else groups.to_numpy(zero_copy_only=False)
+            for g in np.unique(labels):
+                part = x if groups is None else x[labels == g]
+                for i, j in chosen:
+                    product = part[:, i : i + BLOCK].T @ part[:, j : j + BLOCK]
+                    key = (int(g) * blocks + i // BLOCK, j // BLOCK)
+                    if key in state:
+                        state[key] += product
+                    else:
+                        state[key] = product
             return state
 
         def finish(state):
-            return ((i // BLOCK, j // BLOCK, block) for (i, j), block in state.items())
+            return ((bi, bj, block) for (bi, bj), block in state.items())
 
-        return partial_blocks(df, [features], step, finish)
+        return partial_blocks(df, [features] if group is None else [features, group], step, finish)
 
     passes = [one_pass(pairs[i : i + PAIRS_PER_PASS]) for i in range(0, len(pairs), PAIRS_PER_PASS)]
     return add_blocks(reduce(DataFrame.unionAll, passes))
 
 
-def mean_vector(df: DataFrame, d: int, features: str = "features") -> tuple[int, np.ndarray]:
-    """Rows and column means, by the built-in aggregate."""
+def column_moments(df: DataFrame, features: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, column means and population variances, by the built-in aggregates.
+
+    The counts of the features also tell whether all rows are equally wide and complete.
+    """
     from widetab.operators.stats import feature_moments
 
-    rows = feature_moments(df, (), features).select("feature_idx", "n", "mean").toPandas()
-    if len(rows) != d:
-        raise ValueError(f"expected {d} features, found {len(rows)}")
-    rows = rows.sort_values("feature_idx")
-    return int(rows["n"].max()), rows["mean"].to_numpy()
+    rows = feature_moments(df, (), features).toPandas().sort_values("feature_idx")
+    if rows.empty:
+        raise ValueError("the table has no rows")
+    if rows["n"].nunique() > 1:
+        raise ValueError("missing feature values; impute the table first")
+    return int(rows["n"].iloc[0]), rows["mean"].to_numpy(), rows["var_pop"].to_numpy()
+
 
+def covariance_blocks(df: DataFrame, features: str = "features") -> tuple[DataFrame, int, np.ndarray]:
+    """``(blocks of the centred Gram matrix, rows, means)``. Means come first, so nothing cancels."""
+    n, means, _ = column_moments(df, features)
+    return gram_blocks(df, len(means), means, features), n, means
+
+
+def fold_covariances(df: DataFrame, folds: int, fold: str = "fold", features: str = "features") -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Per fold the ``(rows, means, centred Gram matrix)`` of all *other* folds, from two passes in all.
+
+    A Gram matrix is a sum over rows, so every row is multiplied once for its own fold and the training
+    matrix of a fold is the total minus that.
+    """
+    from widetab.operators.stats import feature_moments
 
-def covariance_blocks(df: DataFrame, features: str = "features") -> tuple[DataFrame, int, int, np.ndarray]:
-    """``(blocks of the centred Gram matrix, n, d, means)``. Means come first, so nothing cancels."""
-    d = width(df, features)
-    n, means = mean_vector(df, d, features)
-    return gram_blocks(df, d, means, features), n, d, means
+    table = feature_moments(df, [fold], features).toPandas().sort_values([fold, "feature_idx"])
+    d = int(table["feature_idx"].max()) + 1
+    if (table.groupby(fold)["n"].nunique() > 1).any():
+        raise ValueError("missing feature values; impute the table first")
+    sizes, sums = np.zeros(folds), np.zeros((folds, d))
+    for f, rows in table.groupby(fold):
+        sizes[int(f)] = rows["n"].iloc[0]
+        sums[int(f)] = rows["n"].iloc[0] * rows["mean"].to_numpy()
+    centre = sums.sum(0) / sizes.sum()
+    blocks = math.ceil(d / BLOCK)
+    grams = np.zeros((folds, d, d))
+    collected = gram_blocks(df, d, centre, features, fold).toArrow()
+    for bi, bj, rows, cols, cells in zip(*[collected.column(i).to_pylist() for i in range(4)], collected.column(4)):
+        f, bi = divmod(bi, blocks)
+        part = cells.values.to_numpy().reshape(rows, cols)
+        grams[f, bi * BLOCK : bi * BLOCK + rows, bj * BLOCK : bj * BLOCK + cols] = part
+        grams[f, bj * BLOCK : bj * BLOCK + cols, bi * BLOCK : bi * BLOCK + rows] = part.T
+    result = []
+    for f in range(folds):
+        n = int(sizes.sum() - sizes[f])
+        means = (sums.sum(0) - sums[f]) / max(n, 1)
+        moved = means - centre
+        result.append((n, means, grams.sum(0) - grams[f] - n * np.outer(moved, moved)))
+    return result
 
 
 def block_cells(blocks: DataFrame) -> DataFrame:
@@ -165,25 +209,27 @@ def block_cells(blocks: DataFrame) -> DataFrame:
 
 def covariance(df: DataFrame, features: str = "features") -> DataFrame:
     """``(i, j, cov_pop)`` for ``i <= j``."""
-    blocks, n, _, _ = covariance_blocks(df, features)
+    blocks, n, _ = covariance_blocks(df, features)
     return block_cells(blocks).select("i", "j", (F.col("value") / F.lit(float(n))).alias("cov_pop"))
 
 
+def squared_norms(n: int, means: np.ndarray, variances: np.ndarray, shift: float) -> np.ndarray:
+    """Squared length of every column after moving it by ``shift``."""
+    return n * (variances + (means - shift) ** 2)
+
+
 def squared_distances(df: DataFrame, features: str = "features") -> DataFrame:
     """``(i, j, dist2)`` between all feature columns, ``i < j``: ``g_ii + g_jj - 2 g_ij``.
 
-    All columns are first moved by the same number, which keeps distances and limits cancellation.
+    All columns are first moved by the same number, which keeps distances and limits cancellation. The
+    squared lengths follow from the first pass, so the products need no join with their diagonal.
     """
-    d = width(df, features)
-    _, means = mean_vector(df, d, features)
-    cells = block_cells(gram_blocks(df, d, float(means.mean()), features)).persist()
-    diagonal = cells.filter("i = j").select(F.col("i").alias("c"), F.col("value").alias("g"))
-    left, right = diagonal.select(F.col("c").alias("i"), F.col("g").alias("gi")), diagonal.select(
-        F.col("c").alias("j"), F.col("g").alias("gj")
-    )
-    joined = cells.filter("i < j").join(left, "i").join(right, "j")
-    dist2 = F.greatest(F.col("gi") + F.col("gj") - 2 * F.col("value"), F.lit(0.0))
-    return joined.select("i", "j", dist2.alias("dist2"))
+    n, means, variances = column_moments(df, features)
+    shift = float(means.mean())
+    norms = array_literal(squared_norms(n, means, variances, shift))
+    cells = block_cells(gram_blocks(df, len(means), shift, features)).filter("i < j")
+    dist2 = F.get(norms, F.col("i")) + F.get(norms, F.col("j")) - 2 * F.col("value")
+    return cells.select("i", "j", F.greatest(dist2, F.lit(0.0)).alias("dist2"))
 
 
 def project(df: DataFrame, matrix: np.ndarray, offset: np.ndarray | None = None, features: str = "features", out: str = "features") -> DataFrame:
@@ -248,8 +294,15 @@ def kernel_project(df: DataFrame, landmarks: np.ndarray, gamma: float, component
 
 
 def normal_equations_pass(df: DataFrame, q: np.ndarray, means: np.ndarray, features: str = "features") -> np.ndarray:
-    """``sum_i (x_i - means)' (x_i - means) q``: a d x l product in one pass over the rows."""
+    """``sum_i (x_i - means)' (x_i - means) q``: a d x l product in one pass over the rows.
+
+    A basis that is too large to broadcast is multiplied in column slices, one pass each.
+    """
     d, l = q.shape
+    per_slice = max(1, MAX_BROADCAST_BYTES // (8 * d))
+    if per_slice < l:
+        starts = range(0, l, per_slice)
+        return np.hstack([normal_equations_pass(df, q[:, i : i + per_slice], means, features) for i in starts])
     shared = df.sparkSession.sparkContext.broadcast((q, means))
 
     def step(state, column):

@@ -8,6 +8,7 @@ map-side combined aggregate, and only (group, bucket) pieces are ever sorted.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from widetab.functions.rng import HASH_BITS
 
-FIRST_BITS = 12
+FIRST_BITS = 8
 MAX_BITS = 24
 ROWS_PER_BUCKET = 1_000_000
+LOCAL_COUNTS = 200_000
 MAX_GROUPS = 100_000
 MAX_CUTOFFS = 100_000
 
@@ -38,32 +40,55 @@ class Counted:
     """Bucket counts of ``(g, key, tie)`` rows, kept for the steps that follow, and the group sizes.
 
     The first count uses few buckets. Only when a group is so large that such a bucket is too much for
-    one task are the rows counted again with more of them. Groups are classes or chunks of a target, so
-    their number is limited.
+    one task are the rows counted again with more of them. A limited number of counts is summed up on
+    the driver; more of them stay a table. Groups are classes of a target, so their number is limited.
     """
 
     def __init__(self, rows: DataFrame, bits: int | None = None):
         self.rows, self.bits = rows, bits or FIRST_BITS
-        self.counts = bucket_counts(rows, self.bits).persist()
-        found = self.counts.groupBy("g").agg(F.sum("n").alias("n")).limit(MAX_GROUPS + 1).collect()
-        if len(found) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups")
-        self.sizes: dict = {r["g"]: r["n"] for r in found}
+        self.local = self._collect_counts()
+        self.sizes = self._sizes()
         if None in self.sizes:
             raise ValueError(f"{self.sizes[None]} rows have no class; drop or fill missing targets first")
-        largest = max(self.sizes.values(), default=0)
-        needed = math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET)))
+        needed = math.ceil(math.log2(max(1, max(self.sizes.values(), default=0) / ROWS_PER_BUCKET)))
         if bits is None and needed > self.bits:
-            self.counts.unpersist()
+            self.release()
             self.bits = min(MAX_BITS, needed)
-            self.counts = bucket_counts(rows, self.bits).persist()
+            self.local = self._collect_counts()
+
+    def _collect_counts(self) -> list[tuple] | None:
+        """``(g, bucket, n, before)`` rows on the driver, or None when there are too many of them."""
+        bucket = _bucket(F.col("key"), self.bits).alias("bucket")
+        found = self.rows.groupBy("g", bucket).agg(F.count(F.lit(1)).alias("n")).limit(LOCAL_COUNTS + 1).collect()
+        if len(found) > LOCAL_COUNTS:
+            self.counts = bucket_counts(self.rows, self.bits).persist()
+            return None
+        rows, before = [], {}
+        for r in sorted(found, key=lambda r: r["bucket"]):
+            rows.append((r["g"], r["bucket"], r["n"], before.get(r["g"], 0)))
+            before[r["g"]] = before.get(r["g"], 0) + r["n"]
+        schema = f"g {self.group_type}, bucket int, n bigint, before bigint"
+        self.counts = self.rows.sparkSession.createDataFrame(rows, schema)
+        return rows
+
+    def _sizes(self) -> dict:
+        if self.local is not None:
+            sizes: dict = {}
+            for g, _, n, before in self.local:
+                sizes[g] = max(sizes.get(g, 0), before + n)
+            return sizes
+        found = self.counts.groupBy("g").agg(F.sum("n").alias("n")).limit(MAX_GROUPS + 1).collect()
+        if len(found) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups")
+        return {r["g"]: r["n"] for r in found}
 
     @property
     def group_type(self) -> str:
         return self.rows.schema["g"].dataType.simpleString()
 
     def release(self) -> None:
-        self.counts.unpersist()
+        if self.local is None:
+            self.counts.unpersist()
 
     def ranked(self) -> DataFrame:
         """Add ``rank`` (from 1) of every row in its group by ``(key, tie)``.
@@ -87,15 +112,12 @@ class Counted:
         if len(pairs) > MAX_CUTOFFS:
             raise ValueError(f"more than {MAX_CUTOFFS} cut-offs; use ranked() instead")
         spark = self.rows.sparkSession
-        targets = F.broadcast(spark.createDataFrame(pairs, f"g {self.group_type}, wanted bigint"))
-        inside = (F.col("wanted") > F.col("before")) & (F.col("wanted") <= F.col("before") + F.col("n"))
-        located = self.counts.join(targets, "g").filter(inside)
-        plan = located.select("g", "bucket", "wanted", (F.col("wanted") - F.col("before")).alias("_rn")).collect()
+        plan = self._locate(pairs)
         wanted_rows = F.broadcast(spark.createDataFrame(
-            [tuple(r) for r in plan], f"g {self.group_type}, bucket int, wanted bigint, _rn bigint"
+            plan, f"g {self.group_type}, bucket int, wanted bigint, _rn bigint"
         ))
         edges = F.broadcast(spark.createDataFrame(
-            sorted({(r["g"], r["bucket"]) for r in plan}), f"g {self.group_type}, bucket int"
+            sorted({(g, b) for g, b, _, _ in plan}), f"g {self.group_type}, bucket int"
         ))
         edge_rows = self.rows.withColumn("bucket", _bucket(F.col("key"), self.bits)).join(edges, ["g", "bucket"], "left_semi")
         order = Window.partitionBy("g", "bucket").orderBy("key", "tie")
@@ -103,6 +125,26 @@ class Counted:
         hits = numbered.join(wanted_rows, ["g", "bucket", "_rn"]).select("g", "wanted", "key", "tie")
         return {(r["g"], r["wanted"]): (r["key"], r["tie"]) for r in hits.collect()}
 
+    def _locate(self, pairs: list[tuple]) -> list[tuple]:
+        """``(g, bucket, rank, rank inside the bucket)`` of the wanted ranks."""
+        if self.local is not None:
+            by_group: dict = {}
+            for g, bucket, _, before in self.local:
+                by_group.setdefault(g, ([], []))
+                by_group[g][0].append(before)
+                by_group[g][1].append(bucket)
+            plan = []
+            for g, rank in pairs:
+                befores, buckets = by_group[g]
+                at = bisect.bisect_left(befores, rank) - 1
+                plan.append((g, buckets[at], rank, rank - befores[at]))
+            return plan
+        targets = F.broadcast(self.rows.sparkSession.createDataFrame(pairs, f"g {self.group_type}, wanted bigint"))
+        inside = (F.col("wanted") > F.col("before")) & (F.col("wanted") <= F.col("before") + F.col("n"))
+        located = self.counts.join(targets, "g").filter(inside)
+        local = (F.col("wanted") - F.col("before")).alias("_rn")
+        return [tuple(r) for r in located.select("g", "bucket", "wanted", local).collect()]
+
 
 def not_after(key: Column, tie: Column, cut_key: Column, cut_tie: Column) -> Column:
     """True for rows at or before a cut-off in ``(key, tie)`` order."""

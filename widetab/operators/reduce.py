@@ -17,6 +17,7 @@ from widetab.operators.ward import ward_clusters
 from widetab.functions.naming import split_budget
 
 GRAM_LIMIT = 4096  # widest covariance matrix decomposed on the driver: 128 MB
+FOLD_BYTES = 512 << 20  # all fold matrices together
 
 
 def numbered(prefix: str, k: int) -> list[str]:
@@ -43,22 +44,17 @@ def principal_axes(df: DataFrame, k: int, seed: int = 0, gram_limit: int = GRAM_
     Narrow tables: one pass for the means, one for the covariance, eigenvectors on the driver. Wide
     ones: randomised subspace iteration, whose passes return ``d x (k + 10)`` numbers.
     """
-    d = width(df, features)
-    if d <= gram_limit:
-        blocks, n, _, means = matrix.covariance_blocks(df, features)
-        if not 1 <= k <= min(n, d):
-            raise ValueError(f"cannot compute {k} components of {n} rows and {d} features")
-        covariance = matrix.collect_blocks(blocks, d, d, symmetric=True) / max(n - 1, 1)
-        values, axes = leading_axes(covariance, k)
-        return axes, means, values, float(np.trace(covariance))
-    from widetab.operators.stats import feature_moments
-
-    n, means = matrix.mean_vector(df, d, features)
+    n, means, variances = matrix.column_moments(df, features)
+    d = len(means)
     if not 1 <= k <= min(n, d):
         raise ValueError(f"cannot compute {k} components of {n} rows and {d} features")
-    spread = feature_moments(df, (), features).agg(F.sum("var_pop")).first()[0]
-    axes, values = subspace_iteration(df, d, n, means, k, seed, features=features)
-    return axes, means, values, float(spread * n / max(n - 1, 1))
+    total = float(variances.sum() * n / max(n - 1, 1))
+    if d > gram_limit:
+        axes, values = subspace_iteration(df, d, n, means, k, seed, features=features)
+        return axes, means, values, total
+    gram = matrix.collect_blocks(matrix.gram_blocks(df, d, means, features), d, d, symmetric=True)
+    values, axes = leading_axes(gram / max(n - 1, 1), k)
+    return axes, means, values, total
 
 
 def subspace_iteration(df: DataFrame, d: int, n: int, means: np.ndarray, k: int, seed: int, passes: int = 4, extra: int = 10, features: str = "features"):
@@ -73,6 +69,12 @@ def subspace_iteration(df: DataFrame, d: int, n: int, means: np.ndarray, k: int,
     return fix_signs(q @ turn), values / max(n - 1, 1)
 
 
+def one_scan_fits(df: DataFrame, folds: int) -> bool:
+    """Whether the covariance matrices of all folds together are small enough for the driver."""
+    d = width(df)
+    return d <= GRAM_LIMIT and 8 * folds * d * d <= FOLD_BYTES
+
+
 class PCAReducer(Reducer):
     """Projection of the centred features on the principal axes."""
 
@@ -83,6 +85,17 @@ class PCAReducer(Reducer):
         axes, means, values, total = principal_axes(df, k, self.get("seed"))
         return ProjectionModel(axes, means @ axes, numbered("PCA", k), values, total)
 
+    def fit_folds(self, df, folds, fold="fold"):
+        if not one_scan_fits(df, folds):
+            return super().fit_folds(df, folds, fold)
+        k, models = self.get("num_features"), {}
+        for i, (n, means, gram) in enumerate(matrix.fold_covariances(df, folds, fold)):
+            if not 1 <= k <= min(n, len(means)):
+                raise ValueError(f"cannot compute {k} components of {n} rows and {len(means)} features")
+            values, axes = leading_axes(gram / max(n - 1, 1), k)
+            models[i] = ProjectionModel(axes, means @ axes, numbered("PCA", k), values, float(np.trace(gram)) / max(n - 1, 1))
+        return models
+
 
 def gaussian_matrix(spark: SparkSession, d: int, k: int, seed: int) -> DataFrame:
     """``(feature_idx, weights ARRAY<DOUBLE>)``: entries N(0, 1/k) hashed from (seed, row, column)."""
@@ -170,6 +183,26 @@ class KBestPCAReducer(Reducer):
         selector = KBestSelector(num_features=k1, task_type=self.get("task_type"), names=names or None).fit(df)
         return combine_with_pca(df, selector, k2, self.get("seed"))
 
+    def fit_folds(self, df, folds, fold="fold"):
+        k1, k2 = self._budget()
+        names = self.get("names") or None
+        selectors = KBestSelector(num_features=k1, task_type=self.get("task_type"), names=names).fit_folds(df, folds, fold)
+        if not one_scan_fits(df, folds):
+            return {i: combine_with_pca(df.filter(F.col(fold) != i), s, k2, self.get("seed")) for i, s in selectors.items()}
+        # The components of the remaining features come from that part of the full fold matrices.
+        models: dict[int, ReducerModel] = {}
+        for i, (n, means, gram) in enumerate(matrix.fold_covariances(df, folds, fold)):
+            selector = selectors[i]
+            remaining = sorted(set(range(len(means))) - set(selector.indices))
+            if not remaining or k2 == 0:
+                models[i] = selector
+                continue
+            if k2 > min(n, len(remaining)):
+                raise ValueError(f"cannot compute {k2} components of {n} rows and {len(remaining)} features")
+            _, axes = leading_axes(gram[np.ix_(remaining, remaining)] / max(n - 1, 1), k2)
+            models[i] = select_and_project(selector, remaining, axes, means[remaining])
+        return models
+
 
 def combine_with_pca(df: DataFrame, selector: SelectorModel, k2: int, seed: int) -> ReducerModel:
     d = width(df)
@@ -179,9 +212,12 @@ def combine_with_pca(df: DataFrame, selector: SelectorModel, k2: int, seed: int)
         return selector
     rest = SelectorModel(remaining, [str(i) for i in remaining]).transform(df)
     axes, means, _, _ = principal_axes(rest, k2, seed)
-    return SelectAndProjectModel(
-        selector.indices, remaining, axes, means @ axes, [*selector.names_out, *numbered("PCA", k2)], selector.report
-    )
+    return select_and_project(selector, remaining, axes, means)
+
+
+def select_and_project(selector: SelectorModel, remaining: list[int], axes: np.ndarray, means: np.ndarray) -> SelectAndProjectModel:
+    names = [*selector.names_out, *numbered("PCA", axes.shape[1])]
+    return SelectAndProjectModel(selector.indices, remaining, axes, means @ axes, names, selector.report)
 
 
 __all__ = [

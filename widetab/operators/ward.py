@@ -79,16 +79,15 @@ def cut_tree(merges: list[tuple[float, int, int]], d: int, k: int) -> list[list[
 
 def distance_rows(df: DataFrame, features: str = "features") -> DataFrame:
     """``(i, dist ARRAY<DOUBLE>)``: one row of the squared distance matrix per feature."""
-    half = matrix.squared_distances(df, features).persist()
-    both = half.unionAll(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist2"))
+    half = matrix.squared_distances(df, features)
+    pair = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "dist2")
+    both = half.select(F.inline(F.array(pair("i", "j"), pair("j", "i"))))
     d = width(df, features)
     diagonal = df.sparkSession.range(d).select(
         F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(float("inf")).alias("dist2")
     )
     grouped = both.unionAll(diagonal).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "dist2"))).alias("cells"))
-    rows = cut_lineage(grouped.select("i", F.col("cells.dist2").alias("dist")))
-    half.unpersist()
-    return rows
+    return cut_lineage(grouped.select("i", F.col("cells.dist2").alias("dist")))
 
 
 def distributed_merges(rows: DataFrame, d: int) -> list[tuple[float, int, int]]:
@@ -167,16 +166,15 @@ def _finite(values: np.ndarray) -> np.ndarray:
 
 def ward_clusters(df: DataFrame, k: int, features: str = "features", local_limit: int = LOCAL_LIMIT) -> list[list[int]]:
     """``k`` clusters of feature columns by Ward linkage on the rows of ``df``."""
-    d = width(df, features)
+    n, means, variances = matrix.column_moments(df, features)
+    d = len(means)
     if not 1 <= k <= d:
         raise ValueError(f"cannot form {k} clusters from {d} features")
     if d == 1:
         return [[0]]
-    if d <= local_limit:
-        _, means = matrix.mean_vector(df, d, features)
-        gram = matrix.collect_blocks(
-            matrix.gram_blocks(df, d, float(means.mean()), features), d, d, symmetric=True
-        )
-        norms = np.diag(gram)
-        return cut_tree(chain_merges(np.maximum(norms[:, None] + norms[None, :] - 2 * gram, 0.0)), d, k)
-    return cut_tree(distributed_merges(distance_rows(df, features), d), d, k)
+    if d > local_limit:
+        return cut_tree(distributed_merges(distance_rows(df, features), d), d, k)
+    shift = float(means.mean())
+    gram = matrix.collect_blocks(matrix.gram_blocks(df, d, shift, features), d, d, symmetric=True)
+    norms = matrix.squared_norms(n, means, variances, shift)
+    return cut_tree(chain_merges(np.maximum(norms[:, None] + norms[None, :] - 2 * gram, 0.0)), d, k)

@@ -95,6 +95,23 @@ def read_task(spark: SparkSession, table_path: str, splits_path: str) -> tuple[D
     return spark.read.parquet(table_path), spark.read.parquet(splits_path)
 
 
+def write_task(table: DataFrame, splits: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """Save a task as two tables bucketed by ``row_id``, so that splits join without a shuffle.
+
+    A split table has a row per data row, repeat and fold. Bucketing both sides once pays for itself when
+    every unit of an experiment joins them again.
+    """
+    for df, suffix in ((table, "data"), (splits, "splits")):
+        writer = df.write.mode("overwrite").bucketBy(buckets, "row_id").sortBy("row_id").format("parquet")
+        if path:
+            writer = writer.option("path", f"{path}/{name}_{suffix}")
+        writer.saveAsTable(f"{name}_{suffix}")
+
+
+def read_saved_task(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    return spark.table(f"{name}_data"), spark.table(f"{name}_splits")
+
+
 def split_dimensions(splits: DataFrame) -> tuple[int, int]:
     """Number of repeats and folds of a published split."""
     row = splits.agg(F.max("repeat").alias("r"), F.max("fold").alias("f")).first()
