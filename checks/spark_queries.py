@@ -146,7 +146,7 @@ def column_complement(spark, folder):
     df = wide(spark, folder)
     kept = make_reducer("kbest_fs", num_features=ALL_STATS).fit(df).indices
     rest = vectors.complement(64, kept)
-    left = df.withColumn("features", F.transform(rest, lambda i: F.get("features", i)))
+    left = df.withColumn("features", vectors.gather(F.col("features"), rest))
     return left.select("row_id", F.posexplode("features").alias("pos", "value"), rest.alias("rest")).select(
         "row_id", F.get("rest", F.col("pos")).alias("feature_idx"), F.round("value", 6).alias("value")
     )

@@ -45,6 +45,12 @@ def test_long_and_short_take_agree(spark):
     assert row.short == [float(i) for i in idx[:20]] and row.long == [float(i) for i in idx]
 
 
+def test_bind(spark):
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    assert one(spark, b=vectors.bind(F.array(F.lit(1), F.lit(2)), lambda a: total(a) + F.size(a))).b == 5
+    assert one(spark, g=vectors.gather(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(1), F.lit(0), F.lit(1)))).g == [2.0, 1.0, 2.0]
+
+
 def test_complement(spark):
     assert one(spark, c=vectors.complement(5, [3, 0])).c == [1, 2, 4]
     assert one(spark, c=vectors.complement(2, [0, 1])).c == []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +23,25 @@ def _as_column(values, element: str = "double") -> Column:
     return values if isinstance(values, Column) else array_literal(values, element)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A plain reference inside a lambda is not enough: the optimizer may put the whole expression behind it
+    into the lambda, which then computes it for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def gather(features: Column, indices: Column) -> Column:
+    """Elements at the positions in an array column."""
+    return bind(features, lambda row: F.transform(indices, lambda i: F.get(row, i)))
+
+
 def take(features: Column, indices: Sequence[int]) -> Column:
     """Elements at ``indices`` in the order of the list."""
     if len(indices) <= UNROLL_LIMIT:
         return F.array(*[F.get(features, F.lit(int(i))) for i in indices]).cast("array<double>")
-    return F.transform(array_literal([int(i) for i in indices], "int"), lambda i: F.get(features, i))
+    return gather(features, array_literal([int(i) for i in indices], "int"))
 
 
 def complement(width: int, indices: Sequence[int]) -> Column:
@@ -66,8 +80,9 @@ def standardize(features: Column, mean, scale) -> Column:
 def project_gate(weights: Column, k: int, eps: float = 1e-12) -> Column:
     """Clip absolute weights to [0, 1] and scale them to the Euclidean norm ``sqrt(k)``."""
     clipped = F.transform(weights, lambda w: F.least(F.abs(w), F.lit(1.0)))
-    squares = F.aggregate(clipped, F.lit(0.0), lambda a, w: a + w * w)
-    return F.transform(clipped, lambda w: w / (F.sqrt(squares) + F.lit(eps)) * F.lit(float(k) ** 0.5))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, w: a + w * w)) + F.lit(eps)
+    scaled = lambda c, n: F.transform(c, lambda w: w / n * F.lit(float(k) ** 0.5))
+    return bind(clipped, lambda c: bind(norm(c), lambda n: scaled(c, n)))
 
 
 def noise_gate(features: Column, weights: Column, noise: Column, sigma: float) -> Column:
@@ -80,5 +95,5 @@ def noise_gate(features: Column, weights: Column, noise: Column, sigma: float) -
 def pool(features: Column, clusters: Sequence[Sequence[int]]) -> Column:
     """Mean of the elements of each cluster. Every input element is read once, in the row."""
     members = F.from_json(F.lit(json.dumps([[int(i) for i in c] for c in clusters])), "array<array<int>>")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, i: a + F.get(features, i))
-    return F.transform(members, lambda c: total(c) / F.size(c).cast("double"))
+    total = lambda row, c: F.aggregate(c, F.lit(0.0), lambda a, i: a + F.get(row, i))
+    return bind(features, lambda row: F.transform(members, lambda c: total(row, c) / F.size(c).cast("double")))

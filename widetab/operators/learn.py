@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from widetab.functions import vectors
 from widetab.operators import matrix, metrics
 from widetab.operators.base import Reducer, ReducerModel
 from widetab.operators.layout import width
@@ -66,8 +67,8 @@ class SparkLearnerModel:
 def one_vs_rest_probability(margins: Column) -> Column:
     """Class probabilities from one boosted margin per class, normalised to sum to one."""
     single = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(single, F.lit(0.0), lambda a, p: a + p)
-    return F.transform(single, lambda p: p / F.greatest(total, F.lit(1e-300)))
+    total = lambda p: F.greatest(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), F.lit(1e-300))
+    return vectors.bind(single, lambda p: vectors.bind(total(p), lambda t: F.transform(p, lambda v: v / t)))
 
 
 class BoostedTrees(SparkLearner):

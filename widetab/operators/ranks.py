@@ -94,11 +94,13 @@ class Counted:
         """Add ``rank`` (from 1) of every row in its group by ``(key, tie)``.
 
         The rows are sorted inside (group, bucket); adding the rows in the buckets ahead gives the rank.
-        Both sides are distributed by (group, bucket), so they share one shuffle of the key columns.
+        A limited number of counts is broadcast; otherwise both sides are distributed by (group, bucket)
+        and share one shuffle of the key columns.
         """
         inside = Window.partitionBy("g", "bucket").orderBy("key", "tie")
         placed = self.rows.withColumn("bucket", _bucket(F.col("key"), self.bits)).withColumn("_rn", F.row_number().over(inside))
-        joined = placed.join(self.counts.select("g", "bucket", "before"), ["g", "bucket"])
+        ahead = self.counts.select("g", "bucket", "before")
+        joined = placed.join(ahead if self.local is None else F.broadcast(ahead), ["g", "bucket"])
         return joined.select("g", "key", "tie", (F.col("before") + F.col("_rn")).cast("bigint").alias("rank"))
 
     def cutoffs(self, wanted: Mapping[object, Sequence[int]]) -> dict:
