@@ -496,6 +496,14 @@ def task_type(spark, folder):
     return reduce(DataFrame.unionByName, found)
 
 
+@query
+def task_type_text(spark, folder):
+    """Task type from a published description and a number of classes."""
+    kinds = ["Supervised Classification", "Supervised Regression", "Learning Curve", "Data Stream classification"]
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p_size") % 4 + 1).cast("int"))
+    return read(spark, folder, "part").select("p_partkey", naming.task_type_from_text(kind, F.col("p_size") % 3 + 1).alias("task_type"))
+
+
 @query
 def missing_label_class(spark, folder):
     df = read(spark, folder, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("label"))

@@ -229,6 +229,9 @@ SQL["task_type"] = """WITH k AS (
   UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), true FROM orders)
 SELECT label, n AS n_classes, CASE WHEN n = 2 THEN 'binary' WHEN n BETWEEN 3 AND 19 THEN 'multiclass' WHEN n >= 20 AND num THEN 'regression' END AS task_type FROM k"""
 
+SQL["task_type_text"] = """SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'regression' WHEN 2 THEN NULL
+  ELSE CASE WHEN p_size % 3 + 1 > 2 THEN 'multiclass' ELSE 'binary' END END AS task_type FROM part"""
+
 SQL["missing_label_class"] = """SELECT count(DISTINCT nullif(l_returnflag, 'N')) + max((l_returnflag = 'N')::INT) AS n_classes, bool_or(l_returnflag = 'N') AS has_missing FROM lineitem"""
 
 # --- sources and splits

@@ -46,6 +46,18 @@ def test_encoding(spark, mixed):
     assert rows[0][5:] == [2024, 1, 7, 1] and rows[3][4:] == [None] * 5
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_wall_clock_times_do_not_depend_on_the_zone(spark, zone):
+    df = spark.sql("SELECT 1L AS row_id, TIMESTAMP_NTZ'1970-01-02 00:00:01' AS t UNION ALL SELECT 2L, TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = ColumnEncoder(label=None).fit(df).transform(df).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r["features"][1:] for r in rows] == [[1970, 1, 2, 6], [1970, 1, 1, 5]]
+    assert rows[0]["features"][0] == 86401e6 and rows[1]["features"][0] == 0
+
+
 def test_unseen_values_take_the_most_frequent_code(spark, mixed):
     model = ColumnEncoder().fit(mixed)
     other = mixed.filter("row_id = 0").withColumn("cat", F.lit("new")).withColumn("two", F.lit(6))

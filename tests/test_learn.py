@@ -1,3 +1,6 @@
+import json
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from widetab.operators.learn import bag, make_learner, score_with
 from widetab.operators.registry import REDUCERS, make_reducer, register_reducer
 from widetab.plans import experiment
 from widetab.plans.experiment import Experiment
+from widetab.sources import results as result_files
 
 
 @pytest.fixture
@@ -141,6 +145,31 @@ def test_published_splits(spark, classes):
     assert train.count() + test.count() == 200
 
 
+def test_own_splitter_and_saved_run(spark, classes, tmp_path):
+    seen = []
+
+    def splitter(table, repeat, fold, seed):
+        seen.append((repeat, fold, seed))
+        return table.withColumn("part", F.when(F.col("row_id") % 4 == fold, "test").otherwise("train"))
+
+    exp = Experiment("d", model="linear", methods=("random_fs", "magic"), num_features=10, num_repeats=1, num_folds=2, num_k_folds=2, splitter=splitter)
+    found, _ = experiment.run(classes, exp)
+    assert seen == [(0, 0, 44), (0, 1, 45)] and found.count() == 2
+    summary = experiment.save_run(found, exp, str(tmp_path), datetime(2024, 5, 6, 7, 8, 9)).collect()
+    assert [(r["method"], r["metric"]) for r in summary] == [("random_fs", "log_loss")]
+    configs = {r["run_id"]: json.loads(r["config"]) for r in result_files.read_configs(spark, f"{tmp_path}/configs").collect()}
+    assert set(configs) == {f"d_{m}_num_features_10_20240506_070809" for m in ("random_fs", "magic")}
+    assert configs["d_random_fs_num_features_10_20240506_070809"]["avg_fold_time"] > 0
+    assert configs["d_magic_num_features_10_20240506_070809"]["total_elapsed_time"] is None
+    assert spark.read.parquet(f"{tmp_path}/results").count() == 2
+
+
+def test_fitted_reducer_is_not_fitted_again(spark, classes):
+    model = make_reducer("random_fs", num_features=5, seed=1).fit(classes)
+    bagged = bag(classes, make_learner("linear", task_type="multiclass", classes=3), model, folds=2)
+    assert all(r is model for r, _ in bagged.folds) and bagged.refit[0] is model
+
+
 def test_unknown_scope(classes):
     with pytest.raises(ValueError, match="scope"):
         experiment.run(classes, Experiment("d", scope="galaxy"))

@@ -56,7 +56,7 @@ class Reducer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._setDefault(
             num_features=150, task_type="multiclass", seed=0, names=[], var_threshold=0.95,
-            num_tree_estimators=10, max_depth=12, fs_ratio=0.75, num_ensemble=4, num_landmarks=512,
+            num_tree_estimators=10, max_depth=12, fs_ratio=0.75, num_ensemble=0, num_landmarks=512,
             tol=1e-4, max_iter=3000, strict=False, epochs=50, lr=0.05, sigma=1.5,
         )
         self._set(**{k: v for k, v in params.items() if v is not None})

@@ -230,7 +230,11 @@ class ColumnEncoder(Estimator):
 
 def _as_number(name: str, is_date: bool, df: DataFrame) -> Column:
     if is_date:
-        return F.unix_micros(F.col(f"`{name}`").cast("timestamp")).cast("double")
+        stamp = F.col(f"`{name}`").cast("timestamp")
+        if df.schema[name].dataType.typeName() == "timestamp_ntz":
+            # Wall-clock time: count from the epoch of the same clock, whatever the session's zone is.
+            stamp = F.from_utc_timestamp(stamp, F.current_timezone())
+        return F.unix_micros(stamp).cast("double")
     return number(name, df.schema[name].dataType)
 
 
@@ -242,6 +246,11 @@ class ColumnEncoderModel(Model):
         self.literal, self.tables, self.modes = literal, tables, modes
         self.constant, self.duplicates = constant, duplicates
 
+    @property
+    def may_leave_gaps(self) -> bool:
+        """Whether encoded cells can be missing although the input was imputed."""
+        return bool(self.dates or self.binary)
+
     @property
     def names_out(self) -> list[str]:
         names = []

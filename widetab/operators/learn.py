@@ -166,10 +166,11 @@ class BaggedModel:
 
 
 def bag(
-    df: DataFrame, learner: Learner, reducer: Reducer | None = None, folds: int = 8, task_type: str = "multiclass",
+    df: DataFrame, learner: Learner, reducer: Reducer | ReducerModel | None = None, folds: int = 8, task_type: str = "multiclass",
     seed: int = 0, mode: str = "refit", parallelism: int = 4,
 ) -> BaggedModel:
-    """k-fold bagging. With a ``reducer`` it is fitted inside every training fold only.
+    """k-fold bagging. With a ``reducer`` it is fitted inside every training fold only; one that is
+    already fitted is applied as it is.
 
     Reducers whose statistics are sums are fitted for all folds from one scan (:meth:`Reducer.fit_folds`).
     The folds are independent and run as concurrent jobs. Fold rows are kept while the folds are fitted.
@@ -180,7 +181,7 @@ def bag(
     label = None if task_type == "regression" else "label"
     folded = kfold(df, folds, seed, label).persist()
     reducers: dict[int, ReducerModel | None] = (
-        reducer.fit_folds(folded, folds) if reducer is not None else dict.fromkeys(range(folds))
+        reducer.fit_folds(folded, folds) if isinstance(reducer, Reducer) else dict.fromkeys(range(folds), reducer)
     )
 
     def one(i: int):
@@ -197,7 +198,7 @@ def bag(
     val_scores = metrics.evaluate(oof, task_type)
     refit = None
     if mode == "refit":
-        whole = reducer.fit(df) if reducer is not None else None
+        whole = reducer.fit(df) if isinstance(reducer, Reducer) else reducer
         refit = (whole, learner.fit(whole.transform(df) if whole else df))
     folded.unpersist()
     return BaggedModel(oof, val_scores, [(reducers[i], fitted[i][0]) for i in range(folds)], refit, task_type)

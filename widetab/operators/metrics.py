@@ -37,13 +37,17 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", rows_per_
     Equal scores are added up first, so a score shared by many rows is one row afterwards; the number of
     negatives below each score is a prefix sum by score ranges, so the scores are never sorted in one task.
     """
+    return _auc_of_counts(score_counts(df, label, score).persist(), rows_per_bucket)
+
+
+def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """``(score, pos, neg)``: rows of both classes per distinct score."""
     positive = F.sum((F.col(label) == 1).cast("bigint"))
-    counts = (
-        df.groupBy(F.col(score).cast("double").alias("score"))
-        .agg(positive.alias("pos"), F.count(F.lit(1)).alias("n"))
-        .withColumn("neg", F.col("n") - F.col("pos"))
-        .persist()
-    )
+    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(positive.alias("pos"), F.count(F.lit(1)).alias("n"))
+    return counts.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+
+
+def _auc_of_counts(counts: DataFrame, rows_per_bucket: int) -> DataFrame:
     placed = running_totals(counts, "score", ["neg"], rows_per_bucket)
     below = F.col("neg_before") + F.col("neg") * F.lit(0.5)
     sums = placed.agg(
@@ -54,13 +58,22 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", rows_per_
     return sums.select(F.try_divide("wins", F.nullif(F.col("p") * F.col("q"), F.lit(0.0))).alias("roc_auc"))
 
 
+def roc_auc_value(df: DataFrame, label: str = "label", score: str = "score", rows_per_bucket: int = 1_000_000) -> float | None:
+    """The same as a number; the counts are given up afterwards."""
+    counts = score_counts(df, label, score).persist()
+    try:
+        return _auc_of_counts(counts, rows_per_bucket).first()[0]
+    finally:
+        counts.unpersist()
+
+
 def evaluate(predictions: DataFrame, task_type: str) -> dict[str, float]:
     """The metrics of a task type for a frame with ``label`` and ``prediction`` or ``probability``."""
     if task_type == "regression":
         return {k: v for k, v in rmse(predictions).first().asDict().items() if k in metrics_for(task_type)}
     if task_type == "binary":
         scored = predictions.select("label", F.get("probability", F.lit(1)).alias("score"))
-        return {"roc_auc": roc_auc(scored).first()[0]}
+        return {"roc_auc": roc_auc_value(scored)}
     if task_type == "multiclass":
         return {"log_loss": log_loss(predictions).first()[0]}
     raise ValueError(f"no metric for task type {task_type!r}")

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, replace
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widetab.functions.naming import metrics_for
+from widetab.functions.naming import metrics_for, split_budget
 from widetab.operators import split
 from widetab.operators.layout import checked_broadcast
 from widetab.operators.learn import bag, make_learner
 from widetab.operators.registry import make_reducer
 from widetab.operators.stats import infer_task_type
 from widetab.plans.prepare import prepare
+from widetab.plans.report import method_summary
+from widetab.sources import results as result_files
 
 RESULT_SCHEMA = (
     "dataset_name string, model string, method string, num_features int, repeat int, fold int, seed int, "
@@ -29,36 +32,43 @@ SWEEP_WIDTHS = tuple(range(100, 1401, 100))
 
 @dataclass(frozen=True)
 class Experiment:
-    """What to run. ``scope`` is where a method is fitted: once per ``split`` or inside every inner ``fold``."""
+    """What to run.
+
+    ``scope`` is where a method is fitted: once per ``split`` or inside every inner ``fold``. A ``splitter``
+    takes the table, repeat, fold and fold seed, and adds a ``part`` column with ``train`` and ``test``.
+    """
 
     dataset_name: str
     model: str = "gbt"
-    methods: Sequence[str] = ("original",)
+    methods: Sequence[str] = ("random_fs",)
     task_type: str | None = None
     num_features: int = 150
     num_repeats: int = 10
     num_folds: int = 3
     num_k_folds: int = 8
     test_size: float = 0.3
-    seed: int = 0
+    seed: int = 44
     scope: str = "fold"
     own_stats: bool = False
     save_time: bool = True
     reducer_seed: str = "repeat"
     parallelism: int = 4
+    splitter: Callable[[DataFrame, int, int, int], DataFrame] | None = None
     method_params: dict = field(default_factory=dict)
     learner_params: dict = field(default_factory=dict)
 
 
 def split_parts(table: DataFrame, splits: DataFrame | None, exp: Experiment, task_type: str, repeat: int, fold: int):
-    """Training and test rows of one unit, and whether the split depends on the unit at all."""
-    if splits is not None:
+    """Training and test rows of one unit."""
+    fold_seed = exp.seed + 100 * repeat + fold
+    if exp.splitter is not None:
+        marked = exp.splitter(table, repeat, fold, fold_seed)
+    elif splits is not None:
         chosen = splits.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select("row_id", "part")
         marked = table.join(checked_broadcast(chosen), "row_id")
     elif "is_test" in table.columns:
         marked = split.boundary_split(table).drop("is_test")
     else:
-        fold_seed = exp.seed + 100 * repeat + fold
         label = None if task_type == "regression" else "label"
         marked = split.holdout(table, exp.test_size, fold_seed, label)
     side = lambda name: marked.filter(F.col("part") == name).drop("part")
@@ -106,6 +116,28 @@ def run(table: DataFrame, exp: Experiment, splits: DataFrame | None = None) -> t
     return spark.createDataFrame(results, RESULT_SCHEMA), spark.createDataFrame(errors, ERROR_SCHEMA)
 
 
+def save_run(results: DataFrame, exp: Experiment, path: str, started: datetime, finished: datetime | None = None) -> DataFrame:
+    """Append the result rows below ``path/results`` and one configuration per method below ``path/configs``.
+
+    Returns the summary: mean and deviation of the score per method and metric. A run of one table has a
+    row per method and unit, so its times are few enough to read back.
+    """
+    result_files.write_results(results, f"{path}/results")
+    times: dict[str, list[float]] = {m: [] for m in exp.methods}
+    for r in results.select("method", "fold_time").filter(F.col("fold_time").isNotNull()).collect():
+        times[r["method"]].append(r["fold_time"])
+    stamp = started.strftime("%Y%m%d_%H%M%S")
+    for method in exp.methods:
+        selected, projected = split_budget(exp.num_features, exp.method_params.get(method, {}).get("fs_ratio", 0.75))
+        config = asdict(exp) | {
+            "method": method, "num_kbest_features": selected, "num_pca_comps": projected, "time_start": stamp,
+            "time_finish": (finished or datetime.now()).strftime("%Y%m%d_%H%M%S"),
+        }
+        run_id = f"{exp.dataset_name}_{method}_num_features_{exp.num_features}_{stamp}"
+        result_files.write_config(results.sparkSession, run_id, config, f"{path}/configs", times[method] if exp.save_time else None)
+    return method_summary(results, by=("method", "metric"))
+
+
 def _message(error: Exception) -> str:
     text = str(error).strip() or repr(error)
     return f"{type(error).__name__}: {text.splitlines()[0]}"

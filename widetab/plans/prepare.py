@@ -46,8 +46,9 @@ def prepare(
         encoded_train, encoded_test = encoder.transform(full_train), encoder.transform(full_test)
         names_out = encoder.names_out
         # Encoding can leave gaps (a value outside a two-valued column, a missing timestamp).
-        again = FeatureImputer().fit(encoded_train)
-        encoded_train, encoded_test = again.transform(encoded_train), again.transform(encoded_test)
+        if encoder.may_leave_gaps:
+            again = FeatureImputer().fit(encoded_train)
+            encoded_train, encoded_test = again.transform(encoded_train), again.transform(encoded_test)
     if task_type != "regression":
         coder = LabelCoder().fit(encoded_train)
         classes = coder.classes
