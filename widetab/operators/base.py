@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from widetab.functions import vectors
 from widetab.operators import matrix
-from widetab.operators.layout import names_or_default, width
+from widetab.operators.layout import known_width, names_or_default
 from widetab.operators.stats import feature_report
 
 
@@ -65,6 +65,9 @@ class Reducer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         param = self.getParam(name)
         return self.getOrDefault(param) if self.isDefined(param) else None
 
+    def _width(self, df: DataFrame) -> int:
+        return known_width(df, self.get("names"))
+
     def _target(self, d: int) -> int:
         k = self.get("num_features")
         if not 1 <= k <= d:
@@ -249,4 +252,4 @@ class SelectAndProjectModel(ReducerModel):
 
 MODELS = {c.__name__: c for c in (IdentityModel, SelectorModel, ProjectionModel, PoolingModel, KernelModel, SelectAndProjectModel)}
 
-__all__ = ["Reducer", "ScoreSelector", "ReducerModel", "best_first", "width", *MODELS]
+__all__ = ["Reducer", "ScoreSelector", "ReducerModel", "best_first", *MODELS]

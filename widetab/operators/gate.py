@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from widetab.operators import matrix
 from widetab.operators.base import ScoreSelector, SelectorModel
-from widetab.operators.layout import width
 from widetab.operators.stats import standard_scales
 
 
@@ -109,7 +108,7 @@ class GateSelector(ScoreSelector):
     method = "sand_fs"
 
     def _fit(self, df: DataFrame) -> SelectorModel:
-        d = width(df)
+        d = self._width(df)
         k = self._target(d)
         regression = self.get("task_type") == "regression"
         label = F.col("label").cast("double")
@@ -118,6 +117,8 @@ class GateSelector(ScoreSelector):
         if not regression and (low < 0 or outputs < 2):
             raise ValueError("the gate needs class ids 0..C-1 of at least two classes")
         scales = standard_scales(df).toPandas().sort_values("feature_idx")
+        if len(scales) != d:
+            raise ValueError(f"rows have up to {len(scales)} features, not {d}")
         mean, scale = scales["mean"].to_numpy(), scales["scale"].to_numpy()
         rng = np.random.Generator(np.random.Philox(key=self.get("seed")))
         values = {

@@ -84,7 +84,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def width(df: DataFrame, features: str = "features") -> int:
-    """Number of features; all rows must agree."""
+    """Number of features after checking that all rows agree, which reads the whole table."""
     low, high = df.agg(F.min(F.size(features)), F.max(F.size(features))).first()
     if low is None:
         raise ValueError("the table has no rows")
@@ -93,6 +93,17 @@ def width(df: DataFrame, features: str = "features") -> int:
     return int(low)
 
 
+def known_width(df: DataFrame, names: Sequence[str] | None = None, features: str = "features") -> int:
+    """Number of features from their names, else from one row: methods that do not look at the data must
+    not scan it. Rows of another width fail in the statistics and matrix operators."""
+    if names:
+        return len(names)
+    row = df.select(F.size(features)).first()
+    if row is None:
+        raise ValueError("the table has no rows")
+    return int(row[0])
+
+
 def names_or_default(names: Sequence[str] | None, d: int) -> list[str]:
     names = list(names) if names else [f"f{i}" for i in range(d)]
     if len(names) != d:

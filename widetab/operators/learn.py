@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from widetab.functions import vectors
 from widetab.operators import matrix, metrics
 from widetab.operators.base import Reducer, ReducerModel
-from widetab.operators.layout import width
+from widetab.operators.layout import known_width
 from widetab.operators.split import kfold
 
 
@@ -209,7 +209,7 @@ def score_with(df: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], out
 
     The predictor is broadcast once per executor and applied to Arrow batches; nothing is shuffled.
     """
-    d = width(df)
+    d = known_width(df)
     # Broadcast values use plain pickle, which has no closures, so the function travels as bytes.
     packed = cloudpickle.dumps(predictor)
     if len(packed) > matrix.MAX_BROADCAST_BYTES:

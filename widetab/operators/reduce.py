@@ -11,7 +11,7 @@ from widetab.operators import matrix
 from widetab.operators.base import (
     KernelModel, PoolingModel, ProjectionModel, Reducer, ReducerModel, SelectAndProjectModel, SelectorModel,
 )
-from widetab.operators.layout import names_or_default, width
+from widetab.operators.layout import known_width
 from widetab.operators.select import KBestSelector
 from widetab.operators.ward import ward_clusters
 from widetab.functions.naming import split_budget
@@ -71,7 +71,7 @@ def subspace_iteration(df: DataFrame, d: int, n: int, means: np.ndarray, k: int,
 
 def one_scan_fits(df: DataFrame, folds: int) -> bool:
     """Whether the covariance matrices of all folds together are small enough for the driver."""
-    d = width(df)
+    d = known_width(df)
     return d <= GRAM_LIMIT and 8 * folds * d * d <= FOLD_BYTES
 
 
@@ -112,7 +112,7 @@ class RandomProjectionReducer(Reducer):
     method = "random_dr"
 
     def _fit(self, df: DataFrame) -> ProjectionModel:
-        d, k = width(df), self.get("num_features")
+        d, k = self._width(df), self.get("num_features")
         if k < 1:
             raise ValueError("at least one component is needed")
         table = gaussian_matrix(df.sparkSession, d, k, self.get("seed")).orderBy("feature_idx").toArrow()
@@ -146,7 +146,7 @@ class KernelPCAReducer(Reducer):
     method = "kpca_dr"
 
     def _fit(self, df: DataFrame) -> KernelModel:
-        d, k = width(df), self.get("num_features")
+        d, k = self._width(df), self.get("num_features")
         gamma = self.get("gamma") or 1.0 / d
         table = choose_landmarks(df, self.get("num_landmarks"), self.get("seed")).toArrow()
         landmarks = matrix.batch_matrix(table.column("features"), d)
@@ -205,7 +205,7 @@ class KBestPCAReducer(Reducer):
 
 
 def combine_with_pca(df: DataFrame, selector: SelectorModel, k2: int, seed: int) -> ReducerModel:
-    d = width(df)
+    d = known_width(df)
     chosen = set(selector.indices)
     remaining = [i for i in range(d) if i not in chosen]
     if not remaining or k2 == 0:
@@ -222,5 +222,5 @@ def select_and_project(selector: SelectorModel, remaining: list[int], axes: np.n
 
 __all__ = [
     "PCAReducer", "RandomProjectionReducer", "WardReducer", "KernelPCAReducer", "KBestPCAReducer",
-    "principal_axes", "subspace_iteration", "gaussian_matrix", "choose_landmarks", "names_or_default",
+    "principal_axes", "subspace_iteration", "gaussian_matrix", "choose_landmarks",
 ]

@@ -12,7 +12,7 @@ from widetab.functions import vectors
 from widetab.functions.rng import hash52
 from widetab.operators import stats
 from widetab.operators.base import IdentityModel, Reducer, ReducerModel, ScoreSelector, best_first
-from widetab.operators.layout import names_or_default, width
+from widetab.operators.layout import names_or_default
 from widetab.operators.split import ordered_split
 
 
@@ -22,7 +22,7 @@ class Original(Reducer):
     method = "original"
 
     def _fit(self, df: DataFrame) -> IdentityModel:
-        return IdentityModel(names_or_default(self.get("names"), width(df)))
+        return IdentityModel(names_or_default(self.get("names"), self._width(df)))
 
 
 def sampled_features(spark: SparkSession, d: int, k: int, seed: int) -> DataFrame:
@@ -39,7 +39,7 @@ class RandomSelector(Reducer):
     method = "random_fs"
 
     def _fit(self, df: DataFrame) -> ReducerModel:
-        d = width(df)
+        d = self._width(df)
         drawn = sampled_features(df.sparkSession, d, self._target(d), self.get("seed"))
         return self._selector(d, [r["feature_idx"] for r in drawn.orderBy("position").collect()])
 

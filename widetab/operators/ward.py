@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widetab.operators import matrix
-from widetab.operators.layout import width
+from widetab.operators.layout import known_width
 from widetab.session import cut_lineage
 
 LOCAL_LIMIT = 4096
@@ -82,7 +82,7 @@ def distance_rows(df: DataFrame, features: str = "features") -> DataFrame:
     half = matrix.squared_distances(df, features)
     pair = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "dist2")
     both = half.select(F.inline(F.array(pair("i", "j"), pair("j", "i"))))
-    d = width(df, features)
+    d = known_width(df, None, features)
     diagonal = df.sparkSession.range(d).select(
         F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(float("inf")).alias("dist2")
     )
