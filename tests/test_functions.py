@@ -99,13 +99,13 @@ def test_key_values(spark):
     assert [rows[k].kind for k in "abcdfg"] == ["int", "float", "bool", "string", "string", "string"]
 
 
-def reference_find(node, key):
+def nested_find(node, key):
     """Depth-first: own entry, then children in order; lists are looked into one level."""
     if key in node:
         return node[key]
     for v in node.values():
         for child in v if isinstance(v, list) else [v]:
-            if isinstance(child, dict) and (hit := reference_find(child, key)) is not None:
+            if isinstance(child, dict) and (hit := nested_find(child, key)) is not None:
                 return hit
     return None
 
@@ -118,7 +118,7 @@ def test_deep_find(spark):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(99, "{bad")], "i int, t string")
     found = {r[0]: r[1] for r in df.select("i", text.deep_find(F.col("t"), "k")).collect()}
     for i, d in enumerate(docs):
-        hit = reference_find(d, "k") if isinstance(d, dict) else None
+        hit = nested_find(d, "k") if isinstance(d, dict) else None
         assert found[i] == (None if hit is None else str(hit)), d
     assert found[99] is None
 
