@@ -39,25 +39,6 @@ def _words(column):
         yield (*textops.word_hashes(data[a:b], offsets[i:j + 1] - a, textops.ALNUM), i, j)
 
 
-class Lookup:
-    """Sorted hashes behind a table of their low bits, which answers nearly all absent ones."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(16, int(len(keys)).bit_length() + 6)
-        self.low = np.zeros(1 << self.bits, bool)
-        self.low[(keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` that occur among the keys, and which key each is."""
-        at = np.flatnonzero(self.low[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        hit = self.keys[key] == hashes[at]
-        return at[hit], key[hit]
-
-
 class Items:
     """A block of items: words, bounds, and the seeds that point into them."""
 
@@ -82,7 +63,7 @@ class Items:
         self.last = np.append(self.first[1:], len(gram))
         self.where = place - self.bounds[self.owner]
         del self.grams, self.places
-        self.lookup = Lookup(self.seeds)
+        self.lookup = textops.Lookup(self.seeds)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS):
@@ -209,7 +190,7 @@ def prepared_items(docs: DataFrame, items: DataFrame, id_col: str = "item_id", t
     """Broadcast blocks of items with their seeds chosen by the counts of the whole corpus."""
     sc = docs.sparkSession.sparkContext
     for block in item_blocks(items, id_col, text_col):
-        lookup = sc.broadcast(Lookup(np.unique(block.grams)))
+        lookup = sc.broadcast(textops.Lookup(np.unique(block.grams)))
         block.choose_seeds(*gram_counts(docs, lookup))
         lookup.unpersist()
         yield sc.broadcast(block)

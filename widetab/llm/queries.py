@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widetab.llm import decontaminate, line_dedup, minhash, packing, quality
+from widetab.llm import decontaminate, fingerprint, license_scan, line_dedup, lm_score, minhash, packing, quality, toxicity, warc
 from widetab.llm.frames import read
+from widetab.session import ensure_checkpoint_dir
 
 QUERIES, SQL = {}, {}
 
@@ -62,3 +65,52 @@ def op7_minhash(spark, folder: str) -> DataFrame:
 @query
 def op8_decontamination(spark, folder: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op9_fingerprints(spark, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, folder, "documents"))
+
+
+@query
+def op10_license_scan(spark, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, folder, "documents"))
+
+
+def crc_is_one(doc_id, modulus: int):
+    """Whether crc32 of the id as text leaves 1."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % modulus == 1, F.lit(False))
+
+
+@query
+def op4_toxicity(spark, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = toxicity.train(docs, read(spark, folder, "labels").filter(~crc_is_one(F.col("doc_id"), 3)))
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", crc_is_one(F.col("doc_id"), 3).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+                      "vote", "evidence", "cosines")
+
+
+@query
+def op6_warc(spark, folder: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, folder, "pages"), path)
+    found = warc.read_archives(spark, path, with_payload=False).filter("record_type is not null")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
+@query
+def op5_lm_scoring(spark, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    out = lm_score.score_texts(docs, docs.filter(~crc_is_one(F.col("doc_id"), 5)))
+    return out.withColumn("held_out", crc_is_one(F.col("doc_id"), 5))
