@@ -129,12 +129,13 @@ def test_selection_does_not_depend_on_row_order(spark, planted):
     assert pick(frame(spark, x, y)) == pick(frame(spark, x[order], y[order], ids=order))
 
 
-def test_ensemble_without_views_uses_the_first_rows(spark, planted):
-    x, score, _ = planted
-    y = (score > 0).astype(int)
-    few = make_reducer("tabpfn_fs", num_features=5, num_ensemble=0, task_type="binary").fit(frame(spark, x, y))
-    head = make_reducer("kbest_fs", num_features=5, task_type="binary").fit(frame(spark, x[:160], y[:160]))
-    assert sorted(few.indices) == head.indices
+def test_ensemble_without_views_uses_all_rows(spark):
+    """Rows ordered by class: only the last fifth tells that feature 2 matters."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, 4)), np.repeat(np.arange(5), 40)
+    x[y == 4, 2] += 10
+    for views in (0, 1):
+        assert make_reducer("tabpfn_fs", num_features=1, num_ensemble=views, task_type="multiclass").fit(frame(spark, x, y)).indices == [2]
 
 
 def test_view_scores_leave_one_part_out(spark, planted):

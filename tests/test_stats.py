@@ -136,3 +136,9 @@ def test_evaluate(spark):
     assert metrics.evaluate(flat, "regression") == {"rmse": 0.5, "norm_rmse": None}
     with pytest.raises(ValueError):
         metrics.evaluate(df, "ranking")
+
+
+def test_missing_cells_of_three_thousand_columns(spark):
+    columns = [F.when(F.col("id") % (i + 2) == 0, F.lit(None)).otherwise(F.col("id")).alias(f"c{i}") for i in range(3_000)]
+    expected = sum(1 for i in range(3_000) for n in range(3) if n % (i + 2) == 0)
+    assert stats.missing_cells(spark.range(3).select(*columns)).first()["missing_cells"] == expected

@@ -13,7 +13,6 @@ from widetab.functions.rng import hash52
 from widetab.operators import stats
 from widetab.operators.base import IdentityModel, Reducer, ReducerModel, ScoreSelector, best_first
 from widetab.operators.layout import names_or_default
-from widetab.operators.split import ordered_split
 
 
 class Original(Reducer):
@@ -104,7 +103,7 @@ class TreeSelector(ScoreSelector):
         regression = self.get("task_type") == "regression"
         forest = (RandomForestRegressor if regression else RandomForestClassifier)(
             featuresCol="v", labelCol="y", numTrees=self.get("num_tree_estimators"), bootstrap=False,
-            featureSubsetStrategy="onethird" if regression else "sqrt", maxDepth=self.get("max_depth"),
+            featureSubsetStrategy="all" if regression else "sqrt", maxDepth=self.get("max_depth"),
             seed=self.get("seed"),
         )
         model = forest.fit(df.select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("y")))
@@ -178,7 +177,7 @@ def ensemble_topk(scores: DataFrame, k: int) -> DataFrame:
 class EnsembleSelector(ScoreSelector):
     """Scores averaged over views of the rows; the best features in descending order.
 
-    Without views the scores come from the first 80 % of the rows.
+    With fewer than two views the scores come from all rows.
     """
 
     method = "tabpfn_fs"
@@ -186,8 +185,7 @@ class EnsembleSelector(ScoreSelector):
     def scores(self, df):
         views, regression = self.get("num_ensemble"), self.get("task_type") == "regression"
         if views < 2:
-            context = df if views == 1 else ordered_split(df, 0.8).filter(F.col("part") == "train")
-            return stats.univariate_scores(context, self.get("task_type"))
+            return stats.univariate_scores(df, self.get("task_type"))
         if not regression:
             return stats.mean_over_views(view_scores(df, views, self.get("seed")))
         view = F.pmod(hash52(self.get("seed"), F.col("row_id")), F.lit(views))

@@ -34,12 +34,10 @@ def missing_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """One row ``missing_cells``: NULL and NaN cells over all columns, added up inside the row first."""
     columns = list(columns) if columns is not None else df.columns
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
-    total = F.lit(0)
-    for c in columns:
-        empty = F.col(f"`{c}`").isNull()
-        if c in floats:
-            empty = empty | F.isnan(f"`{c}`")
-        total = total + F.when(empty, 1).otherwise(0)
+    cell = lambda c: F.col(f"`{c}`")
+    empty = F.array(*[cell(c).isNull() | F.isnan(cell(c)) if c in floats else cell(c).isNull() for c in columns])
+    # one flat array: a sum of terms would nest one level per column
+    total = F.size(F.filter(empty, lambda flag: flag))
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).cast("bigint").alias("missing_cells"))
 
 
@@ -219,7 +217,9 @@ def break_constant(df: DataFrame, eps: float = 1e-6, seed: int = 0, part: str |
     flagged = constant_features(feature_moments(train))
     if not flagged:
         return df
-    is_flagged = lambda i: F.array_contains(array_literal(flagged, "int"), i)
+    at = set(flagged)
+    mask = array_literal([int(i in at) for i in range(max(flagged) + 1)], "int")
+    is_flagged = lambda i: F.get(mask, i) == 1
     noise = lambda i: normal(seed, F.col("row_id"), i) * F.lit(float(eps))
     changed = F.transform("features", lambda v, i: F.when(is_flagged(i), v + noise(i)).otherwise(v))
     if part is not None:

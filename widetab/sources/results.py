@@ -27,24 +27,13 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str
     writer.format(fmt).save(path)
 
 
-def plain_values(value):
-    """Nested lists and mappings of plain values; anything else becomes its text."""
-    if value is None or isinstance(value, (str, int, float, bool)):
-        return value
-    if isinstance(value, dict):
-        return {str(k): plain_values(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [plain_values(v) for v in value]
-    return str(value)
-
-
 def write_config(spark: SparkSession, run_id: str, config: dict, path: str, fold_times: Sequence[float] | None = None) -> None:
     """One JSON row per run; average and total fold time are added when times were recorded."""
     config = dict(config)
     if fold_times is not None:
         config["avg_fold_time"] = round(sum(fold_times) / len(fold_times), 4) if fold_times else None
         config["total_elapsed_time"] = round(sum(fold_times), 4) if fold_times else None
-    row = [(run_id, json.dumps(plain_values(config)))]
+    row = [(run_id, json.dumps(config, default=str))]
     spark.createDataFrame(row, CONFIG_SCHEMA).write.mode("append").json(path)
 
 
