@@ -182,10 +182,8 @@ def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
 
 
 def _candidate(data: bytes, after: int) -> int:
-    """The next place where a member or a version line may begin, or the end."""
-    member, line = data.find(GZIP, after), data.find(b"\n" + VERSION, max(after - 1, 0))
-    places = [p for p in (member, line + 1 if line >= 0 else -1) if p >= after]
-    return min(places, default=len(data))
+    """The next place where a member or a version line may begin, or the end. A cut-off record has no line end before the next."""
+    return min((p for p in (data.find(GZIP, after), data.find(VERSION, after)) if p >= 0), default=len(data))
 
 
 def salvage(data: bytes) -> Salvage:
