@@ -32,7 +32,7 @@ from widetab.llm.frames import batch, cut_lineage, documents, schema_of
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 EMPTY = np.uint64(2**64 - 1)
-STARS = 8  # centres per bucket in the rounds after the first
+STARS = 4  # centres per bucket in the rounds after the first
 FILTER_BITS = 27  # a filter of 16 MB, whatever the input
 
 _SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
@@ -173,7 +173,8 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame, round_: int) -> DataFrame:
     """Pairs of each bucket's centres with its other nodes, where the components differ. Columns a < b."""
-    uniform = [F.xxhash64("key", "node", F.lit(1000 * round_ + j)) for j in range(STARS // 2 if round_ else 1)]
+    # first one order for all buckets, so that a group has few centres; then other centres in every bucket
+    uniform = [F.xxhash64("key", "node", F.lit(1000 * round_ + j)) for j in range(STARS // 2)] if round_ else [F.xxhash64("node")]
     if round_:
         # exponential waiting times: a node with more links is drawn more often
         draw = lambda j: (F.pmod(F.xxhash64("key", "node", F.lit(-1000 * round_ - j)), F.lit(1 << 40)) + 1) / float(1 << 40)
