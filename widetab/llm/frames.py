@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from widetab.session import cut_lineage
 
-__all__ = ["batch", "cut_lineage", "documents", "read", "restore", "schema_of"]
+__all__ = ["batch", "cut_lineage", "documents", "read", "release", "restore", "schema_of"]
 
 
 def read(spark, folder: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def restore(like: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.schema])
 
 
+def release(spark) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no frame refers to any more.
+
+    It does so after a garbage collection of the driver's JVM, which a driver with little to do may put off for many
+    rounds of an iteration.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start in range(0, b.num_rows, rows):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widetab.llm import textops
-from widetab.llm.frames import batch, cut_lineage, documents, schema_of
+from widetab.llm.frames import batch, cut_lineage, documents, release, schema_of
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 EMPTY = np.uint64(2**64 - 1)
@@ -226,6 +226,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     members = cut_lineage(rows.join(crowded, "key"))
     labels = cut_lineage(members.select("node").distinct().withColumn("component", F.col("node")))
     sets = cut_lineage(full_sets(docs, labels))
+    del rows, crowded
+    release(docs.sparkSession)
     tested = links = None
     round_ = 0
     while True:
@@ -247,6 +249,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         else:
             labels = join_components(labels, found)
         round_ += 1
+        del now, degree
+        release(docs.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
