@@ -16,7 +16,31 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, as many as asked for so far. A copy sent to a task starts empty."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << max(n, 1 << 16).bit_length()
+            self.up, self.down = (_running_product(base, size) for base in (_PRIME, _INVERSE))
+        return self.up[:n], self.down
+
+
+def _running_product(base: np.uint64, size: int) -> np.ndarray:
+    steps = np.full(size, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,21 +125,11 @@ def word_counts(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> np.n
     return out
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << max(n, CHUNK + 1).bit_length()
-        for name, base in (("up", _PRIME), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, from one running sum over all bytes."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
+    up, down = _powers.first(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(values[data] * up, out=total[1:])
