@@ -346,3 +346,16 @@ def test_pipeline_stages_keep_columns(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_odd_sketches_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 40, 300, 3000):
+        for changed in (0, 1, size // 8, size // 3, size):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)]))
+            apart = int(np.bitwise_count((minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).view(np.uint64)).sum())
+            common = len(np.intersect1d(a, b))
+            assert apart <= len(a) + len(b) - 2 * common
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                assert 7 * apart <= len(a) + len(b)

@@ -9,6 +9,9 @@ How it works, with n documents:
    with similarity 0.75 shares no bucket with a chance of about 5 in a million.
 3. Buckets with one node are dropped. In each other bucket a *star* links all nodes with one centre, so a bucket of
    m nodes makes m - 1 candidates. Candidates are confirmed on the full sets: 100 * intersection >= 75 * union.
+   Before that, the join itself leaves out pairs that cannot reach it: every node has an odd sketch, 512 parities of
+   its shingles by hash. Two nodes differ in at most as many parities as shingles, and a link allows a seventh of
+   both sizes together. No link is lost; from about 900 shingles on, the sketch says nothing and every pair passes.
 4. Nodes that a centre does not confirm may still belong to another member. Further rounds draw new centres in
    every bucket whose nodes lie in several components - some uniformly, some by the links they have so far - until a
    round joins nothing. Each round makes a fixed number of candidates per bucket row.
@@ -33,9 +36,10 @@ from widetab.llm.frames import batch, cut_lineage, documents, release, schema_of
 SHINGLE, BINS, ROWS = 5, 128, 4
 EMPTY = np.uint64(2**64 - 1)
 STARS = 8  # centres per bucket in the rounds after the first
+PARITIES = 512  # bits of an odd sketch
 FILTER_BITS = 27  # a filter of 16 MB, whatever the input
 
-_SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, odd array<long>"
 _SETS = "node binary, shingles binary"
 
 
@@ -68,6 +72,13 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the distinct shingles falls on each position, as 64-bit words."""
+    at = (textops.mix(shingles) >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sets(column) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     data, offsets = textops.utf8(column)
     shingles, bounds = textops.shingles(*textops.word_hashes(data, offsets), SHINGLE)
@@ -91,8 +102,9 @@ def _sketch(batches):
     for b in _slices(batches):
         sets, shingles, bounds = _sets(b.column("text"))
         keys = textops.signed(band_keys(densify(sketch_bins(shingles, bounds))))
-        filled = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-        yield batch(schema, b.column("doc_id"), [len(s) for s in sets], [_digest(s) for s in sets], filled)
+        odd = np.stack([odd_sketch(s) for s in sets])
+        bands, parities = (pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (keys, odd))
+        yield batch(schema, b.column("doc_id"), [len(s) for s in sets], [_digest(s) for s in sets], bands, parities)
 
 
 def _filter_bits(column) -> np.ndarray:
@@ -171,6 +183,15 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return wide.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a binary, b binary")
 
 
+def may_link(n, other_n, odd, other_odd):
+    """False only for nodes whose sizes or parities rule out a link.
+
+    100 * intersection >= 75 * union is the same as 7 * symmetric difference <= sum of the sizes.
+    """
+    apart = [F.bit_count(odd[i].bitwiseXOR(other_odd[i])) for i in range(PARITIES // 64)]
+    return (100 * F.least(n, other_n) >= 75 * F.greatest(n, other_n)) & (7 * sum(apart[1:], apart[0]) <= n + other_n)
+
+
 def _stars(members: DataFrame, round_: int) -> DataFrame:
     """Pairs of each bucket's centres with its other nodes, where the components differ. Columns a < b."""
     uniform = [F.xxhash64("key", "node", F.lit(1000 * round_ + j)) for j in range(STARS // 2 if round_ else 1)]
@@ -180,15 +201,16 @@ def _stars(members: DataFrame, round_: int) -> DataFrame:
         weighted = [-F.log(draw(j)) / (F.col("links") + 1) for j in range(STARS // 2)]
     else:
         weighted = []
-    picks = [F.min(F.struct(p.alias("p"), F.col("node"), F.col("component"), F.col("n_shingles")))
+    picks = [F.min(F.struct(p.alias("p"), F.col("node"), F.col("component"), F.col("n_shingles"), F.col("odd")))
              .alias(f"c{j}") for j, p in enumerate(uniform + weighted)]
     chosen = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *picks)
     centres = chosen.filter("low <> high").select("key", F.explode(F.array_distinct(F.array(*[
-        F.struct(F.col(f"c{j}.node").alias("node"), F.col(f"c{j}.component").alias("component"), F.col(f"c{j}.n_shingles").alias("n"))
+        F.struct(F.col(f"c{j}.node").alias("node"), F.col(f"c{j}.component").alias("component"), F.col(f"c{j}.n_shingles").alias("n"),
+                 F.col(f"c{j}.odd").alias("odd"))
         for j in range(len(picks))]))).alias("centre"))
     near = members.join(centres, "key").filter(
         (F.col("centre.component") != F.col("component"))
-        & (100 * F.least("n_shingles", "centre.n") >= 75 * F.greatest("n_shingles", "centre.n"))
+        & may_link(F.col("n_shingles"), F.col("centre.n"), F.col("odd"), F.col("centre.odd"))
     )
     return near.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
@@ -225,6 +247,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     crowded = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     members = cut_lineage(rows.join(crowded, "key"))
     labels = cut_lineage(members.select("node").distinct().withColumn("component", F.col("node")))
+    sketches = cut_lineage(nodes.select("node", "odd").join(labels.select("node"), "node", "left_semi"))
     sets = cut_lineage(full_sets(docs, labels))
     del rows, crowded
     release(docs.sparkSession)
@@ -234,7 +257,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         degree = None
         if links is not None:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        now = members.join(labels, "node")
+        now = members.join(labels.join(sketches, "node"), "node")
         now = now.join(degree, "node", "left").fillna(0, ["links"]) if degree is not None else now.withColumn("links", F.lit(0))
         pairs = _stars(now, round_)
         if tested is not None:
@@ -264,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = documents(docs, id_col, text_col)
     sketched = cut_lineage(table.mapInArrow(_sketch, _SKETCH))
     nodes = sketched.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = cut_lineage(nodes)
     labels = similar_nodes(table, nodes)
     named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
