@@ -1,8 +1,8 @@
 """WARC archives of pages, written by Spark's own writer, and a reader that salvages damaged ones.
 
 Writing: digests are computed where pages are read; the response of each group of equal payloads is the smallest page
-id (aggregated before the shuffle). Only ids and digests are joined to find revisits; the pages themselves travel once,
-by page id. A record is valid UTF-8, so archives are plain text files without compression, of a bounded number of records.
+id (aggregated before the shuffle). Only ids and digests are joined to find revisits. A bit map of fixed size tells the
+tasks which pages may be revisits: these travel once, by page id, the others are written where they are read. A record is valid UTF-8, so archives are plain text files without compression, of a bounded number of records.
 
 Reading (``salvage``): a file is a run of gzip members or of plain records. When a member does not decompress, a header
 does not parse, a length does not fit or a digest differs, the reader looks for the next member or version line that
@@ -16,13 +16,16 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widetab.llm.frames import batch, schema_of
+from widetab.llm.frames import batch, cut_lineage, schema_of
 
 SMALLEST = 100  # bytes of a payload that may be revisited
 PER_FILE = 2000  # records
+MAP_BITS = 27  # a bit map of 16 MB, whatever the input
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -56,6 +59,29 @@ def _record(refers_to: Column) -> Column:
     return F.concat(F.concat_ws(end, *lines), F.lit(end + end), block, F.lit("\r\n\r"))
 
 
+def _place(page: str, digest: str) -> Column:
+    return F.pmod(F.xxhash64(page, digest), F.lit(1 << MAP_BITS))
+
+
+def _may_revisit(revisits: DataFrame):
+    """A function of ``_place`` that is True for all revisits and few other pages.
+
+    It only spares pages the shuffle; the join decides. If the map fills up, more pages travel.
+    """
+    at = _place("__page", "__digest")
+    words = revisits.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^21 words
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    chosen = revisits.sparkSession.sparkContext.broadcast(bits)
+
+    def hit(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((chosen.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return F.pandas_udf(hit, "boolean")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """One record per row. Null html is an empty payload, a null url an empty one, a null page id is written as ``none``.
 
@@ -65,8 +91,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     narrow = rows.filter(F.col("size") >= SMALLEST).select("page_id", "digest")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     revisits = narrow.join(first, "digest").filter("page_id <> refers_to or (page_id is null and refers_to is not null)").distinct()
-    revisits = revisits.withColumnsRenamed({"page_id": "__page", "digest": "__digest"})
-    marked = rows.join(revisits, rows["page_id"].eqNullSafe(F.col("__page")) & (rows["digest"] == F.col("__digest")), "left")
+    revisits = cut_lineage(revisits.withColumnsRenamed({"page_id": "__page", "digest": "__digest"}))
+    may = _may_revisit(revisits)(_place("page_id", "digest"))
+    travel = rows.filter(may)
+    found = travel.join(revisits, travel["page_id"].eqNullSafe(F.col("__page")) & (travel["digest"] == F.col("__digest")), "left")
+    columns = ["page_id", "url", "payload", "digest", "size", "refers_to"]
+    marked = rows.filter(~may).withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(found.select(columns))
     marked.select(_record(F.col("refers_to")).alias("value")).write.option("maxRecordsPerFile", PER_FILE).option("lineSep", "\n").text(path)
 
 
