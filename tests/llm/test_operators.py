@@ -262,6 +262,26 @@ def test_language_model(docs, empty):
     assert lm_score.score_texts(empty, empty).count() == 0 and lm_score.score_texts(docs, empty).count() == len(found)
 
 
+def test_every_position_is_learned_from(spark):
+    train = spark.createDataFrame([(i, "a b c") for i in range(400)], "doc_id long, text string").coalesce(1)
+    known = lm_score.vocabulary(lm_score.word_counts(train))
+    model = (np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), np.zeros(lm_score.CLASSES, np.float32))
+    for number in range(lm_score.ROUNDS):
+        model = lm_score._train_round(train, spark.sparkContext.broadcast(known), model, number)
+    hashes, buckets, bounds, _, _ = next(lm_score._chunks(pa.array(["a b c"])))
+    kinds, rows, _, _ = lm_score.features(hashes, buckets, bounds, known)
+    assert (np.exp(lm_score.log_softmax(*model, rows))[np.arange(4), kinds] > 0.1).all()  # those of "c" and the end were never seen
+
+
+def test_group_sums():
+    rng = np.random.default_rng(6)
+    for keys in (np.zeros(50, int), np.arange(40), rng.zipf(1.3, 3000) % 500, np.repeat([1, 2, 3], [31, 32, 33])):
+        values, order = rng.normal(size=(len(keys), 5)), np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0])
+        sums = lm_score.group_sums(values, order, first, np.diff(np.r_[first, len(keys)]))
+        assert np.allclose(sums, [values[keys == k].sum(axis=0) for k in np.unique(keys)])
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAVY", 1)
     table = spark.createDataFrame([(0, "a b c a"), (1, "a d"), (1, "a d"), (2, "c z z")], "doc_id long, text string")

@@ -4,8 +4,8 @@ The probability of a token is that of its class given the two tokens before it,
 
 * Class factor: a softmax over ``CLASSES`` with one weight row per feature - the previous token, the token before that
   (a skip), and both together, hashed into ``ROWS`` rows. It is trained by rounds of distributed gradient updates: every
-  task takes mini-batches of its documents' tokens (every ``STRIDE``-th position, another one in each round), and the rows'
-  changes are averaged over tasks by how often they were updated.
+  task takes mini-batches of its documents' tokens (every ``STRIDE``-th position, another one in each of ``STRIDE`` rounds,
+  so every token is learned from once), and the rows' changes are averaged over tasks by how often they were updated.
 * Token factor: the maximum-entropy solution for the unigram feature is the smoothed relative frequency in the class.
   Its counts cover all training tokens.
 
@@ -34,8 +34,10 @@ START = TOP + BUCKETS
 SIGNS = START + 1
 ROWS = 2 * SIGNS + PAIR_ROWS
 HEAVY = 20
-STRIDE, ROUNDS, RATES = 4, 2, (0.4, 0.2)
+RATES = (0.4, 0.2)  # one per round
+ROUNDS = STRIDE = len(RATES)  # as many rounds as positions in a stride: together they cover all
 BATCH = 8192
+LARGE = 32  # rows of a batch from which a weight row's gradient is summed by itself
 KEPT_WORDS = 2_000_000  # words gathered before a task adds up their counts
 
 END_WORD = int(textops.signed(textops.mix(np.array([0x656E64], np.uint64)))[0])  # a hash for the end of a text
@@ -165,6 +167,23 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return scores
 
 
+def group_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of ``values[order]`` over groups given by start and size: large groups one by one, small ones a member at a time."""
+    by = np.argsort(-count, kind="stable")
+    start, size = first[by], count[by]
+    sums = values[order[start]]
+    large = int(np.searchsorted(-size, -LARGE, side="right"))
+    for i in range(large):
+        sums[i] = values[order[start[i]:start[i] + size[i]]].sum(axis=0)
+    member, left = 1, len(size)
+    while (left := int(np.searchsorted(-size[:left], -(member + 1), side="right"))) > large:
+        sums[large:left] += values[order[start[large:left] + member]]
+        member += 1
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
+
+
 class Learner:
     """Mini-batch steps with a rate per row that falls with the gradients seen (sparse: only rows of the batch are touched)."""
 
@@ -180,8 +199,8 @@ class Learner:
             order = np.argsort(rows[:, column], kind="stable")
             own = rows[order, column]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            touched, count = own[first], np.diff(np.r_[first, len(own)]).astype(np.float32)
-            gradient = np.add.reduceat(error[order], first, axis=0) / np.sqrt(count)[:, None]
+            touched, count = own[first], np.diff(np.r_[first, len(own)])
+            gradient = group_sums(error, order, first, count) / np.sqrt(count.astype(np.float32))[:, None]
             self.seen[touched] += (gradient ** 2).mean(axis=1)
             self.weights[touched] -= self.rate * gradient / np.sqrt(self.seen[touched] + 1e-4)[:, None] / 3
             self.updates[touched] += count
