@@ -355,6 +355,48 @@ def test_licenses(docs, empty, spark):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(empty).count() == 0
 
 
+def matches(parsed, alternatives=60):
+    """Some texts that a parsed pattern matches: every branch, repeats at their least and one more."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts = [chr(arg)]
+        elif kind == "IN":
+            parts = [{"CATEGORY_DIGIT": "7", "CATEGORY_NOT_SPACE": "x"}.get(str(v), chr(v) if isinstance(v, int) else None) for _, v in arg]
+        elif kind == "BRANCH":
+            parts = [t for branch in arg[1] for t in matches(branch)]
+        elif kind == "SUBPATTERN":
+            parts = matches(arg[3])
+        elif kind == "MAX_REPEAT":
+            least, most, inner = arg
+            parts = [t * n for n in (least, min(least + 1, most)) for t in matches(inner)]
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+            parts = [""]
+        out = [a + b for a in out for b in dict.fromkeys(parts)]
+        if len(out) > alternatives:
+            out = [out[0], out[-1], *random.Random(len(out)).sample(out, alternatives - 2)]
+    return out
+
+
+def test_every_license_rule_passes_its_own_gate(spark):
+    for rule in license_scan.RULES:
+        tried = 0
+        for text in matches(re._parser.parse(rule.pattern.pattern)):
+            padded = f" {' '.join(text.split())} "
+            if rule.pattern.search(padded):
+                tried += 1
+                assert set(rule.keywords) <= set(padded.split()) and rule.keywords[0] in license_scan.KEYWORDS, (rule, padded)
+        assert tried, rule
+    fused = {"GPLv3": "gpl-3.0", "GPLv2": "gpl-2.0", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "GPL3": "gpl-3.0",
+             "MPLv2.0": "mpl-2.0", "GNU GPLv3+": "gpl-3.0", "Apache2": "apache-2.0", "GPL v3": "gpl-3.0", "GPL-3.0": "gpl-3.0"}
+    table = spark.createDataFrame([(n, f"Licensed under {n}") for n in fused], "doc_id string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    found = [(r["labels"], r["score"]) for r in license_scan.scan_licenses(table.coalesce(1)).orderBy("doc_id").collect()]
+    assert found == [(label, 0.85) for label in fused.values()]
+    assert license_scan.detections("a gplv4 and gplv3 1".split()) == []
+
+
 def test_pipeline_stages_keep_columns(spark):
     from tests.conftest import DATA
 

@@ -158,9 +158,13 @@ def build_rules() -> list[Rule]:
             for version in versions.split():
                 number = version.replace(".", " ")
                 short = number.removesuffix(" 0") if number.endswith(" 0") else number
-                numbered = rf"{name}(?: licen[cs]e)?(?: version| v)? ?(?:v?{number}|v?{short}(?! \d))"
+                numbered = rf"{name}(?= )(?: licen[cs]e)?(?: version| v)? ?(?:v?{number}|v?{short}(?! \d))"
                 rules.append(_rule(f"grant-{name}-{version}", f"{label}-{version}", 85, key, GRANT + numbered))
                 rules.append(_rule(f"name-{name}-{version}", f"{label}-{version}", 70, key, numbered))
+                for v in ("v", ""):  # name and number in one word, which is then the keyword
+                    fused, word = rf"{name}{v}(?:{number}|{short}(?! \d))", f"{key}{v}{number.split()[0]}"
+                    rules.append(_rule(f"grant-{name}{v}{version}", f"{label}-{version}", 85, word, GRANT + fused))
+                    rules.append(_rule(f"name-{name}{v}{version}", f"{label}-{version}", 70, word, fused))
                 if " " not in name:
                     rules.append(_rule(f"spdx-{name}-{version}", f"{label}-{version}", 95, f"spdx {key}", rf"spdx license identifier {name} {number}(?: or later| only)?"))
     for short, words in CC_KINDS:
@@ -201,7 +205,10 @@ def _present(keywords: str, pattern: str) -> str:
 
 RULES = build_rules()
 #: Every rule and base phrase needs one of these words; a text without them is done.
-KEYWORDS = sorted({r.keywords[0] for r in RULES} | {phrase.split()[-1] for phrase, _ in BASE})
+_BY_KEYWORD: dict[str, list[Rule]] = {}
+for _r in RULES:
+    _BY_KEYWORD.setdefault(_r.keywords[0], []).append(_r)
+KEYWORDS = sorted(set(_BY_KEYWORD) | {phrase.split()[-1] for phrase, _ in BASE})
 _BASE_PATTERNS = [(re.compile(rf"(?<= ){p}(?= )"), label) for p, label in BASE]
 
 
@@ -215,10 +222,11 @@ def detections(words: list[str]) -> list[tuple[int, int, str, int]]:
         starts.append(at)
         at += len(w) + 1
     found = []
-    for rule in RULES:
-        if all(k in present for k in rule.keywords):
-            for m in rule.pattern.finditer(padded):
-                found.append((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label))
+    for first in present & _BY_KEYWORD.keys():
+        for rule in _BY_KEYWORD[first]:
+            if all(k in present for k in rule.keywords):
+                for m in rule.pattern.finditer(padded):
+                    found.append((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label))
     found.sort()
     taken: list[tuple[int, int]] = []
     out = []
