@@ -240,6 +240,37 @@ def test_toxicity(spark, empty):
     assert toxicity.score_documents(docs, blank).filter("score between 0 and 1").count() == 602
 
 
+def test_toxicity_knows_copies_of_small_samples(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}x{rng.randrange(10 ** 6)}" for _ in range(12))) for i in range(40)]  # no word in two examples
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(train, spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int"))
+    indexed = model.index.ids.tolist()
+    assert indexed and all(i < 24 for i in indexed)
+    close = spark.createDataFrame([(i, " ".join(rows[i][1].split()[:9] + ["other", "words"])) for i in indexed], "doc_id long, text string")
+    for r in toxicity.score_documents(close, model).collect():
+        assert r["evidence"] == [r["doc_id"]] and r["vote"] == r["doc_id"] % 2 and 0.8 < r["cosines"][0] < 0.9
+
+
+def test_nearest_examples_equal_brute_force():
+    rng = np.random.default_rng(9)
+    terms = 1500
+    vectors = []
+    for _ in range(900):
+        t = np.unique(rng.zipf(1.2, 80) % terms)
+        w = rng.random(len(t))
+        vectors.append((t, w / np.linalg.norm(w)))
+    index = toxicity.Index(list(range(800)), [i % 3 == 0 for i in range(800)], vectors[:800], terms)
+    full = np.zeros((800, terms))
+    for i, (t, w) in enumerate(vectors[:800]):
+        full[i, t] = w
+    for t, w in vectors[800:]:
+        near, cosine = index.nearest(t, w)
+        exact = full[:, t] @ w
+        wanted = sorted(range(800), key=lambda i: (-round(exact[i], 12), i))[:toxicity.K]
+        assert index.ids[near].tolist() == wanted and np.allclose(cosine, exact[wanted])
+
+
 def test_language_model(docs, empty):
     train = docs.filter("doc_id % 5 <> 1")
     texts = [r["text"] for r in train.select("text").collect()]

@@ -1,14 +1,17 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index.
 
 Fitting uses a bounded sample of at most about ``EXAMPLES`` labelled rows, drawn by hash. Terms are words (runs of
-letters, digits and anything beyond ASCII, A-Z lower-cased). The index keeps at most ``TERMS`` terms, those whose
-document frequencies differ most between the labels (chi-square of at least ``LEAST_CHI``); their inverse document frequencies come from all documents.
-
-Three quarters of the sample are indexed: sorted by their heaviest term and cut into blocks of ``BLOCK`` examples, with
-the largest weight of every term in every block. A query adds up these maxima, visits blocks by falling bound and stops
-when no bound can reach its k-th best cosine, so the k neighbours are exact. Neighbours vote with weights that grow as
-their distance shrinks. The last quarter of the sample calibrates votes to probabilities by a monotone fit. Texts
-without any indexed term get the share of toxic examples among such texts.
+letters, digits and anything beyond ASCII, A-Z lower-cased). All terms of the indexed examples are kept; their inverse
+document frequencies come from all documents, and count 1 + log(1 + chi-square) times, with the chi-square of term and
+label among the indexed examples. Words of no indexed example have no weight.
+
+Three quarters of the sample are indexed: sorted by their heaviest term and cut into blocks of ``BLOCK`` examples. The
+``FREQUENT`` most frequent terms are held as a matrix, with the largest weight of every such term in every block, all
+others as postings. A query adds up its postings, and bounds what the frequent terms can add to an example by the block's
+maxima and by the lengths of both vectors. The ``FIRST`` examples by bound are scored, then all whose bound reaches their
+k-th best cosine, so the k neighbours are exact. Neighbours vote with weights that grow as their distance shrinks. The
+last quarter of the sample calibrates votes to probabilities by a monotone fit. Texts without any indexed term get the
+share of toxic examples among such texts.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from widetab.llm import textops
 from widetab.llm.frames import batch, documents, schema_of
 
-EXAMPLES, TERMS, BLOCK, K = 16_000, 4096, 64, 15
-LEAST_COUNT, LEAST_CHI = 3, 30.0  # 30: by chance in fewer than one of ten million terms
+EXAMPLES, BLOCK, K = 16_000, 64, 15
+FREQUENT, FIRST = 256, 64
 CUT = 0.7  # predicted from this score on
 EVIDENCE = 3
 
@@ -62,13 +65,14 @@ def sample_labels(labels: DataFrame, most: int = EXAMPLES) -> Example:
     return Example(table["doc_id"].to_numpy(np.int64), table["toxic"].to_numpy(bool), table["held"].to_numpy(bool))
 
 
-def choose_terms(docs: DataFrame, chosen) -> np.ndarray:
-    """Hashes of the terms whose share of documents differs most between the labels of the indexed examples."""
+def sample_terms(docs: DataFrame, chosen) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the indexed examples, and the chi-square of each term and the label there."""
     def count(batches):
         schema = schema_of("term long, toxic long, clean long")
         for b in batches:
             at = chosen.value.find(b.column("doc_id").fill_null(-1).to_numpy())
-            b, at = b.filter(_mask((at >= 0) & ~chosen.value.held[at])), at[(at >= 0) & ~chosen.value.held[at]]
+            keep = np.array([i >= 0 and not chosen.value.held[i] for i in at], bool)
+            b, at = b.filter(_mask(keep)), at[keep]
             for hashes, bounds, i in _terms(b.column("text")):
                 sets = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
                 label = np.repeat(chosen.value.toxic[at[i:i + len(sets)]], [len(s) for s in sets])
@@ -79,12 +83,12 @@ def choose_terms(docs: DataFrame, chosen) -> np.ndarray:
 
     example = chosen.value
     p, n = int((example.toxic & ~example.held).sum()), int((~example.toxic & ~example.held).sum())
-    counted = docs.mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    seen = F.col("t") + F.col("c")
-    apart = F.col("t") * n - F.col("c") * p
-    chi = apart.cast("double") * apart * (p + n) / (seen * F.greatest(p + n - seen, F.lit(1)) * max(p, 1) * max(n, 1))
-    kept = counted.filter((seen >= LEAST_COUNT) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(TERMS)
-    return np.sort(textops.unsigned(kept.select("term").toArrow()["term"].to_numpy()))
+    found = docs.mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).toArrow()
+    t, c = (found[name].to_numpy().astype(float) for name in ("t", "c"))
+    chi = (t * n - c * p) ** 2 * (p + n) / ((t + c) * np.maximum(p + n - t - c, 1) * max(p, 1) * max(n, 1))
+    terms = textops.unsigned(found["term"].to_numpy())
+    order = np.argsort(terms)
+    return terms[order], chi[order]
 
 
 def _mask(keep):
@@ -96,25 +100,26 @@ def _mask(keep):
 def document_frequencies(docs: DataFrame, terms) -> tuple[np.ndarray, int]:
     """In how many of all documents each indexed term occurs, and how many there are."""
     def count(batches):
-        schema = schema_of("term long, n long")
-        total, texts = np.zeros(len(terms.value.keys), np.int64), 0
+        schema, lookup = schema_of("term long, n long"), textops.Lookup(terms.value)
+        total, texts = np.zeros(len(terms.value), np.int64), 0
         for b in batches:
             texts += b.num_rows
             for hashes, bounds, _ in _terms(b.column("text")):
-                at, key = terms.value.find(hashes)
+                at, key = lookup.find(hashes)
                 text = np.searchsorted(bounds, at, side="right") - 1
                 total += np.bincount(np.unique(text * len(total) + key) % max(len(total), 1), minlength=len(total))
-        yield batch(schema, np.arange(-1, len(total)), np.concatenate([[texts], total]))
+        seen = np.flatnonzero(total)
+        yield batch(schema, np.concatenate([[-1], seen]), np.concatenate([[texts], total[seen]]))
 
     table = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(terms.value.keys), np.int64)
+    out = np.zeros(len(terms.value), np.int64)
     known = table[table["term"] >= 0]
     out[known["term"]] = known["n"]
     return out, int(table.loc[table["term"] < 0, "n"].sum())
 
 
 def weighted(hashes, bounds, lookup: textops.Lookup, idf: np.ndarray):
-    """Per text its indexed terms and unit-length weights (1 + log tf) * idf."""
+    """Per text its indexed terms and unit-length weights (1 + log tf) * idf (here times what the labels add)."""
     at, key = lookup.find(hashes)
     text = np.searchsorted(bounds, at, side="right") - 1
     pair, tf = np.unique(text * max(len(idf), 1) + key, return_counts=True)
@@ -125,7 +130,7 @@ def weighted(hashes, bounds, lookup: textops.Lookup, idf: np.ndarray):
 
 
 class Index:
-    """Examples in blocks, postings by term with the largest weight per block."""
+    """Examples in blocks: a matrix of the frequent terms with their largest weight per block, and postings of the others."""
 
     def __init__(self, ids, toxic, vectors, n_terms: int):
         filled = [i for i, (t, _) in enumerate(vectors) if len(t)]
@@ -136,37 +141,42 @@ class Index:
         rows = np.repeat(np.arange(len(filled)), [len(vectors[i][0]) for i in filled])
         term = np.concatenate([vectors[i][0] for i in filled]) if filled else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in filled]) if filled else np.zeros(0)
+        frequent = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:FREQUENT]
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        self.full = np.zeros((len(filled), len(frequent)), weight.dtype)
+        own = self.place[term] >= 0
+        self.full[rows[own], self.place[term[own]]] = weight[own]
+        self.length = np.sqrt(np.square(self.full, dtype=np.float64).sum(axis=1))
+        self.blocks = -(-len(filled) // BLOCK)
+        self.most = np.zeros((len(frequent), self.blocks), weight.dtype)
+        for b in range(self.blocks):
+            self.most[:, b] = self.full[b * BLOCK:(b + 1) * BLOCK].max(axis=0)
+        rows, term, weight = rows[~own], term[~own], weight[~own]
         order = np.lexsort((rows, term))
-        self.rows, self.weights = rows[order], weight[order]
+        self.rows, self.weights = rows[order].astype(np.min_scalar_type(len(filled))), weight[order]
         self.cuts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.blocks = -(-len(filled) // BLOCK)
-        self.most = np.zeros((n_terms, max(self.blocks, 1)), np.float32)
-        np.maximum.at(self.most, (term[order], self.rows // BLOCK), np.nextafter(self.weights.astype(np.float32), np.float32(2)))
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine above 0 and these, ties by id. Blocks that cannot matter are not visited."""
-        bound = (weights[:, None] * self.most[terms]).sum(axis=0) * (1 + 1e-5)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        lists = [(self.rows[self.cuts[t]:self.cuts[t + 1]], self.weights[self.cuts[t]:self.cuts[t + 1]]) for t in terms]
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order):
-            if len(best) >= k and bound[order[at]] < best[k - 1]:
-                break
-            visited = order[at:at + step]
-            total = np.zeros(len(visited) * BLOCK)
-            for w, (rows, weight) in zip(weights, lists):
-                for v, block in enumerate(visited):
-                    a, b = np.searchsorted(rows, [block * BLOCK, (block + 1) * BLOCK])
-                    total[rows[a:b] - block * BLOCK + v * BLOCK] += w * weight[a:b]
-            hit = np.flatnonzero(total > 0)
-            rows = visited[hit // BLOCK] * BLOCK + hit % BLOCK
-            best_row, best = np.concatenate([best_row, rows]), np.concatenate([best, total[hit]])
-            keep = np.lexsort((self.ids[best_row], -np.round(best, 12)))[:k]
-            best_row, best = best_row[keep], best[keep]
-            at, step = at + step, step * 2
-        return best_row, best
+        """The k examples with the largest cosine above 0 and these, ties by id. Examples that cannot matter are not scored."""
+        place = self.place[terms]
+        query = np.zeros(self.full.shape[1])
+        query[place[place >= 0]] = weights[place >= 0]
+        rare, rare_weights = terms[place < 0], weights[place < 0]
+        start, size = self.cuts[rare], self.cuts[rare + 1] - self.cuts[rare]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total = np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(rare_weights, size), minlength=len(self.ids))
+        block = np.repeat(query @ self.most, BLOCK)[:len(total)]
+        bound = (total + np.minimum(block, np.sqrt(query @ query) * self.length)) * (1 + 1e-9)
+        least = 0.0
+        if len(total) > max(FIRST, k):
+            first = np.argpartition(-bound, max(FIRST, k))[:max(FIRST, k)]
+            least = np.partition(total[first] + self.full[first] @ query, -k)[-k]
+        row = np.flatnonzero((bound > 0) & (bound >= least - 1e-11))
+        cosine = total[row] + self.full[row] @ query
+        order = np.lexsort((self.ids[row], -np.round(cosine, 12)))
+        order = order[cosine[order] > 0][:k]
+        return row[order], cosine[order]
 
     def vote(self, rows, cosine) -> float:
         """Share of toxic neighbours, weighted by 1 / (distance + 0.1) with distance 1 - cosine."""
@@ -197,6 +207,12 @@ class Model:
     index: Index
     steps: tuple[np.ndarray, np.ndarray]
 
+    def __getstate__(self):
+        return {**self.__dict__, "lookup": self.lookup.keys}  # its table is built where it is used
+
+    def __setstate__(self, state):
+        self.__dict__.update({**state, "lookup": textops.Lookup(state["lookup"])})
+
     def score(self, column):
         """Per text: score, vote (NaN without indexed terms), ids and cosines of the nearest examples."""
         out = []
@@ -211,7 +227,7 @@ class Model:
         return out
 
 
-_LABELLED = "doc_id long, toxic boolean, held boolean, terms array<int>, weights array<double>"
+_LABELLED = "doc_id long, toxic boolean, held boolean, terms array<int>, weights array<float>"
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
@@ -219,27 +235,34 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     sc = docs.sparkSession.sparkContext
     docs = documents(docs)
     chosen = sc.broadcast(sample_labels(labels, most))
-    lookup = textops.Lookup(choose_terms(docs, chosen))
-    frequency, n = document_frequencies(docs, sc.broadcast(lookup))
-    idf = np.log((1 + n) / (1 + frequency)) + 1
+    terms, chi = sample_terms(docs, chosen)
+    lookup = textops.Lookup(terms)
+    keys = sc.broadcast(terms)
+    frequency, n = document_frequencies(docs, keys)
+    idf = (np.log((1 + n) / (1 + frequency)) + 1) * (1 + np.log1p(chi))
+    factors = sc.broadcast(idf)
 
     def rows(batches):
-        schema = schema_of(_LABELLED)
+        schema, known = schema_of(_LABELLED), textops.Lookup(keys.value)
         for b in batches:
             at = chosen.value.find(b.column("doc_id").fill_null(-1).to_numpy())
             b, at = b.filter(_mask(at >= 0)), at[at >= 0]
             for hashes, bounds, i in _terms(b.column("text")):
-                vectors = weighted(hashes, bounds, lookup, idf)
+                vectors = weighted(hashes, bounds, known, factors.value)
                 own = at[i:i + len(vectors)]
                 yield batch(schema, chosen.value.ids[own], chosen.value.toxic[own], chosen.value.held[own], [t for t, _ in vectors], [w for _, w in vectors])
 
-    # at most EXAMPLES rows of indexed terms only: copies of an id are taken once
-    found = docs.mapInArrow(rows, _LABELLED).dropDuplicates(["doc_id"]).toArrow().to_pylist()
-    vectors = lambda held: [r for r in found if r["held"] == held]
-    unpack = lambda rs: ([r["doc_id"] for r in rs], [r["toxic"] for r in rs], [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in rs])
-    index = Index(*unpack(vectors(False)), len(idf))
+    # at most about EXAMPLES rows: copies of an id are taken once
+    found = docs.mapInArrow(rows, _LABELLED).dropDuplicates(["doc_id"]).toArrow().combine_chunks()
+    for sent in (chosen, keys, factors):
+        sent.unpersist()
+    values = lambda name: found[name].to_numpy()
+    ids, marks, held, terms, weights = (values(name) for name in ("doc_id", "toxic", "held", "terms", "weights"))
+    unpack = lambda keep: (ids[keep], marks[keep], [(t.astype(np.int64), w) for t, w in zip(terms[keep], weights[keep])])
+    held = held.astype(bool)
+    index = Index(*unpack(~held), len(idf))
     votes, toxic = [], []
-    for _, t, (terms, weights) in zip(*unpack(vectors(True))):
+    for _, t, (terms, weights) in zip(*unpack(held)):
         near, cosine = index.nearest(terms, weights) if len(terms) and index.blocks else ((), ())
         if len(near):
             votes.append(index.vote(near, cosine))
@@ -253,7 +276,7 @@ _SCORES = "doc_id long, score double, vote double, evidence array<long>, cosines
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id, score, vote, evidence, cosines``. Null and empty texts get the prior of texts without terms.
 
-    The model is broadcast: it holds at most ``EXAMPLES`` vectors over ``TERMS`` terms.
+    The model is broadcast: it holds about ``EXAMPLES`` vectors at most, over their own terms.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
