@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widetab.llm import decontaminate, fingerprint, license_scan, line_dedup, lm_score, minhash, packing, quality, toxicity, warc
+from widetab.llm import (
+    decontaminate, fim, fingerprint, html_text, license_scan, line_dedup, lm_score, minhash, packing, quality, toxicity, vector_codes, warc,
+)
 from widetab.llm.frames import read
 from widetab.session import ensure_checkpoint_dir
 
@@ -114,3 +116,75 @@ def op5_lm_scoring(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     out = lm_score.score_texts(docs, docs.filter(~crc_is_one(F.col("doc_id"), 5)))
     return out.withColumn("held_out", crc_is_one(F.col("doc_id"), 5))
+
+
+@query
+def op11_vector_codes(spark, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    books = vector_codes.train(vectors)
+    out = vector_codes.with_label_errors(vector_codes.encode(vectors, books))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Full search instead of equal-average search, one pair of materialised tables per round."""
+    steps = [f"""
+WITH cells AS MATERIALIZED (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x, len(embedding) // {parts} AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+points AS MATERIALIZED (SELECT vec_id, label, pos // width AS part, pos % width AS place, x FROM cells),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT DISTINCT vec_id FROM cells) ORDER BY vec_id LIMIT {entries}),
+book0 AS MATERIALIZED (SELECT part, entry, place, x AS c FROM points JOIN firsts USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, entry, error FROM (
+    SELECT vec_id, label, part, entry, error, row_number() OVER (PARTITION BY vec_id, part ORDER BY error, entry) AS rank FROM (
+      SELECT p.vec_id, any_value(p.label) AS label, part, b.entry, sum((p.x - b.c) * (p.x - b.c)) AS error FROM points p JOIN book{r} b USING (part, place) GROUP BY p.vec_id, part, b.entry))
+  WHERE rank = 1)""")
+        if r < rounds:
+            steps.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT n.part, n.entry, p.place, CAST(floor(sum(p.x) / count(*)) AS BIGINT) AS c FROM near{r} n JOIN points p USING (vec_id, part) GROUP BY n.part, n.entry, p.place) m
+  USING (part, entry, place))""")
+    return ",".join(steps) + f"""
+, codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+FROM codes
+"""
+
+
+SQL["op11_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op12_fill_in_middle(spark, folder: str) -> DataFrame:
+    out = fim.fill_in_middle(read(spark, folder, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+SQL["op12_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op13_html_extraction(spark, folder: str) -> DataFrame:
+    return html_text.main_text(read(spark, folder, "pages"), html_text.train(html_text.labelled_pages(spark)))
