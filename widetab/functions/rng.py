@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +47,27 @@ def md5_bucket(key, buckets: int) -> Column:
         digit = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
         rest = F.pmod(rest * F.lit(2**32 % buckets) + digit, F.lit(buckets).cast("bigint"))
     return rest.cast("int")
+
+
+# Inside tasks, where numpy needs many numbers per row: a 64-bit key is mixed with an index (Steele, Lea, Flood 2014).
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x) -> np.ndarray:
+    """Spread 64-bit values so that every output bit depends on every input bit."""
+    x = np.asarray(x, np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def stream(key, index) -> np.ndarray:
+    """The numbers of the stream ``key`` at the positions ``index``; both may be arrays."""
+    with np.errstate(over="ignore"):
+        return mix64(np.asarray(key, np.uint64) + (np.asarray(index, np.uint64) + np.uint64(1)) * STEP)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers as uniform numbers in [0, 1)."""
+    return (x >> np.uint64(11)) * 2.0**-53

@@ -35,12 +35,13 @@ class Reducer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     names = _param("names", "input feature names, in order", TypeConverters.toListString)
     var_threshold = _param("var_threshold", "share t in the variance cut t(1-t)", TypeConverters.toFloat)
     num_tree_estimators = _param("num_tree_estimators", "trees of the importance forest", TypeConverters.toInt)
-    max_depth = _param("max_depth", "depth of its trees, 30 at most", TypeConverters.toInt)
+    max_depth = _param("max_depth", "depth of its trees; 0 is no limit", TypeConverters.toInt)
     fs_ratio = _param("fs_ratio", "selected share of the combined method", TypeConverters.toFloat)
     num_kbest_features = _param("num_kbest_features", "selected columns, instead of fs_ratio", TypeConverters.toInt)
     num_pca_comps = _param("num_pca_comps", "components, instead of fs_ratio", TypeConverters.toInt)
     num_ensemble = _param("num_ensemble", "views whose scores are averaged; 0 is a single view", TypeConverters.toInt)
-    num_landmarks = _param("num_landmarks", "kernel landmarks; as many as rows is exact", TypeConverters.toInt)
+    num_landmarks = _param("num_landmarks", "most kernel landmarks; no limit when unset", TypeConverters.toInt)
+    kernel_share = _param("kernel_share", "share of the centred kernel that the landmarks span; 1 is exact", TypeConverters.toFloat)
     gamma = _param("gamma", "kernel width, 1/d when unset", TypeConverters.toFloat)
     alpha = _param("alpha", "L1 penalty, a tenth of the largest useful one when unset", TypeConverters.toFloat)
     tol = _param("tol", "tolerance of the L1 fit", TypeConverters.toFloat)
@@ -56,7 +57,7 @@ class Reducer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._setDefault(
             num_features=150, task_type="multiclass", seed=0, names=[], var_threshold=0.95,
-            num_tree_estimators=10, max_depth=12, fs_ratio=0.75, num_ensemble=0, num_landmarks=512,
+            num_tree_estimators=10, max_depth=0, fs_ratio=0.75, num_ensemble=0, kernel_share=0.99,
             tol=1e-4, max_iter=3000, strict=False, epochs=50, lr=0.05, sigma=1.5,
         )
         self._set(**{k: v for k, v in params.items() if v is not None})
@@ -214,16 +215,19 @@ class PoolingModel(ReducerModel):
 
 
 class KernelModel(ReducerModel):
-    """``exp(-gamma |x - z|^2)`` against the landmarks, then a projection."""
+    """``exp(-gamma |x - z|^2)`` against the landmarks, then a projection.
 
-    def __init__(self, landmarks, gamma: float, components, offset, names_out: Sequence[str], variance=None):
+    ``residual`` is the share of the centred kernel of the fitted rows that the landmarks do not span.
+    """
+
+    def __init__(self, landmarks, gamma: float, components, offset, names_out: Sequence[str], variance=None, residual: float | None = None):
         super().__init__()
         self.landmarks, self.gamma, self.components, self.offset = landmarks, gamma, components, offset
-        self.names_out, self.variance = list(names_out), variance
+        self.names_out, self.variance, self.residual = list(names_out), variance, residual
 
     def _state(self):
         state = {"landmarks": self.landmarks, "gamma": self.gamma, "components": self.components,
-                 "offset": self.offset, "names_out": self.names_out}
+                 "offset": self.offset, "names_out": self.names_out, "residual": self.residual}
         return state if self.variance is None else state | {"variance": self.variance}
 
     def _transform(self, df):

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from widetab.functions import vectors
 from widetab.operators import matrix, metrics
 from widetab.operators.base import Reducer, ReducerModel
+from widetab.operators.boosting import HistogramBoosting
 from widetab.operators.layout import known_width
 from widetab.operators.split import kfold
 
@@ -72,7 +73,7 @@ def one_vs_rest_probability(margins: Column) -> Column:
 
 
 class BoostedTrees(SparkLearner):
-    """Gradient-boosted trees; one model per class when there are more than two."""
+    """The boosted trees of Spark ML; one model per class when there are more than two."""
 
     def estimator(self):
         common = dict(featuresCol="v", labelCol="y", seed=self.seed, **{"maxIter": 20, "maxDepth": 5, **self.params})
@@ -101,8 +102,9 @@ class Forest(SparkLearner):
 
 
 LEARNERS: dict[str, Callable[..., Learner]] = {
-    "gbt": BoostedTrees,
-    "catboost_tab": BoostedTrees,
+    "gbt": HistogramBoosting,
+    "catboost_tab": HistogramBoosting,
+    "spark_gbt": BoostedTrees,
     "linear": LinearModel,
     "forest": Forest,
 }
@@ -172,8 +174,9 @@ def bag(
     """k-fold bagging. With a ``reducer`` it is fitted inside every training fold only; one that is
     already fitted is applied as it is.
 
-    Reducers whose statistics are sums are fitted for all folds from one scan (:meth:`Reducer.fit_folds`).
-    The folds are independent and run as concurrent jobs. Fold rows are kept while the folds are fitted.
+    Reducers whose statistics are sums are fitted for all folds from one scan (:meth:`Reducer.fit_folds`), and so are
+    learners that have a ``fit_folds`` of their own when all folds see the same features. Otherwise the folds are
+    independent and run as concurrent jobs. Fold rows are kept while the folds are fitted.
     """
     if mode not in ("refit", "mean"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -184,9 +187,13 @@ def bag(
         reducer.fit_folds(folded, folds) if isinstance(reducer, Reducer) else dict.fromkeys(range(folds), reducer)
     )
 
+    shared = hasattr(learner, "fit_folds") and not isinstance(reducer, Reducer)
+    same = reducer.transform(folded) if shared and reducer is not None else folded
+    together = learner.fit_folds(same, folds) if shared else None
+
     def one(i: int):
         narrow = (lambda rows: reducers[i].transform(rows)) if reducers[i] is not None else (lambda rows: rows)
-        model = learner.fit(narrow(folded.filter(F.col("fold") != i)))
+        model = together[i] if shared else learner.fit(narrow(folded.filter(F.col("fold") != i)))
         predicted = model.predict(narrow(folded.filter(F.col("fold") == i)))
         return model, predicted.drop("features")
 
@@ -199,7 +206,7 @@ def bag(
     refit = None
     if mode == "refit":
         whole = reducer.fit(df) if isinstance(reducer, Reducer) else reducer
-        refit = (whole, learner.fit(whole.transform(df) if whole else df))
+        refit = (whole, together[folds] if shared else learner.fit(whole.transform(df) if whole else df))
     folded.unpersist()
     return BaggedModel(oof, val_scores, [(reducers[i], fitted[i][0]) for i in range(folds)], refit, task_type)
 

@@ -24,6 +24,8 @@ BLOCK = 512
 PAIRS_PER_PASS = 64  # block pairs a task accumulates at a time: 128 MB
 BLOCK_SCHEMA = "bi int, bj int, n_rows int, n_cols int, cells array<double>"
 MAX_BROADCAST_BYTES = 256 << 20
+GRAM_LIMIT = 4096  # widest covariance matrix decomposed on the driver: 128 MB
+FOLD_BYTES = 512 << 20  # all fold matrices together
 
 
 def batch_matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -51,7 +53,12 @@ def _block_batch(bi: int, bj: int, block: np.ndarray) -> pa.RecordBatch:
 
 
 def add_blocks(partials: DataFrame) -> DataFrame:
-    """Sum equally keyed blocks. Blocks stream through the task that owns them."""
+    """Sum equally keyed blocks in two steps; blocks stream through the tasks that own them.
+
+    A block has as many partial sums as there are tasks. They go to about the root of that many tasks first, whose sums
+    meet in one, so that no task receives more than about the root of all partial sums.
+    """
+    width = max(1, math.isqrt(task_count(partials.sparkSession)))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -67,7 +74,18 @@ def add_blocks(partials: DataFrame) -> DataFrame:
         for (bi, bj), block in sums.items():
             yield _block_batch(bi, bj, block)
 
-    return partials.repartition("bi", "bj").mapInArrow(combine, BLOCK_SCHEMA)
+    salted = partials.withColumn("salt", F.spark_partition_id() % width).repartition("bi", "bj", "salt").drop("salt")
+    return salted.mapInArrow(combine, BLOCK_SCHEMA).repartition("bi", "bj").mapInArrow(combine, BLOCK_SCHEMA)
+
+
+def add_rows(partials: DataFrame) -> np.ndarray:
+    """The sum of all arrays of one column; no longer than the model is wide."""
+    name = partials.columns[0]
+    rows = partials.select(F.posexplode(name).alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["at"]] = r["value"]
+    return out
 
 
 def partial_blocks(df: DataFrame, columns: list[str], step: Callable, finish: Callable) -> DataFrame:
@@ -165,6 +183,11 @@ def covariance_blocks(df: DataFrame, features: str = "features") -> tuple[DataFr
     return gram_blocks(df, len(means), means, features), n, means
 
 
+def fold_matrices_fit(d: int, folds: int, limit: int = FOLD_BYTES) -> bool:
+    """Whether the covariance matrices of all folds together are small enough for the driver."""
+    return d <= GRAM_LIMIT and 8 * folds * d * d <= limit
+
+
 def fold_covariances(df: DataFrame, folds: int, fold: str = "fold", features: str = "features") -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Per fold the ``(rows, means, centred Gram matrix)`` of all *other* folds, from two passes in all.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +13,12 @@ from widetab.operators.base import (
     KernelModel, PoolingModel, ProjectionModel, Reducer, ReducerModel, SelectAndProjectModel, SelectorModel,
 )
 from widetab.operators.layout import known_width
+from widetab.operators.matrix import FOLD_BYTES, GRAM_LIMIT
 from widetab.operators.select import KBestSelector
 from widetab.operators.ward import ward_clusters
 from widetab.functions.naming import split_budget
 
-GRAM_LIMIT = 4096  # widest covariance matrix decomposed on the driver: 128 MB
-FOLD_BYTES = 512 << 20  # all fold matrices together
+RESIDUAL = 1e-6  # largest residual of a principal axis, as a share of the largest variance
 
 
 def numbered(prefix: str, k: int) -> list[str]:
@@ -38,11 +39,11 @@ def leading_axes(symmetric: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return np.maximum(values[order], 0.0), fix_signs(vectors[:, order])
 
 
-def principal_axes(df: DataFrame, k: int, seed: int = 0, gram_limit: int = GRAM_LIMIT, features: str = "features"):
+def principal_axes(df: DataFrame, k: int, seed: int = 0, gram_limit: int = GRAM_LIMIT, features: str = "features", tol: float = RESIDUAL):
     """``(axes d x k, means, explained variances, total variance)`` of the centred features.
 
-    Narrow tables: one pass for the means, one for the covariance, eigenvectors on the driver. Wide
-    ones: randomised subspace iteration, whose passes return ``d x (k + 10)`` numbers.
+    Narrow tables: one pass for the means, one for the covariance, eigenvectors on the driver. Wide ones: block Lanczos,
+    whose passes return a few columns of length d. Both give axes with ``|C v - variance v| <= tol * largest variance``.
     """
     n, means, variances = matrix.column_moments(df, features)
     d = len(means)
@@ -50,29 +51,70 @@ def principal_axes(df: DataFrame, k: int, seed: int = 0, gram_limit: int = GRAM_
         raise ValueError(f"cannot compute {k} components of {n} rows and {d} features")
     total = float(variances.sum() * n / max(n - 1, 1))
     if d > gram_limit:
-        axes, values = subspace_iteration(df, d, n, means, k, seed, features=features)
+        axes, values = block_lanczos(df, d, n, means, k, seed, features=features, tol=tol)
         return axes, means, values, total
     gram = matrix.collect_blocks(matrix.gram_blocks(df, d, means, features), d, d, symmetric=True)
     values, axes = leading_axes(gram / max(n - 1, 1), k)
     return axes, means, values, total
 
 
-def subspace_iteration(df: DataFrame, d: int, n: int, means: np.ndarray, k: int, seed: int, passes: int = 4, extra: int = 10, features: str = "features"):
-    """Leading eigenvectors of the covariance without forming it (Halko, Martinsson, Tropp 2011)."""
-    l = min(d, k + extra)
+def block_lanczos(df: DataFrame, d: int, n: int, means: np.ndarray, k: int, seed: int, block: int = 0, features: str = "features", tol: float = RESIDUAL, max_passes: int = 300):
+    """Leading eigenvectors of the covariance without forming it: a Krylov space of blocks with thick restarts.
+
+    Every pass over the rows multiplies one block of directions. The best axes of the space spanned so far are found on
+    the driver with their residuals; the residuals of the axes that are not good enough yet are the next block. When the
+    space has grown to three times the axes wanted it is replaced by the best ones (Wu and Simon 2000). The driver holds
+    that many columns twice. It ends when all residuals are within ``tol`` of the largest eigenvalue, or when the space
+    cannot grow any more, and raises an error when ``max_passes`` do not suffice.
+    """
+    block = min(block or max(8, min(k, 64)), d)
+    kept_size = min(d, k + block)
+    largest = min(d, 3 * kept_size)
     rng = np.random.Generator(np.random.Philox(key=seed))
-    q = np.linalg.qr(rng.standard_normal((d, l)))[0]
-    for _ in range(passes):
-        q = np.linalg.qr(matrix.normal_equations_pass(df, q, means, features))[0]
-    small = q.T @ matrix.normal_equations_pass(df, q, means, features)
-    values, turn = leading_axes((small + small.T) / 2, k)
-    return fix_signs(q @ turn), values / max(n - 1, 1)
+    fresh = np.linalg.qr(rng.standard_normal((d, block)))[0]
+    basis, image = np.zeros((d, 0)), np.zeros((d, 0))
+    for _ in range(max_passes):
+        image = np.hstack([image, matrix.normal_equations_pass(df, fresh, means, features)])
+        basis = np.hstack([basis, fresh])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        wanted = min(k, len(values))
+        axes = basis @ turn[:, :wanted]
+        rest = image @ turn[:, :wanted] - axes * values[:wanted]
+        sizes = np.linalg.norm(rest, axis=0)
+        bound = tol * max(values[0], 1e-300)
+        if len(values) >= k and (sizes <= bound).all():
+            break
+        if basis.shape[1] + block > largest:
+            basis, image = basis @ turn[:, :kept_size], image @ turn[:, :kept_size]
+        open_ = np.flatnonzero(sizes > bound)[:block] if len(values) >= k else np.arange(min(wanted, block))
+        fresh = rest[:, open_] / np.maximum(sizes[open_], 1e-300)
+        if fresh.shape[1] < block:  # as many random directions as are missing, so that the space can reach what it has not seen
+            fresh = np.hstack([fresh, rng.standard_normal((d, block - fresh.shape[1]))])
+        fresh = new_directions(basis, fresh)
+        if not fresh.shape[1]:
+            break
+    else:
+        raise ValueError(f"{max_passes} passes leave residuals of {sizes.max():.3g} against {bound:.3g}; ask for fewer components")
+    signed = fix_signs(axes)
+    return signed, np.maximum(values[:k], 0.0) / max(n - 1, 1)
+
+
+def new_directions(basis: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of ``block`` outside the space of ``basis``."""
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+        size = np.linalg.norm(block, axis=0)
+        block = block[:, size > 1e-10] / size[size > 1e-10]
+    q, r = np.linalg.qr(block) if block.shape[1] else (block, np.zeros((0, 0)))
+    q = q[:, np.abs(np.diag(r)) > 1e-8]
+    return q[:, :max(0, len(basis) - basis.shape[1])]
 
 
 def one_scan_fits(df: DataFrame, folds: int) -> bool:
     """Whether the covariance matrices of all folds together are small enough for the driver."""
-    d = known_width(df)
-    return d <= GRAM_LIMIT and 8 * folds * d * d <= FOLD_BYTES
+    return matrix.fold_matrices_fit(known_width(df), folds, FOLD_BYTES)
 
 
 class PCAReducer(Reducer):
@@ -136,11 +178,118 @@ def choose_landmarks(df: DataFrame, m: int, seed: int) -> DataFrame:
     return df.select("row_id", "features", key.alias("_key")).orderBy("_key", "row_id").limit(m).drop("_key")
 
 
+class Landmarks:
+    """Rows whose kernel functions span those of all rows, up to a residual.
+
+    ``points @ ...`` is the incomplete Cholesky factor of the kernel: the kernel of a row with the points, times
+    ``whiten``, gives coordinates whose products are the kernel without the residual.
+    """
+
+    def __init__(self, d: int, gamma: float):
+        self.gamma, self.points, self.ids = gamma, np.zeros((0, d)), []
+        self.factor = np.zeros((0, 0))  # lower triangular: factor @ factor.T is the kernel of the points
+
+    @property
+    def whiten(self) -> np.ndarray:
+        return np.linalg.inv(self.factor).T if len(self.ids) else np.zeros((0, 0))
+
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        return matrix.kernel_rows(x, self.points, self.gamma) @ self.whiten
+
+    def add(self, x: np.ndarray, row_id, coordinates: np.ndarray, residual: float) -> None:
+        m = len(self.ids)
+        factor = np.zeros((m + 1, m + 1))
+        factor[:m, :m], factor[m, :m], factor[m, m] = self.factor, coordinates, np.sqrt(residual)
+        self.points, self.factor = np.vstack([self.points, x]), factor
+        self.ids.append(row_id)
+
+    def take(self, x: np.ndarray, ids: list, slack: float, limit: int, least: float) -> int:
+        """Add candidates in the order of their residuals; how many were added.
+
+        All other rows have at most the residual of the last candidate. So the candidate with the largest residual is the
+        next pivot as long as it exceeds that; ``slack`` below 1 also takes those that exceed this share of it.
+        """
+        rows = self.coordinates(x)
+        residual = np.round(1.0 - (rows * rows).sum(axis=1), 12)
+        bound, added = slack * residual[-1], 0
+        free = np.ones(len(x), bool)
+        while free.any() and len(self.ids) < limit:
+            best = int(np.where(free, residual, -np.inf).argmax())
+            if residual[best] <= least or added and residual[best] <= bound:
+                break
+            self.add(x[best], ids[best], rows[best], residual[best])
+            free[best] = False
+            added += 1
+            column = (matrix.kernel_rows(x, x[best:best + 1], self.gamma)[:, 0] - rows @ rows[best]) / np.sqrt(residual[best])
+            rows = np.column_stack([rows, column])
+            residual = np.round(1.0 - (rows * rows).sum(axis=1), 12)
+        return added
+
+
+def kernel_landmarks(df: DataFrame, gamma: float, share: float, least: int = 1, limit: int | None = None, candidates: int = 64, slack: float = 0.5, seed: int = 0):
+    """``(landmarks, residual)``: pivoted incomplete Cholesky of the RBF kernel of all rows (Fine and Scheinberg 2001).
+
+    Landmarks are added, the largest residual first, until the residual is at most ``1 - share`` of the trace of the
+    centred kernel and there are ``least`` of them, or no row has a residual. One pass gives the residual of all rows and
+    those with the largest ones; equal residuals are ordered by hash and id. ``limit`` ends it earlier: the residual says
+    what is left.
+    """
+    d = known_width(df)
+    marks = Landmarks(d, gamma)
+    rows = df.select("row_id", "features", hash52(seed, F.col("row_id")).alias("_key"))
+    kind = dict(rows.dtypes)["row_id"]
+    while True:
+        m, frozen = len(marks.ids), df.sparkSession.sparkContext.broadcast((marks.points, marks.whiten))
+
+        def measure(batches, m=m, frozen=frozen):
+            points, whiten = frozen.value
+            total = np.zeros(m + 3)  # rows, residuals, squared lengths, coordinates
+            best: list = []
+            for batch in batches:
+                x = matrix.batch_matrix(batch.column(1), d)
+                own = matrix.kernel_rows(x, points, gamma) @ whiten if m else np.zeros((len(x), 0))
+                residual = np.round(1.0 - (own * own).sum(axis=1), 12)
+                total += np.concatenate([[len(x), residual.sum(), (own * own).sum()], own.sum(axis=0)])
+                keys = batch.column(2).to_pylist()
+                ids = batch.column(0).to_pylist()
+                top = np.argsort(-residual, kind="stable")
+                top = top[residual[top] >= residual[top[min(candidates, len(top)) - 1]]] if len(top) else top
+                best += [(-residual[i], keys[i], ids[i], x[i]) for i in top]
+                best = sorted(best, key=lambda r: r[:3])[:candidates]
+            lists = [[r[i] for r in best] for i in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *[-v for v in lists[0]]], pa.float64()), pa.array([None, *lists[1]], pa.int64()), pa.array([None, *lists[2]]).cast(batch_kind), pa.array([total, *[r[3] for r in best]])],
+                names=["residual", "_key", "row_id", "features"])
+
+        batch_kind = pa.string() if kind == "string" else pa.int64()
+        found = rows.mapInArrow(measure, f"residual double, _key bigint, row_id {'string' if kind == 'string' else 'bigint'}, features array<double>").persist()
+        sums = matrix.add_rows(found.filter("residual is null").select("features"))
+        n, left, length = sums[:3]
+        if not n:
+            raise ValueError("the table has no rows")
+        trace = length - (sums[3:] ** 2).sum() / n + left  # of the centred kernel
+        enough = left <= (1.0 - share) * trace and m >= least
+        if enough or (limit is not None and m >= limit):
+            found.unpersist()
+            frozen.destroy()
+            return marks, float(left / trace) if trace > 0 else 0.0
+        top = found.filter("residual is not null").orderBy(F.col("residual").desc(), "_key", "row_id").limit(candidates).toArrow()
+        found.unpersist()
+        frozen.destroy()
+        x = matrix.batch_matrix(top.column("features"), d)
+        if 8 * (m + len(x)) * (d + m + len(x)) > 2 * matrix.MAX_BROADCAST_BYTES:
+            raise ValueError(f"{m} landmarks leave {left / trace:.3g} of the kernel, and more are too large to broadcast; lower kernel_share or gamma, or set num_landmarks")
+        if not marks.take(x, top.column("row_id").to_pylist(), slack, limit or len(x) + m, 1e-10):
+            return marks, float(max(left, 0.0) / trace) if trace > 0 else 0.0
+
+
 class KernelPCAReducer(Reducer):
-    """RBF kernel PCA on landmarks (Nystrom).
+    """RBF kernel PCA by a pivoted incomplete Cholesky factor of the kernel.
 
-    All rows enter: each is mapped to ``K_mm^(-1/2) k(x)``, and the principal axes are those of the
-    mapped rows. With as many landmarks as rows this equals exact kernel PCA.
+    Rows become landmarks until these span ``kernel_share`` of the centred kernel of all rows; every row is mapped to its
+    coordinates, and the principal axes are those of the mapped rows. The share that is not spanned stays on the model as
+    ``residual``; with a share of 1 the result is exact kernel PCA. ``num_landmarks`` asks for that many landmarks instead,
+    and the residual tells what is missing. It is an error when ``num_features`` components do not exist.
     """
 
     method = "kpca_dr"
@@ -148,19 +297,19 @@ class KernelPCAReducer(Reducer):
     def _fit(self, df: DataFrame) -> KernelModel:
         d, k = self._width(df), self.get("num_features")
         gamma = self.get("gamma") or 1.0 / d
-        table = choose_landmarks(df, self.get("num_landmarks"), self.get("seed")).toArrow()
-        landmarks = matrix.batch_matrix(table.column("features"), d)
-        m = len(landmarks)
+        limit = self.get("num_landmarks")
+        share = 1.0 if limit is not None and not self.isSet(self.kernel_share) else self.get("kernel_share")
+        marks, residual = kernel_landmarks(df, gamma, share, least=k + 1, limit=limit, seed=self.get("seed"))
+        m = len(marks.ids)
         if not 1 <= k <= m:
             raise ValueError(f"cannot compute {k} components from {m} landmarks")
-        values, vectors = np.linalg.eigh(matrix.kernel_rows(landmarks, landmarks, gamma))
-        kept = values > values.max() * 1e-12
-        whiten = vectors[:, kept] / np.sqrt(values[kept])
-        mapped = matrix.kernel_project(df.select("row_id", "features"), landmarks, gamma, whiten, np.zeros(whiten.shape[1]))
-        rank = min(k, whiten.shape[1])
-        axes, means, spread, _ = principal_axes(mapped, rank, self.get("seed"))
-        components = fix_signs(whiten @ axes)
-        return KernelModel(landmarks, gamma, components, (means @ axes) * _sign_change(whiten @ axes, components), numbered("KPCA", rank), spread)
+        mapped = matrix.kernel_project(df.select("row_id", "features"), marks.points, gamma, marks.whiten, np.zeros(m))
+        axes, means, spread, total = principal_axes(mapped, k, self.get("seed"))
+        if spread[-1] <= 1e-10 * max(total, 1e-300):
+            raise ValueError(f"cannot compute {k} components: the centred kernel has a rank of {int((spread > 1e-10 * total).sum())}")
+        turned = marks.whiten @ axes
+        components = fix_signs(turned)
+        return KernelModel(marks.points, gamma, components, (means @ axes) * _sign_change(turned, components), numbered("KPCA", k), spread, residual)
 
 
 def _sign_change(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -222,5 +371,5 @@ def select_and_project(selector: SelectorModel, remaining: list[int], axes: np.n
 
 __all__ = [
     "PCAReducer", "RandomProjectionReducer", "WardReducer", "KernelPCAReducer", "KBestPCAReducer",
-    "principal_axes", "subspace_iteration", "gaussian_matrix", "choose_landmarks",
+    "principal_axes", "block_lanczos", "kernel_landmarks", "gaussian_matrix", "choose_landmarks",
 ]

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widetab.functions import vectors
 from widetab.functions.rng import hash52
-from widetab.operators import stats
+from widetab.operators import extra_trees, lasso, matrix, stats
 from widetab.operators.base import IdentityModel, Reducer, ReducerModel, ScoreSelector, best_first
-from widetab.operators.layout import names_or_default
+from widetab.operators.layout import known_width, names_or_default
 
 
 class Original(Reducer):
@@ -91,25 +91,17 @@ def _fold_models(selector: ScoreSelector, scores: DataFrame, folds: int, fold: s
 
 
 class TreeSelector(ScoreSelector):
-    """Features whose forest importance is at least the mean importance, in original order.
+    """Features whose importance in extremely randomised trees is at least the mean importance, in original order.
 
-    The forest bins its cut points and limits its depth, so importances are close to, but not equal to,
-    those of extremely randomised trees.
+    ``max_depth`` 0 grows every tree until its leaves are pure, see :mod:`widetab.operators.extra_trees`.
     """
 
     method = "tree_fs"
 
     def scores(self, df):
-        regression = self.get("task_type") == "regression"
-        forest = (RandomForestRegressor if regression else RandomForestClassifier)(
-            featuresCol="v", labelCol="y", numTrees=self.get("num_tree_estimators"), bootstrap=False,
-            featureSubsetStrategy="all" if regression else "sqrt", maxDepth=self.get("max_depth"),
-            seed=self.get("seed"),
+        return extra_trees.importances(
+            df, self.get("num_tree_estimators"), self.get("seed"), self.get("task_type") == "regression", max_depth=self.get("max_depth") or None,
         )
-        model = forest.fit(df.select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("y")))
-        values = model.featureImportances.toArray()
-        rows = [(i, float(v)) for i, v in enumerate(values)]
-        return df.sparkSession.createDataFrame(rows, "feature_idx int, score double")
 
     def choose(self, scores):
         mean = sum(s for _, s in scores) / len(scores)
@@ -148,6 +140,13 @@ class LassoSelector(ScoreSelector):
         totals = [float(sum(abs(c[i]) for c in coefficients)) for i in range(len(scales))]
         return df.sparkSession.createDataFrame(list(enumerate(totals)), "feature_idx int, score double")
 
+    def fit_folds(self, df, folds, fold="fold"):
+        """Regression on a table that is not too wide takes the models of all folds from one scan."""
+        if self.get("task_type") != "regression" or not matrix.fold_matrices_fit(known_width(df) + 1, folds):
+            return super().fit_folds(df, folds, fold)
+        found = lasso.fold_coefficients(df, folds, fold, self.get("alpha"), self.get("max_iter"))
+        return {i: self._from_scores(df.sparkSession, [(j, abs(float(v))) for j, v in enumerate(beta)]) for i, beta in enumerate(found)}
+
     def choose(self, scores):
         kept = best_first(scores)[: self._target(len(scores))]
         value = dict(scores)
