@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from widetab.functions import naming, rng, text, vectors
 from widetab.operators import (
-    encode, impute, layout, learn, matrix, metrics, select, split, stats,
+    boosting, encode, extra_trees, impute, lasso, layout, learn, matrix, metrics, select, split, stats, target,
 )
 from widetab.operators import reduce as reducers
 from widetab.operators.registry import make_reducer
@@ -199,6 +199,13 @@ def lasso_optimal(spark, folder):
     return slopes.select("feature_idx", (excess <= 1e-4 * alpha).alias("optimal"))
 
 
+@query
+def lasso_fold_coefficients(spark, folder):
+    """L1 coefficients of five folds, all from one Gram pass."""
+    df = wide_regression(spark, folder).withColumn("fold", F.pmod("row_id", F.lit(5)).cast("int"))
+    return lasso.coefficient_table(df, 5).withColumn("coefficient", F.round("coefficient", 6) + 0.0)
+
+
 @query
 def lasso_fs_classes(spark, folder):
     df = encoded_binary(spark, folder)
@@ -213,7 +220,7 @@ def tree_fs(spark, folder):
 @query
 def sand_fs(spark, folder):
     df = wide(spark, folder)
-    model = make_reducer("sand_fs", num_features=ALL_STATS, epochs=5, seed=5).fit(df)
+    model = make_reducer("sand_fs", num_features=ALL_STATS, seed=5).fit(df)
     return model.report.withColumn("score", F.round("score", 4))
 
 
@@ -259,6 +266,36 @@ def pca_uncorrelated(spark, folder):
     return pairs.select("i", "j", (F.abs("cov_pop") < 1e-9).alias("uncorrelated"), (F.col("vi") >= F.col("vj")).alias("descending"))
 
 
+def very_wide(spark, folder) -> DataFrame:
+    """6,000 features, each a mixture of two of the 64."""
+    e = F.col("embedding").cast("array<double>")
+    mixed = lambda e: F.transform(
+        F.sequence(F.lit(0), F.lit(5999)),
+        lambda j: F.get(e, j % 64) * (1.0 + (j % 7) / 10.0) + F.get(e, (j * 5 + 3) % 64) * ((j % 11) / 10.0 - 0.5),
+    )
+    return read(spark, folder, "embeddings").select(F.col("vec_id").alias("row_id"), "label", mixed(e).alias("features"))
+
+
+@query
+def pca_very_wide(spark, folder):
+    """All 64 components that 6,000 features have, without their covariance matrix: trace and squared norm of that matrix."""
+    df = cut_lineage(very_wide(spark, folder))
+    model = make_reducer("pca_dr", num_features=64).fit(df)
+    values = [float(v) for v in model.variance]
+    return spark.createDataFrame([(len(values), round(sum(values), 5), round(sum(v * v for v in values), 5))], "components int, total double, squares double")
+
+
+@query
+def pca_residuals(spark, folder):
+    """Axes of 6,000 features from the rows alone: the covariance times an axis is the axis times its variance."""
+    df = cut_lineage(very_wide(spark, folder))
+    model = make_reducer("pca_dr", num_features=8).fit(df)
+    n, means, _ = matrix.column_moments(df)
+    image = matrix.normal_equations_pass(df, model.components, means) / (n - 1)
+    rest = ((image - model.components * model.variance) ** 2).sum(axis=0) ** 0.5
+    return spark.createDataFrame([(i, bool(r <= 1e-6 * model.variance[0])) for i, r in enumerate(rest)], "component int, within boolean")
+
+
 @query
 def pca_explained(spark, folder):
     """Variance of every component, measured on the projected rows."""
@@ -325,10 +362,25 @@ def rbf_landmarks(spark, folder):
     return cells(kernel, "row_id", index="landmark")
 
 
+@query
+def kernel_pivots(spark, folder):
+    """The first three pivots of the kernel's Cholesky factor, and the share of the centred kernel that is left."""
+    marks, residual = reducers.kernel_landmarks(wide(spark, folder), 1.0 / 64, 1.0, limit=3, slack=1.0)
+    return spark.createDataFrame([(i, int(r), round(residual, 8)) for i, r in enumerate(marks.ids)], "position int, row_id bigint, residual double")
+
+
 @query
 def kpca_project(spark, folder):
     df = wide(spark, folder)
-    return cells(make_reducer("kpca_dr", num_features=4, num_landmarks=64).fit(df).transform(df), "row_id", index="component")
+    return cells(make_reducer("kpca_dr", num_features=4).fit(df).transform(df), "row_id", index="component")
+
+
+@query
+def kpca_residual(spark, folder):
+    """What the landmarks of the default share leave of each row's kernel with itself, over all rows."""
+    df = wide(spark, folder)
+    model = make_reducer("kpca_dr", num_features=4).fit(df)
+    return spark.createDataFrame([(model.residual <= 0.01, len(model.landmarks) < df.count(), bool((model.variance[:-1] >= model.variance[1:]).all()))], "reached boolean, fewer boolean, descending boolean")
 
 
 # --- row-local functions on features ------------------------------------------------------------
@@ -645,12 +697,67 @@ def log_loss(spark, folder):
     return rounded(metrics.log_loss(read(spark, folder, "lineitem").select(label.alias("label"), p.alias("probability"))), "log_loss")
 
 
+# --- trees --------------------------------------------------------------------------------------
+
+
+@query
+def tree_root_splits(spark, folder):
+    """First split of ten extremely randomised trees: hashed candidates and cuts, largest decrease of impurity."""
+    found = extra_trees.root_splits(wide(spark, folder), trees=10, seed=3)
+    return found.select("tree", "feature_idx", F.round("threshold", 9).alias("threshold"), F.round("decrease", 6).alias("decrease"), "left_rows")
+
+
+@query
+def boosted_split(spark, folder):
+    """One split over ten classes: its place and the leaf values of every class."""
+    model = boosting.HistogramBoosting("multiclass", 10, maxIter=1, maxDepth=1, validation=0.0).fit(wide(spark, folder))
+    tree = model.trees[0]
+    feature = int(tree.feature[0])
+    rows = [(c, feature, float(model.cuts[feature][tree.bin[0]]), float(tree.value[1, c]), float(tree.value[2, c])) for c in range(10)]
+    return rounded(spark.createDataFrame(rows, "label int, feature_idx int, threshold double, left_value double, right_value double"), "threshold", "left_value", "right_value")
+
+
+def ruled_lines(spark, folder) -> DataFrame:
+    """Three classes by a rule in which no column tells anything alone."""
+    many, dear, taxed = F.col("l_quantity") > 25, F.col("l_discount") > 0.05, F.col("l_tax") > 0.04
+    label = (many != dear).cast("int") + (many & taxed).cast("int")
+    return read(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), label.alias("label"), (F.col("l_orderkey") % 4 == 0).alias("held_out"),
+        F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")], F.month("l_shipdate").cast("double")).alias("features"),
+    )
+
+
+@query
+def boosted_rule(spark, folder):
+    """Interactions of three columns are learned from three quarters of the orders and found in the rest."""
+    lines = ruled_lines(spark, folder)
+    model = learn.make_learner("gbt", task_type="multiclass", classes=3).fit(lines.filter("not held_out"))
+    out = model.predict(lines.filter("held_out"))
+    return out.groupBy("label", F.col("prediction").cast("int").alias("prediction")).count().withColumnRenamed("count", "n")
+
+
+def category_orders(spark, folder) -> DataFrame:
+    """Two category columns, one with a value that half of all rows hold, and three classes."""
+    customer = F.when(F.col("o_orderkey") % 2 == 0, 7).otherwise(F.col("o_custkey") % 50).cast("double")
+    priority = F.substring("o_orderpriority", 1, 1).cast("double")
+    label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return read(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), label.alias("label"), F.array(customer, priority).alias("features"))
+
+
+@query
+def target_statistics(spark, folder):
+    """Ordered target statistics of all rows, the order cut into buckets of about 256 rows."""
+    df = category_orders(spark, folder)
+    found = target.TargetEncoder([0, 1], "multiclass", 3, seed=61).fit(df).ordered(df, rows_per_bucket=256)
+    return found.select("row_id", "feature_idx", F.posexplode("mean").alias("label", "mean")).withColumn("mean", F.round("mean", 6))
+
+
 # --- learners and experiments -------------------------------------------------------------------
 
 
 @query
 def oof_logistic(spark, folder):
-    bagged = learn.bag(encoded_binary(spark, folder), learn.make_learner("linear", task_type="binary", classes=2), folds=4, task_type="binary", mode="mean")
+    bagged = learn.bag(encoded_binary(spark, folder), learn.make_learner("linear", task_type="binary", classes=2), task_type="binary", mode="mean")
     return bagged.oof.select("row_id", "label", "fold", F.round(F.get("probability", F.lit(1)), 4).alias("p1"))
 
 
@@ -661,16 +768,17 @@ def oof_coverage(spark, folder):
         F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"),
         F.array(F.col("o_totalprice") / 1e5, F.month("o_orderdate").cast("double")).alias("features"),
     )
-    learner = learn.make_learner("linear", task_type="binary", classes=2, maxIter=5)
-    bagged = learn.bag(df, learner, folds=3, task_type="binary", seed=53, mode="mean")
+    learner = learn.make_learner("linear", task_type="binary", classes=2)
+    bagged = learn.bag(df, learner, task_type="binary", seed=53, mode="mean")
     return bagged.oof.select("row_id", "label", "fold", F.size("probability").alias("classes"))
 
 
 @query
 def gbt_oof(spark, folder):
-    learner = learn.make_learner("gbt", task_type="regression", maxIter=5, maxDepth=3)
+    """Boosted trees on eight features chosen inside each of eight folds, everything from the same scans."""
+    learner = learn.make_learner("gbt", task_type="regression")
     reducer = make_reducer("kbest_fs", num_features=8, task_type="regression")
-    bagged = learn.bag(wide_regression(spark, folder), learner, reducer, folds=3, task_type="regression", mode="mean")
+    bagged = learn.bag(wide_regression(spark, folder), learner, reducer, task_type="regression")
     return bagged.oof.select("row_id", "fold", F.round("label", 6).alias("label"), F.round("prediction", 6).alias("prediction"))
 
 

@@ -326,12 +326,101 @@ SQL["log_loss"] = """WITH p AS (SELECT l_returnflag AS f, l_quantity / 60.0 AS a
 q AS (SELECT CASE f WHEN 'A' THEN a * (1 - b) WHEN 'N' THEN (1 - a) * (1 - b) ELSE b END AS pt FROM p)
 SELECT round(-avg(ln(least(greatest(pt, 1e-15), 1 - 1e-15))), 6) AS log_loss FROM q"""
 
-SQL["oof_coverage"] = f"""WITH {folds(53, 'any_value(3)', "(o_orderstatus = 'F')::INTEGER")} SELECT row_id, label, fold, 2::INTEGER AS classes FROM folded"""
+SQL["oof_coverage"] = f"""WITH {folds(53, 'any_value(8)', "(o_orderstatus = 'F')::INTEGER")} SELECT row_id, label, fold, 2::INTEGER AS classes FROM folded"""
 
 SQL["prepared_parts"] = f"""WITH base AS (SELECT doc_id AS row_id, quality AS label FROM documents JOIN labels USING (doc_id)), {QUOTAS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h("'47:' || row_id")}, row_id) AS rn FROM base)
 SELECT row_id, label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS part, 4::INTEGER AS width FROM ranked JOIN quotas USING (label)"""
 
+# --- trees
+
+
+def mixed(source: str, column: str, out: str) -> str:
+    """A table with one more column: 64-bit values with their bits spread."""
+    product = lambda c, k: f"CAST((CAST({c} AS UHUGEINT) * CAST({k} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    return f"""(SELECT * EXCLUDE (_b), xor(_b, _b >> 31) AS {out} FROM (SELECT * EXCLUDE (_a), {product('_a', 10723151780598845931)} AS _b FROM (
+      SELECT * EXCLUDE (_b), xor(_b, _b >> 27) AS _a FROM (SELECT * EXCLUDE (_a), {product('_a', 13787848793156543929)} AS _b FROM (
+        SELECT *, xor({column}, {column} >> 30) AS _a FROM {source})))))"""
+
+
+def step(key: str, index: str) -> str:
+    """The key plus ``index + 1`` steps, modulo 2^64."""
+    return f"CAST((CAST({key} AS UHUGEINT) + (CAST({index} AS UHUGEINT) + 1) * CAST(11400714819323198485 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+
+SQL["tree_root_splits"] = f"""WITH {CELLS},
+keys AS (SELECT tree, key FROM {mixed(f"(SELECT unnest(generate_series(0, 9))::INTEGER AS tree, {step('3', 'tree')} AS seeded)", 'seeded', 'key')}),
+ranges AS (SELECT feature_idx, min(v) AS low, max(v) AS high FROM cells GROUP BY 1 HAVING max(v) > min(v)),
+draws AS (SELECT tree, feature_idx, low, high, {step('key', 'feature_idx')} AS seeded FROM keys, ranges),
+ordered AS (SELECT * FROM {mixed('draws', 'seeded', 'place')} QUALIFY row_number() OVER (PARTITION BY tree ORDER BY place) <= 8),
+cuts AS (SELECT tree, feature_idx, place, low + (share >> 11) / 9007199254740992.0 * (high - low) AS threshold FROM {mixed('ordered', 'place', 'share')}),
+sides AS (SELECT tree, feature_idx, place, threshold, label, count(*) FILTER (WHERE v <= threshold) AS l, count(*) FILTER (WHERE v > threshold) AS r FROM cuts JOIN cells USING (feature_idx) GROUP BY ALL),
+gains AS (SELECT tree, feature_idx, place, threshold, sum(l)::BIGINT AS left_rows, sum(l * l) / sum(l)::DOUBLE + sum(r * r) / sum(r)::DOUBLE - sum((l + r) * (l + r)) / sum(l + r)::DOUBLE AS decrease, sum(l + r) AS n
+  FROM sides GROUP BY ALL)
+SELECT tree, feature_idx, round(threshold, 9) AS threshold, round(decrease, 6) AS decrease, left_rows FROM gains
+QUALIFY row_number() OVER (PARTITION BY tree ORDER BY round(decrease / n, 12) DESC, place) = 1"""
+
+SQL["boosted_split"] = f"""WITH {CELLS},
+cuts AS (SELECT feature_idx, q::DOUBLE AS cut FROM (
+  SELECT feature_idx, max(v) AS top, unnest(list_distinct(quantile_cont(v, [{', '.join(str(i / 64) for i in range(1, 64))}]))) AS q FROM cells GROUP BY 1) WHERE q < top),
+shares AS (SELECT c::INTEGER AS label, (count(label) + 1) / (SELECT count(*) + 10.0 FROM embeddings) AS p FROM (SELECT unnest(generate_series(0, 9)) AS c) LEFT JOIN embeddings ON label = c GROUP BY 1),
+slopes AS (SELECT vec_id AS row_id, s.label, round_even((p - (e.label = s.label)::INTEGER) * 16777216, 0) AS g, round_even(p * (1 - p) * 16777216, 0) AS h FROM embeddings e, shares s),
+sides AS (SELECT c.feature_idx, cut, s.label, sum(g) FILTER (WHERE v <= cut) / 16777216 AS gl, sum(h) FILTER (WHERE v <= cut) / 16777216 AS hl, sum(g) FILTER (WHERE v > cut) / 16777216 AS gr,
+  sum(h) FILTER (WHERE v > cut) / 16777216 AS hr FROM cuts JOIN cells c USING (feature_idx) JOIN slopes s USING (row_id) GROUP BY ALL),
+best AS (SELECT feature_idx, cut FROM sides GROUP BY ALL ORDER BY sum(gl * gl / (hl + 3) + gr * gr / (hr + 3) - (gl + gr) * (gl + gr) / (hl + hr + 3)) DESC, feature_idx, cut LIMIT 1)
+SELECT label, feature_idx, round(cut, 6) AS threshold, round(-0.3 * gl / (hl + 3), 6) AS left_value, round(-0.3 * gr / (hr + 3), 6) AS right_value FROM sides JOIN best USING (feature_idx, cut)"""
+
+SQL["boosted_rule"] = """WITH r AS (
+  SELECT ((l_quantity > 25) <> (l_discount > 0.05))::INTEGER + (l_quantity > 25 AND l_tax > 0.04)::INTEGER AS label FROM lineitem WHERE l_orderkey % 4 = 0)
+SELECT label, label AS prediction, count(*) AS n FROM r GROUP BY 1"""
+
+SQL["target_statistics"] = f"""WITH o AS (
+  SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS own, {h("'61:' || o_orderkey")} AS k,
+    CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE o_custkey % 50 END AS customer, substr(o_orderpriority, 1, 1)::INTEGER AS priority FROM orders),
+c AS (SELECT row_id, own, k, 0::INTEGER AS feature_idx, customer AS value FROM o UNION ALL SELECT row_id, own, k, 1::INTEGER, priority FROM o),
+x AS (SELECT c.*, label::INTEGER AS label, (SELECT avg((own = label)::INTEGER) FROM o) AS prior FROM c, (SELECT unnest([0, 1, 2]) AS label))
+SELECT row_id, feature_idx, label, round((coalesce(sum((own = label)::INTEGER) OVER w, 0) + prior) / (count(*) OVER w + 1), 6) AS mean
+FROM x WINDOW w AS (PARTITION BY feature_idx, value, label ORDER BY k, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+# --- models on matrices
+
+SQL["lasso_fold_coefficients"] = f"""WITH RECURSIVE {REG},
+train AS (SELECT f.fold::INTEGER AS fold, r.* FROM reg r, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f WHERE r.row_id % 5 <> f.fold),
+m AS (SELECT fold, feature_idx, avg(v) AS mv, stddev_pop(v) AS sv, avg(y) AS my FROM train GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT fold, row_id, feature_idx, (v - mv) / sv AS z, y - my AS y FROM train JOIN m USING (fold, feature_idx)),
+g AS (SELECT a.fold, a.feature_idx AS i, b.feature_idx AS j, avg(a.z * b.z) AS g FROM s a JOIN s b USING (fold, row_id) GROUP BY ALL),
+columns AS MATERIALIZED (SELECT fold, i, list(g ORDER BY j) AS g FROM g GROUP BY fold, i),
+c AS (SELECT fold, feature_idx, avg(z * y) AS c FROM s GROUP BY ALL),
+start AS MATERIALIZED (SELECT fold, list(c ORDER BY feature_idx) AS c, 0.1 * max(abs(c)) AS alpha FROM c GROUP BY fold),
+descent AS (
+  SELECT fold, 0 AS t, list_transform(c, lambda x: 0.0::DOUBLE) AS beta, c AS slopes, alpha FROM start
+  UNION ALL
+  SELECT fold, t + 1, list_transform(beta, lambda x, k: CASE WHEN k = pos THEN x + d ELSE x END), list_transform(slopes, lambda x, k: x - g[k] * d), alpha FROM (
+    SELECT d.*, t % 63 + 1 AS pos, q.g, sign(r) * greatest(abs(r) - alpha, 0) / q.g[t % 63 + 1] - beta[t % 63 + 1] AS d
+    FROM (SELECT *, 0 AS unused FROM descent WHERE t < 63 * 60) d JOIN columns q ON q.fold = d.fold AND q.i = d.t % 63, LATERAL (SELECT d.slopes[t % 63 + 1] + q.g[t % 63 + 1] * d.beta[t % 63 + 1] AS r)))
+SELECT fold, (generate_subscripts(beta, 1) - 1)::INTEGER AS feature_idx, round(unnest(beta), 6) + 0.0 AS coefficient FROM descent WHERE t = 63 * 60"""
+
+SQL["kernel_pivots"] = f"""WITH {CELLS},
+first AS (SELECT vec_id AS z FROM embeddings ORDER BY {h("'0:' || vec_id")}, vec_id LIMIT 1),
+k1 AS (SELECT a.row_id, exp(-sum((a.v - b.v) ** 2) / 64) AS c1 FROM cells a JOIN cells b USING (feature_idx) WHERE b.row_id = (SELECT z FROM first) GROUP BY 1),
+second AS (SELECT row_id AS z, c1 AS z1 FROM k1 ORDER BY round(1 - c1 * c1, 12) DESC, {h("'0:' || row_id")}, row_id LIMIT 1),
+k2 AS (SELECT k1.*, (k - c1 * z1) / sqrt(1 - z1 * z1) AS c2 FROM k1 JOIN (
+  SELECT a.row_id, exp(-sum((a.v - b.v) ** 2) / 64) AS k FROM cells a JOIN cells b USING (feature_idx) WHERE b.row_id = (SELECT z FROM second) GROUP BY 1) USING (row_id), second),
+third AS (SELECT row_id AS z, c1 AS z1, c2 AS z2 FROM k2 ORDER BY round(1 - c1 * c1 - c2 * c2, 12) DESC, {h("'0:' || row_id")}, row_id LIMIT 1),
+k3 AS (SELECT k2.*, (k - c1 * z1 - c2 * z2) / sqrt(1 - z1 * z1 - z2 * z2) AS c3 FROM k2 JOIN (
+  SELECT a.row_id, exp(-sum((a.v - b.v) ** 2) / 64) AS k FROM cells a JOIN cells b USING (feature_idx) WHERE b.row_id = (SELECT z FROM third) GROUP BY 1) USING (row_id), third),
+t AS (SELECT sum(1 - c1 * c1 - c2 * c2 - c3 * c3) AS rest, count(*) * (var_pop(c1) + var_pop(c2) + var_pop(c3)) AS spanned FROM k3)
+SELECT position::INTEGER AS position, z AS row_id, round((SELECT rest / (spanned + rest) FROM t), 8) AS residual
+FROM (SELECT 0 AS position, z FROM first UNION ALL SELECT 1, z FROM second UNION ALL SELECT 2, z FROM third)"""
+
+SQL["pca_very_wide"] = f"""WITH {CELLS},
+j AS (SELECT unnest(generate_series(0, 5999)) AS j),
+m AS (SELECT j, p, sum(w) AS w FROM (SELECT j, j % 64 AS p, 1.0::DOUBLE + (j % 7) / 10.0::DOUBLE AS w FROM j UNION ALL SELECT j, (j * 5 + 3) % 64, (j % 11) / 10.0::DOUBLE - 0.5::DOUBLE FROM j) GROUP BY 1, 2),
+w AS (SELECT a.p AS p, b.p AS q, sum(a.w * b.w) AS w FROM m a JOIN m b USING (j) GROUP BY 1, 2),
+s AS (SELECT a.feature_idx AS p, b.feature_idx AS q, covar_samp(a.v, b.v) AS s FROM cells a JOIN cells b USING (row_id) GROUP BY 1, 2),
+x AS (SELECT s.p, w.q, sum(s * w) AS x FROM s JOIN w ON s.q = w.p GROUP BY 1, 2)
+SELECT 64::INTEGER AS components, round((SELECT sum(x) FROM x WHERE p = q), 5) AS total, round((SELECT sum(a.x * b.x) FROM x a JOIN x b ON a.p = b.q AND a.q = b.p), 5) AS squares"""
+
 # --- reports
 
 RESULTS = """res AS (SELECT 'events' AS dataset_name, 'model_' || (user_id % 5) AS model, event_type AS method, (event_id % 10)::INTEGER AS repeat,

@@ -11,6 +11,7 @@ from widetab.functions.rng import hash52, mix64, stream, unit
 from widetab.operators import boosting, extra_trees
 from widetab.operators.boosting import UNIT, HistogramBoosting, slopes, softmax
 from widetab.operators.learn import bag, make_learner
+from widetab.operators.registry import make_reducer
 from widetab.operators.target import TargetEncoder
 
 
@@ -118,6 +119,19 @@ def test_bagging_uses_one_fit_for_all_folds(spark):
     assert bagged.val_scores["log_loss"] < 0.6 and bagged.score(frame(spark, x, y))["log_loss"] < bagged.val_scores["log_loss"]
 
 
+def test_models_that_see_a_choice_of_features(spark):
+    x, y = interaction(np.random.default_rng(14), 240, noise=2)
+    df = frame(spark, x, y).withColumn("fold", (F.col("row_id") % 2).cast("int"))
+    learner = HistogramBoosting("multiclass", 3, maxIter=3, maxDepth=3)
+    choices = [[4, 0, 1], [3, 2], [0, 1, 2, 3]]
+    models = learner.fit_folds(df, 2, selections=choices)
+    whole = learner.fit(frame(spark, x[:, choices[2]], y))
+    assert (models[2].scores(x[:, choices[2]]) == whole.scores(x[:, choices[2]])).all()
+    assert all(len(m.cuts) == len(c) and set(m.used_features()) <= set(range(len(c))) for m, c in zip(models, choices))
+    bagged = bag(df.drop("fold"), learner, make_reducer("kbest_fs", num_features=3), folds=2)
+    assert sorted(r["row_id"] for r in bagged.oof.collect()) == list(range(240)) and len(bagged.score(df.drop("fold"))) > 0
+
+
 def test_boosting_edge_cases(spark):
     x, y = interaction(np.random.default_rng(8), 60, noise=0)
     x[:, 1] = 2.5

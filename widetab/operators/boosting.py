@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from widetab.functions import vectors
 from widetab.functions.rng import hash52, uniform
 from widetab.operators import matrix
 from widetab.operators.layout import to_long
@@ -94,8 +95,9 @@ def losses(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Growth:
     """One model while it grows."""
 
-    def __init__(self, index: int, base: np.ndarray):
+    def __init__(self, index: int, base: np.ndarray, allowed: np.ndarray | None = None):
         self.index, self.base = index, base
+        self.allowed = allowed  # whether each feature may be split on; None allows all
         self.trees: list[Tree] = []  # finished ones
         self.stored = 0  # how many of them are in the stored margins
         self.tree: Tree | None = None
@@ -163,7 +165,7 @@ def _level_batch(model: int, block: int, cells: np.ndarray, counts: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([block], pa.int32()), *lists], names=["model", "block", "cells", "counts", "gains"])
 
 
-def best_splits(cells: np.ndarray, classes: int, penalty: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def best_splits(cells: np.ndarray, classes: int, penalty: float, least: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per node: ``(feature, bin, sums of the left side, sums of the node)``, and the gain.
 
     Ties go to the lowest feature and then the lowest bin. A node without a split has gain 0.
@@ -178,7 +180,10 @@ def best_splits(cells: np.ndarray, classes: int, penalty: float, least: int) ->
         return (g * g / (h + penalty)).sum(axis=-1)
 
     gain = value(left) + value(right) - value(whole)[:, :, None]
-    gain = np.where((left[..., -1] >= least) & (right[..., -1] >= least), gain, 0.0).reshape(nodes, -1)
+    usable = (left[..., -1] >= least) & (right[..., -1] >= least)
+    if allowed is not None:
+        usable &= allowed[:, None]
+    gain = np.where(usable, gain, 0.0).reshape(nodes, -1)
     counts, gains = np.zeros((nodes, 2 + 2 * channels), np.int64), np.zeros(nodes)
     for i in range(nodes):
         at = int(gain[i].argmax()) if gain.shape[1] else 0
@@ -194,7 +199,7 @@ def level_results(partials: DataFrame, above: DataFrame | None, growing: list[Gr
     """Add up the partial sums, derive the siblings from the level above, and find the best splits of every block."""
     channels = 2 * classes + 1
     per_block = max(1, BLOCK_CELLS // (bins * channels))
-    plans = {g.index: (list(g.parents), list(g.built), bool(g.nodes)) for g in growing}
+    plans = {g.index: (list(g.parents), list(g.built), bool(g.nodes), g.allowed) for g in growing}
     marked = partials.withColumn("parent", F.lit(False))
     if above is not None:
         kept = above.filter(F.col("model").isin([g.index for g in growing])).select("model", "block", "cells", F.array().cast("array<long>").alias("counts"), "gains")
@@ -214,13 +219,14 @@ def level_results(partials: DataFrame, above: DataFrame | None, growing: list[Gr
                 else:
                     sums[model, block], spent[model, block] = values.copy(), counts.values.to_numpy().copy()
         for (model, block), built in sums.items():
-            chosen, sides, below_root = plans[model]
+            chosen, sides, below_root, allowed = plans[model]
             if below_root:
                 whole, half = parents[model, block][chosen], built
                 built = np.empty((2 * len(half), *half.shape[1:]), np.int64)
                 for i, side in enumerate(sides):
                     built[2 * i + side], built[2 * i + 1 - side] = half[i], whole[i] - half[i]
-            counts, gains = best_splits(built, classes, penalty, least)
+            inside = None if allowed is None else allowed[block * per_block:block * per_block + built.shape[1]]
+            counts, gains = best_splits(built, classes, penalty, least, inside)
             counts[:, 0] += block * per_block
             yield _level_batch(model, block, built, np.concatenate([spent[model, block], counts.ravel()]), gains)
 
@@ -288,17 +294,17 @@ class HistogramBoosting:
     """Boosted trees behind the learner interface, for regression, two and more classes.
 
     Labels of classification are ``0 .. classes - 1``. ``validation`` is the share of the training rows that only decides
-    when to stop: after ``patience`` rounds without a better loss the model keeps its best number of trees, at most
-    ``maxIter``. A table without validation rows runs all rounds.
+    when to stop: after ``patience`` rounds without a loss that is lower by ``tol`` the model keeps its best number of trees,
+    at most ``maxIter``. A table without validation rows runs all rounds.
     """
 
     def __init__(self, task_type: str, classes: int = 0, seed: int = 0, maxIter: int = 100, maxDepth: int = 5, maxBins: int = 64, stepSize: float = 0.3,
-                 penalty: float = 3.0, minInstancesPerNode: int = 1, validation: float = 0.1, patience: int = 5, sample_rows: int = 1 << 16, categories: Sequence[int] = ()):
+                 penalty: float = 3.0, minInstancesPerNode: int = 1, validation: float = 0.1, patience: int = 5, tol: float = 1e-3, sample_rows: int = 1 << 16, categories: Sequence[int] = ()):
         if not 2 <= maxBins <= 256:
             raise ValueError("between 2 and 256 bins are possible")
         self.task_type, self.seed, self.rounds, self.depth, self.bins, self.rate = task_type, seed, maxIter, maxDepth, maxBins, stepSize
         self.classes = 1 if task_type == "regression" else max(classes, 2)
-        self.penalty, self.least, self.validation, self.patience, self.sample_rows = penalty, minInstancesPerNode, validation, patience, sample_rows
+        self.penalty, self.least, self.validation, self.patience, self.tol, self.sample_rows = penalty, minInstancesPerNode, validation, patience, tol, sample_rows
         self.encoder = TargetEncoder(categories, task_type, classes, seed) if categories else None
 
     def fit(self, df: DataFrame) -> "BoostedModel":
@@ -309,16 +315,25 @@ class HistogramBoosting:
         model.statistics = statistics
         return model
 
-    def fit_folds(self, df: DataFrame, folds: int, fold: str = "fold") -> list["BoostedModel"]:
+    def fit_folds(self, df: DataFrame, folds: int, fold: str = "fold", selections: Sequence[Sequence[int]] | None = None) -> list["BoostedModel"]:
         """A model per fold without the rows of that fold, and one of all rows, all from the same scans.
 
-        Target statistics differ between the folds, so with categories every model has scans of its own.
+        With ``selections`` (one per model) a model only sees those features, in that order. Target statistics differ
+        between the folds, so with categories every model has scans of its own.
         """
         if self.encoder is not None:
-            return [self.fit(df.filter(F.col(fold) != i)) for i in range(folds)] + [self.fit(df)]
-        return self._fit_all(df.withColumn("fold", F.col(fold).cast("int")), list(range(folds + 1)))
-
-    def _fit_all(self, df: DataFrame, models: list[int]) -> list["BoostedModel"]:
+            narrow = lambda rows, i: rows if selections is None else rows.withColumn("features", vectors.take(F.col("features"), selections[i]))
+            return [self.fit(narrow(df.filter(F.col(fold) != i), i)) for i in range(folds)] + [self.fit(narrow(df, folds))]
+        rows = df.withColumn("fold", F.col(fold).cast("int"))
+        if selections is None:
+            return self._fit_all(rows, list(range(folds + 1)))
+        union = sorted({j for s in selections for j in s})
+        place = {j: at for at, j in enumerate(union)}
+        allowed = [np.array([place[j] for j in s], np.int64) for s in selections]
+        models = self._fit_all(rows.withColumn("features", vectors.take(F.col("features"), union)), list(range(folds + 1)), allowed)
+        return [m.on_features(own) for m, own in zip(models, allowed)]
+
+    def _fit_all(self, df: DataFrame, models: list[int], allowed: list[np.ndarray] | None = None) -> list["BoostedModel"]:
         table = df.select("row_id", "features", F.col("label").cast("double").alias("y"), "fold",
                           (uniform(self.seed, "valid", F.col("row_id")) < self.validation).alias("valid"))
         centre, scale, base = self._start(table, models)
@@ -326,8 +341,11 @@ class HistogramBoosting:
         if not cuts:
             raise ValueError("the table has no rows")
         scaled = table.withColumn("y", (F.col("y") - F.lit(centre)) / F.lit(scale)) if self.classes == 1 else table
-        rows = cut_lineage(binned(scaled, cuts, len(models), self.classes, base))
-        growing = [Growth(m, base[m]) for m in models]
+        coded = binned(scaled, cuts, len(models), self.classes, base)
+        if scaled.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+            coded = coded.repartition(df.sparkSession.sparkContext.defaultParallelism)  # a small file would keep one task busy
+        rows = cut_lineage(coded)
+        growing = [Growth(m, base[m], None if allowed is None else np.isin(np.arange(len(cuts)), allowed[m])) for m in models]
         active = list(growing)
         for done in range(self.rounds):
             active = self._round(rows, active, len(cuts), done)
@@ -387,8 +405,8 @@ class HistogramBoosting:
         for g in growing:
             total, n, _ = found[g.index]
             if n:
-                loss = total / n
-                if loss < g.best[0]:
+                loss = total / n / UNIT
+                if loss < g.best[0] - self.tol:
                     g.best = (loss, len(g.trees))
                 if len(g.trees) - g.best[1] >= self.patience:
                     continue
@@ -471,5 +489,15 @@ class BoostedModel:
         best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
         return scored.select(*df.columns, best.alias("prediction"), "probability")
 
+    def on_features(self, kept: np.ndarray) -> "BoostedModel":
+        """The same model for tables that hold only these of its features, in this order."""
+        place = {int(j): at for at, j in enumerate(kept)}
+        trees = []
+        for tree in self.trees:
+            moved = copy.copy(tree)
+            moved.feature = np.array([place[int(f)] if f >= 0 else -1 for f in tree.feature], np.int32)
+            trees.append(moved)
+        return BoostedModel(trees, self.base, [self.cuts[int(j)] for j in kept], self.classes, self.centre, self.scale)
+
     def used_features(self) -> list[int]:
         return sorted({int(f) for tree in self.trees for f in tree.feature if f >= 0})

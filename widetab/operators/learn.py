@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from widetab.functions import vectors
 from widetab.operators import matrix, metrics
-from widetab.operators.base import Reducer, ReducerModel
+from widetab.operators.base import Reducer, ReducerModel, SelectorModel
 from widetab.operators.boosting import HistogramBoosting
 from widetab.operators.layout import known_width
 from widetab.operators.split import kfold
@@ -175,7 +175,7 @@ def bag(
     already fitted is applied as it is.
 
     Reducers whose statistics are sums are fitted for all folds from one scan (:meth:`Reducer.fit_folds`), and so are
-    learners that have a ``fit_folds`` of their own when all folds see the same features. Otherwise the folds are
+    learners that have a ``fit_folds`` of their own when every fold sees a choice of the same features. Otherwise the folds are
     independent and run as concurrent jobs. Fold rows are kept while the folds are fitted.
     """
     if mode not in ("refit", "mean"):
@@ -187,9 +187,16 @@ def bag(
         reducer.fit_folds(folded, folds) if isinstance(reducer, Reducer) else dict.fromkeys(range(folds), reducer)
     )
 
-    shared = hasattr(learner, "fit_folds") and not isinstance(reducer, Reducer)
-    same = reducer.transform(folded) if shared and reducer is not None else folded
-    together = learner.fit_folds(same, folds) if shared else None
+    whole = reducer.fit(df) if isinstance(reducer, Reducer) and mode == "refit" else None if isinstance(reducer, Reducer) else reducer
+    selected = [reducers[i] for i in range(folds)] + ([whole] if whole is not None else [])
+    selecting = isinstance(reducer, Reducer) and all(isinstance(m, SelectorModel) for m in selected)
+    shared = hasattr(learner, "fit_folds") and (selecting or not isinstance(reducer, Reducer))
+    together = None
+    if shared and selecting:
+        choices = [m.indices for m in selected]
+        together = learner.fit_folds(folded, folds, selections=choices if whole is not None else [*choices, choices[0]])
+    elif shared:
+        together = learner.fit_folds(folded if reducer is None else reducer.transform(folded), folds)
 
     def one(i: int):
         narrow = (lambda rows: reducers[i].transform(rows)) if reducers[i] is not None else (lambda rows: rows)
@@ -205,7 +212,6 @@ def bag(
     val_scores = metrics.evaluate(oof, task_type)
     refit = None
     if mode == "refit":
-        whole = reducer.fit(df) if isinstance(reducer, Reducer) else reducer
         refit = (whole, together[folds] if shared else learner.fit(whole.transform(df) if whole else df))
     folded.unpersist()
     return BaggedModel(oof, val_scores, [(reducers[i], fitted[i][0]) for i in range(folds)], refit, task_type)
