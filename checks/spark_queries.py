@@ -697,6 +697,36 @@ def log_loss(spark, folder):
     return rounded(metrics.log_loss(read(spark, folder, "lineitem").select(label.alias("label"), p.alias("probability"))), "log_loss")
 
 
+@query
+def ordered_split_text(spark, folder):
+    """Text ids, narrowed by text pivots down to ranges of 200 rows."""
+    df = read(spark, folder, "customer").select(F.col("c_name").alias("row_id"))
+    return split.ordered_split(df, 0.8, leaf=200)
+
+
+@query
+def ordered_split_large_ids(spark, folder):
+    """Ids that a double cannot tell apart."""
+    df = read(spark, folder, "orders").select((F.lit(1 << 60) + F.col("o_orderkey")).alias("row_id"))
+    return split.ordered_split(df, 0.3, leaf=500)
+
+
+@query
+def roc_auc_many_ranges(spark, folder):
+    """Prefix sums over some hundred ranges of distinct scores."""
+    df = read(spark, folder, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_totalprice").alias("score"))
+    return rounded(metrics.roc_auc(df, rows_per_bucket=64), "roc_auc", digits=9)
+
+
+@query
+def encode_skewed_categories(spark, folder):
+    """Two columns with thousands of categories; half of the rows share one value of the first."""
+    text = F.when(F.col("o_orderkey") % 2 == 0, "always").otherwise(F.concat(F.lit("c"), F.col("o_orderkey")))
+    df = read(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), F.lit(0).alias("label"), text.alias("a"), F.concat(F.lit("k"), F.col("o_custkey")).alias("b"))
+    out = encode.ColumnEncoder().fit(df).transform(df)
+    return out.select("row_id", F.get("features", F.lit(0)).cast("int").alias("a"), F.get("features", F.lit(1)).cast("int").alias("b"))
+
+
 # --- trees --------------------------------------------------------------------------------------
 
 

@@ -332,6 +332,17 @@ SQL["prepared_parts"] = f"""WITH base AS (SELECT doc_id AS row_id, quality AS la
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h("'47:' || row_id")}, row_id) AS rn FROM base)
 SELECT row_id, label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS part, 4::INTEGER AS width FROM ranked JOIN quotas USING (label)"""
 
+SQL["ordered_split_text"] = """SELECT c_name AS row_id, CASE WHEN row_number() OVER (ORDER BY c_name) <= (SELECT floor(0.8 * count(*)) FROM customer) THEN 'train' ELSE 'test' END AS part FROM customer"""
+
+SQL["ordered_split_large_ids"] = """SELECT 1152921504606846976 + o_orderkey AS row_id,
+  CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= (SELECT floor(0.3 * count(*)) FROM orders) THEN 'train' ELSE 'test' END AS part FROM orders"""
+
+SQL["roc_auc_many_ranges"] = auc("SELECT (o_orderstatus = 'F')::INT AS label, o_totalprice AS score FROM orders")
+
+SQL["encode_skewed_categories"] = """WITH o AS (
+  SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 2 = 0 THEN 'always' ELSE 'c' || o_orderkey END AS a, 'k' || o_custkey AS b FROM orders)
+SELECT row_id, (dense_rank() OVER (ORDER BY a) - 1)::INTEGER AS a, (dense_rank() OVER (ORDER BY b) - 1)::INTEGER AS b FROM o"""
+
 # --- trees
 
 

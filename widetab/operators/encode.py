@@ -19,6 +19,8 @@ from widetab.operators.stats import long_cells
 from widetab.session import cut_lineage
 
 LITERAL_CODES = 256  # categories written into the plan; longer code tables are joined
+HOT_SHARE = 200  # a value with more than this part of the rows is coded by a broadcast table
+SALTS = 1024
 MAX_CLASSES = 100_000
 DATE_PARTS = ("year", "month", "day", "dayofweek")
 
@@ -183,15 +185,19 @@ class ColumnEncoder(Estimator):
                 literal[c] = [v for v, _ in ordered]
                 modes[c] = min(range(len(ordered)), key=lambda i: (-ordered[i][1], ordered[i][0]))
         tables: dict[str, DataFrame] = {}
+        hot: list[tuple] = []
         if long:
             coded = cut_lineage(sorted_codes(counts.filter(F.col("column").isin(long))))
             top = coded.groupBy("column").agg(F.min_by("code", F.struct(-F.col("n"), "code")).alias("code"))
             modes.update({r["column"]: r["code"] for r in top.collect()})
             tables = {c: coded.filter(F.col("column") == c).select("value", "code") for c in long}
+            # Of each column at most HOT_SHARE values can be hot, so the list is short.
+            rows = F.create_map(*[F.lit(v) for c in long for v in (c, categories[c][1])])
+            hot = [tuple(r) for r in coded.filter(F.col("n") * HOT_SHARE > F.element_at(rows, F.col("column"))).select("column", "value", "code").collect()]
         if counts is not None:
             counts.unpersist()
         return ColumnEncoderModel(
-            self.label, self.row_id, self.keep, live, set(dates), binary, literal, tables, modes, constant, duplicates
+            self.label, self.row_id, self.keep, live, set(dates), binary, literal, tables, modes, constant, duplicates, hot
         )
 
     @staticmethod
@@ -239,12 +245,12 @@ def _as_number(name: str, is_date: bool, df: DataFrame) -> Column:
 
 
 class ColumnEncoderModel(Model):
-    def __init__(self, label, row_id, keep, columns, dates, binary, literal, tables, modes, constant, duplicates):
+    def __init__(self, label, row_id, keep, columns, dates, binary, literal, tables, modes, constant, duplicates, hot=()):
         super().__init__()
         self.label, self.row_id, self.keep = label, row_id, keep
         self.columns, self.dates, self.binary = columns, dates, binary
         self.literal, self.tables, self.modes = literal, tables, modes
-        self.constant, self.duplicates = constant, duplicates
+        self.constant, self.duplicates, self.hot = constant, duplicates, list(hot)
 
     @property
     def may_leave_gaps(self) -> bool:
@@ -270,15 +276,33 @@ class ColumnEncoderModel(Model):
         if name in self.literal:
             return [F.coalesce(code_of(column.cast("string"), self.literal[name]), F.lit(self.modes[name]))]
         if name in self.tables:
-            return [F.coalesce(F.col(f"__code_{self.columns.index(name)}"), F.lit(self.modes[name]))]
+            return [F.coalesce(F.element_at("__codes", name), F.lit(self.modes[name]))]
         return [_as_number(name, False, df)]
 
+    def _with_codes(self, df: DataFrame) -> DataFrame:
+        """Add ``__codes``: the codes of all columns with long code tables, looked up in one long-form join.
+
+        Frequent values get theirs from a broadcast table and are spread over the join by a salt that matches nothing;
+        the cells are narrow, and the wide rows move once, to meet their codes.
+        """
+        spark = df.sparkSession
+        cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
+        rows = df.select(F.col(f"`{self.row_id}`").alias("__row"), F.inline(F.array(*[cell(c) for c in self.tables])))
+        frequent = F.broadcast(spark.createDataFrame(self.hot, "column string, value string, __hot int"))
+        marked = rows.filter(F.col("value").isNotNull()).join(frequent, ["column", "value"], "left")
+        salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("string"))
+        marked = marked.withColumn("value", F.when(F.col("__hot").isNull(), F.col("value")).otherwise(salt))
+        codes = None
+        for c, table in self.tables.items():
+            own = table.select(F.lit(c).alias("column"), "value", "code")
+            codes = own if codes is None else codes.unionByName(own)
+        coded = marked.join(codes, ["column", "value"], "left").withColumn("code", F.coalesce("__hot", "code"))
+        known = coded.filter(F.col("code").isNotNull())
+        gathered = known.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("column", "code"))).alias("__codes"))
+        return df.join(gathered, df[self.row_id] == gathered["__row"], "left").drop("__row")
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        joined = df
-        for name, codes in self.tables.items():
-            code = f"__code_{self.columns.index(name)}"
-            renamed = codes.select(F.col("value").alias("__value"), F.col("code").alias(code))
-            joined = joined.join(renamed, joined[name] == renamed["__value"], "left").drop("__value")
+        joined = self._with_codes(df) if self.tables else df
         cells = [cell.cast("double") for c in self.columns for cell in self._cells(c, df)]
         target = [F.col(f"`{self.label}`").alias("label")] if self.label else []
         gathered = F.array(*cells) if cells else F.array().cast("array<double>")

@@ -12,10 +12,14 @@ import bisect
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from widetab.functions.rng import HASH_BITS
+from widetab.functions.rng import HASH_BITS, hash52
+from widetab.session import cut_lineage
 
 FIRST_BITS = 8
 MAX_BITS = 24
@@ -153,52 +157,60 @@ def not_after(key: Column, tie: Column, cut_key: Column, cut_tie: Column) -> Col
     return (key < cut_key) | ((key == cut_key) & (tie <= cut_tie))
 
 
-def split_points(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """Distinct approximate quantiles that cut ``column`` into about ``buckets`` ranges.
+def pivots(df: DataFrame, column: str, count: int, seed: int = 0) -> list:
+    """At most ``count`` values of a column, in its own type and order: those with the smallest hashes.
 
-    They only balance the work: results computed bucket by bucket do not depend on them.
+    They only balance the work: results computed range by range do not depend on them.
     """
-    if buckets <= 1:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(column, shares, max(1000, 4 * buckets))).first()[0] or []
-    return sorted({float(v) for v in found})
+    key = hash52(seed, F.col(column))
+    drawn = df.filter(F.col(column).isNotNull()).orderBy(key, column).limit(count)
+    return [r[0] for r in drawn.select(column).distinct().orderBy(column).collect()]
 
 
-def range_bucket(value: Column, points: Sequence[float]) -> Column:
-    """Number of split points that are not above ``value``."""
-    from widetab.functions.vectors import array_literal
-
+def range_of(value: Column, points: Sequence) -> Column:
+    """How many of the pivots are not above ``value``; compared in the column's own type."""
     if not points:
         return F.lit(0)
-    if len(points) <= 64:
-        total = F.lit(0)
-        for p in points:
-            total = total + F.when(value >= F.lit(p), 1).otherwise(0)
-        return total
-    return F.size(F.filter(array_literal(points), lambda p: p <= value))
+    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= value))
 
 
 def running_totals(df: DataFrame, order: str, values: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``<value>_before``: the exclusive prefix sum of each value in ascending ``order``.
 
-    ``order`` must be distinct (aggregate ties first). Each range bucket is summed and sorted on its
-    own; the bucket totals are few, so their prefix sum is one small window.
+    ``order`` must be distinct (aggregate ties first). The rows are range-partitioned, sorted inside the partitions and
+    stored; one total per partition tells what lies before it, and a second pass streams through the partitions and
+    adds up. There may be any number of partitions.
     """
-    n = df.count()
-    points = split_points(df, order, min(1000, max(1, n // rows_per_bucket)))
-    df = df.withColumn("_b", range_bucket(F.col(order), points))
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    if not points:
-        for v in values:
-            df = df.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(inside), F.lit(0)))
-        return df.drop("_b")
-    totals = df.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 1000 rows
-    offsets = totals.select(
-        F.col("_b").alias("_ob"), *[F.coalesce(F.sum(f"_t_{v}").over(ahead), F.lit(0)).alias(f"_o_{v}") for v in values]
-    )
-    df = df.join(F.broadcast(offsets), F.col("_b") == F.col("_ob"))
-    for v in values:
-        df = df.withColumn(f"{v}_before", F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    return df.drop("_b", "_ob", *[f"_o_{v}" for v in values])
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // rows_per_bucket))
+    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    stored = cut_lineage(placed)
+    totals = stored.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values]).orderBy("_p").collect()
+    before, sums = {}, [0] * len(values)
+    for r in totals:
+        before[r["_p"]] = list(sums)
+        sums = [s + (r[v] or 0) for s, v in zip(sums, values)]
+    places = [stored.columns.index(v) for v in values]
+    at, offsets = len(stored.columns) - 1, spark.sparkContext.broadcast(before)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{v}_before", _sum_type(df.schema[v].dataType)) for v in values]])
+
+    def stream(batches):
+        sums = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = list(offsets.value[batch.column(at)[0].as_py()]) if sums is None else sums
+            added = []
+            for i, place in enumerate(places):
+                own = batch.column(place).fill_null(0).to_numpy(zero_copy_only=False)
+                own = own.astype(np.int64 if own.dtype.kind in "iub" else np.float64)
+                running = np.cumsum(own)
+                added.append(pa.array(running - own + sums[i]))
+                sums[i] = sums[i] + running[-1].item()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *added], names=[f.name for f in schema.fields])
+
+    return stored.mapInArrow(stream, schema)
+
+
+def _sum_type(dtype: T.DataType) -> T.DataType:
+    return T.DoubleType() if isinstance(dtype, (T.FloatType, T.DoubleType)) else T.LongType()

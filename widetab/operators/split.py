@@ -236,33 +236,40 @@ def class_coverage(parts: DataFrame) -> DataFrame:
     )
 
 
-def ordered_split(df: DataFrame, fraction: float = 0.8, order: str = "row_id") -> DataFrame:
+def ordered_split(df: DataFrame, fraction: float = 0.8, order: str = "row_id", leaf: int = 1 << 16) -> DataFrame:
     """``train`` for the first ``floor(fraction * n)`` rows by a distinct ``order`` column.
 
-    The boundary value is found by counting in ranges, so nothing is sorted as a whole.
+    The boundary value is found by counting in ranges, so nothing is sorted as a whole; ``order`` may have any type
+    that can be sorted.
     """
     n = df.count()
     boundary = math.floor(n * fraction)
     if boundary == 0:
         return df.withColumn("part", F.lit("test"))
-    last = _value_at_rank(df.select(order), order, boundary, n)
+    last = _value_at_rank(df.select(order), order, boundary, n, leaf)
     return df.withColumn("part", F.when(F.col(order) <= F.lit(last), "train").otherwise("test"))
 
 
-def _value_at_rank(df: DataFrame, order: str, rank: int, n: int, leaf: int = 1_000_000):
-    """The value at an exact rank: narrow down by range counts until one range can be sorted."""
-    before = 0
+def _value_at_rank(df: DataFrame, order: str, rank: int, n: int, leaf: int = 1 << 16):
+    """The value at an exact rank, whatever its type: pivots of that type cut the rows into ranges, the ranges are
+    counted, and only the range that holds the rank goes on, until it can be sorted.
+    """
+    before, step = 0, 0
     while n > leaf:
-        points = ranks.split_points(df, order, 256)
-        bucket = ranks.range_bucket(F.col(order).cast("double"), points)
-        counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        points = ranks.pivots(df, order, 256, step)
+        found = ranks.range_of(F.col(order), points)
+        counts = sorted((r["b"], r["n"]) for r in df.groupBy(found.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
         for b, size in counts:
             if rank <= before + size:
                 break
             before += size
-        if size == n:
-            break
-        df, n = df.filter(bucket == F.lit(b)), size
+        if b > 0:
+            df = df.filter(F.col(order) >= F.lit(points[b - 1]))
+        if b < len(points):
+            df = df.filter(F.col(order) < F.lit(points[b]))
+        if size == n:  # only when all rows have one value
+            return points[b - 1]
+        n, step = size, step + 1
     window = Window.orderBy(order)  # at most ``leaf`` rows
     return df.select(order, F.row_number().over(window).alias("_rn")).filter(F.col("_rn") == rank - before).first()[0]
 
