@@ -131,9 +131,12 @@ def run_parallel(spark, jobs: list[Callable], parallelism: int) -> list:
 
 
 class BaggedModel:
-    """Fold models, their out-of-fold predictions and score, and the model used for new rows."""
+    """Fold models, their out-of-fold predictions and score, and the model used for new rows.
 
-    def __init__(self, oof: DataFrame, val_scores: dict, folds: list, refit: tuple | None, task_type: str):
+    A learner fitted without folds has neither predictions nor scores of that kind.
+    """
+
+    def __init__(self, oof: DataFrame | None, val_scores: dict, folds: list, refit: tuple | None, task_type: str):
         self.oof, self.val_scores, self.folds, self.refit, self.task_type = oof, val_scores, folds, refit, task_type
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -166,6 +169,17 @@ class BaggedModel:
     def score(self, df: DataFrame) -> dict[str, float]:
         return metrics.evaluate(self.predict(df), self.task_type)
 
+    def release(self) -> None:
+        """Give up the stored out-of-fold predictions."""
+        if self.oof is not None:
+            self.oof.unpersist()
+
+
+def fit_alone(df: DataFrame, learner: Learner, reducer: Reducer | ReducerModel | None = None, task_type: str = "multiclass") -> BaggedModel:
+    """One learner on all rows, without folds and so without a validation score."""
+    fitted = reducer.fit(df) if isinstance(reducer, Reducer) else reducer
+    return BaggedModel(None, {}, [], (fitted, learner.fit(fitted.transform(df) if fitted else df)), task_type)
+
 
 def bag(
     df: DataFrame, learner: Learner, reducer: Reducer | ReducerModel | None = None, folds: int = 8, task_type: str = "multiclass",

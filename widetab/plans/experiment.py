@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 from widetab.functions.naming import metrics_for, split_budget
 from widetab.operators import split
 from widetab.operators.layout import checked_broadcast
-from widetab.operators.learn import bag, make_learner
+from widetab.operators.learn import bag, fit_alone, make_learner
 from widetab.operators.registry import make_reducer
 from widetab.operators.stats import infer_task_type
 from widetab.plans.prepare import prepare
 from widetab.plans.report import method_summary
 from widetab.sources import results as result_files
+from widetab.sources.tables import split_dimensions
 
 RESULT_SCHEMA = (
     "dataset_name string, model string, method string, num_features int, repeat int, fold int, seed int, "
     "metric string, score double, norm_rmse double, val_score double, fold_time double"
 )
-ERROR_SCHEMA = "dataset_name string, model string, method string, num_features int, repeat int, fold int, seed int, message string"
+ERROR_SCHEMA = "dataset_name string, model string, method string, num_features int, repeat int, fold int, seed int, message string, stage string"
+
+# Repeats and folds of a table without published splits, and of a dry run.
+DIMENSIONS, DRY_DIMENSIONS = (10, 3), (2, 2)
 
 # Default width sweep.
 SWEEP_WIDTHS = tuple(range(100, 1401, 100))
@@ -36,6 +40,11 @@ class Experiment:
 
     ``scope`` is where a method is fitted: once per ``split`` or inside every inner ``fold``. A ``splitter``
     takes the table, repeat, fold and fold seed, and adds a ``part`` column with ``train`` and ``test``.
+
+    Repeats and folds that are not given are those of the published splits, 10 x 3 without any; a ``dry_run`` has 2 x 2.
+    Without ``bagging`` a unit fits one learner to all training rows and has no validation score. ``reducer_seed``
+    ``scope`` seeds a method by the repeat when it is fitted once per split, and by the seed of the experiment inside
+    folds; ``repeat`` and ``base`` choose one of them for both.
     """
 
     dataset_name: str
@@ -43,15 +52,17 @@ class Experiment:
     methods: Sequence[str] = ("random_fs",)
     task_type: str | None = None
     num_features: int = 150
-    num_repeats: int = 10
-    num_folds: int = 3
+    num_repeats: int | None = None
+    num_folds: int | None = None
     num_k_folds: int = 8
+    bagging: bool = True
+    dry_run: bool = False
     test_size: float = 0.3
     seed: int = 44
     scope: str = "fold"
     own_stats: bool = False
     save_time: bool = True
-    reducer_seed: str = "repeat"
+    reducer_seed: str = "scope"
     parallelism: int = 4
     splitter: Callable[[DataFrame, int, int, int], DataFrame] | None = None
     method_params: dict = field(default_factory=dict)
@@ -75,11 +86,17 @@ def split_parts(table: DataFrame, splits: DataFrame | None, exp: Experiment, tas
     return side("train"), side("test")
 
 
-def units(exp: Experiment, table: DataFrame) -> list[tuple[int, int]]:
+def units(exp: Experiment, table: DataFrame, splits: DataFrame | None = None) -> list[tuple[int, int]]:
     """Repeats x folds; a fixed appended test table gives the same split every time, so it runs once."""
-    if "is_test" in table.columns:
+    if "is_test" in table.columns and splits is None and exp.splitter is None:
         return [(0, 0)]
-    return [(r, f) for r in range(exp.num_repeats) for f in range(exp.num_folds)]
+    if exp.dry_run:
+        repeats, folds = DRY_DIMENSIONS
+    else:
+        missing = exp.num_repeats is None or exp.num_folds is None
+        given = split_dimensions(splits) if missing and splits is not None else DIMENSIONS
+        repeats, folds = exp.num_repeats or given[0], exp.num_folds or given[1]
+    return [(r, f) for r in range(repeats) for f in range(folds)]
 
 
 def run(table: DataFrame, exp: Experiment, splits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,29 +105,36 @@ def run(table: DataFrame, exp: Experiment, splits: DataFrame | None = None) -> t
     The driver only schedules: every unit is a handful of Spark jobs on the whole table. A split is
     imputed and encoded once for all methods and kept while they run.
     """
+    return _run(table, exp, splits, (exp.num_features,))
+
+
+def _run(table: DataFrame, exp: Experiment, splits: DataFrame | None, widths: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     if exp.scope not in ("split", "fold"):
         raise ValueError(f"unknown scope {exp.scope!r}")
+    if exp.reducer_seed not in ("scope", "repeat", "base"):
+        raise ValueError(f"unknown reducer_seed {exp.reducer_seed!r}")
     spark = table.sparkSession
     task_type = infer_task_type(table, "label", exp.task_type)
     metric = metrics_for(task_type)[0]
     results, errors = [], []
-    for repeat, fold in units(exp, table):
+    for repeat, fold in units(exp, table, splits):
         rep_seed = exp.seed + 100 * repeat
-        keys = lambda method: (exp.dataset_name, exp.model, method, exp.num_features, repeat, fold, rep_seed)
+        keys = lambda method, k: (exp.dataset_name, exp.model, method, int(k), repeat, fold, rep_seed)
         try:
             prepared = prepare(*split_parts(table, splits, exp, task_type, repeat, fold), task_type, own_stats=exp.own_stats)
             train, test = prepared.train.persist(), prepared.test.persist()
         except Exception as error:  # a failed split fails all its methods and nothing else
-            errors += [(*keys(m), _message(error)) for m in exp.methods]
+            errors += [(*keys(m, k), _message(error), "prepare") for k in widths for m in exp.methods]
             continue
-        for method in exp.methods:
-            started = time.monotonic()
-            try:
-                scores, val = _unit(train, test, prepared, exp, method, task_type, rep_seed)
-                elapsed = time.monotonic() - started if exp.save_time else None
-                results.append((*keys(method), metric, scores[metric], scores.get("norm_rmse"), val[metric], elapsed))
-            except Exception as error:
-                errors.append((*keys(method), _message(error)))
+        for k in widths:
+            for method in exp.methods:
+                started, stage = time.monotonic(), []
+                try:
+                    scores, val = _unit(train, test, prepared, replace(exp, num_features=int(k)), method, task_type, rep_seed, stage)
+                    elapsed = time.monotonic() - started if exp.save_time else None
+                    results.append((*keys(method, k), metric, scores[metric], scores.get("norm_rmse"), val.get(metric), elapsed))
+                except Exception as error:
+                    errors.append((*keys(method, k), _message(error), stage[-1]))
         train.unpersist()
         test.unpersist()
     return spark.createDataFrame(results, RESULT_SCHEMA), spark.createDataFrame(errors, ERROR_SCHEMA)
@@ -143,10 +167,12 @@ def _message(error: Exception) -> str:
     return f"{type(error).__name__}: {text.splitlines()[0]}"
 
 
-def _unit(train, test, prepared, exp: Experiment, method: str, task_type: str, rep_seed: int):
-    seed = rep_seed if exp.reducer_seed == "repeat" else exp.seed
+def _unit(train, test, prepared, exp: Experiment, method: str, task_type: str, rep_seed: int, stage: list[str]):
+    """Test and validation scores of one method; ``stage`` notes what has been begun."""
+    stage.append("reduce")
+    by_repeat = exp.reducer_seed == "repeat" or exp.reducer_seed == "scope" and exp.scope == "split"
     reducer = make_reducer(
-        method, num_features=exp.num_features, task_type=task_type, seed=seed, names=prepared.names or None,
+        method, num_features=exp.num_features, task_type=task_type, seed=rep_seed if by_repeat else exp.seed, names=prepared.names or None,
         **exp.method_params.get(method, {}),
     )
     learner = make_learner(exp.model, task_type=task_type, classes=len(prepared.classes), seed=rep_seed, **exp.learner_params)
@@ -155,20 +181,23 @@ def _unit(train, test, prepared, exp: Experiment, method: str, task_type: str, r
         train, test, reducer = narrowed.transform(train), narrowed.transform(test), None
     elif method == "original":
         reducer = None
-    bagged = bag(train, learner, reducer, exp.num_k_folds, task_type, rep_seed, parallelism=exp.parallelism)
-    scores = bagged.score(test)
-    bagged.oof.unpersist()
-    return scores, bagged.val_scores
+    stage.append("fit")
+    if exp.bagging:
+        fitted = bag(train, learner, reducer, exp.num_k_folds, task_type, rep_seed, parallelism=exp.parallelism)
+    else:
+        fitted = fit_alone(train, learner, reducer, task_type)
+    stage.append("score")
+    scores = fitted.score(test)
+    fitted.release()
+    return scores, fitted.val_scores
 
 
 def width_sweep(table: DataFrame, exp: Experiment, widths: Sequence[int] = SWEEP_WIDTHS, splits: DataFrame | None = None):
-    """The experiment at every target width; ``(results, errors)`` of all widths together."""
-    results, errors = None, None
-    for k in widths:
-        found, failed = run(table, replace(exp, num_features=int(k)), splits)
-        results = found if results is None else results.unionByName(found)
-        errors = failed if errors is None else errors.unionByName(failed)
-    return results, errors
+    """The experiment at every target width; ``(results, errors)`` of all widths together.
+
+    A split is prepared once and serves all widths.
+    """
+    return _run(table, exp, splits, widths)
 
 
 def metric_columns(results: DataFrame) -> DataFrame:

@@ -99,16 +99,43 @@ def load_results(spark: SparkSession, root: str, requested_columns: Sequence[str
     )
 
 
+def enclosing_lines(lines: Column) -> Column:
+    """For each line of a file the numbers of the lines it is nested in, outermost first.
+
+    A line is nested in the nearest earlier lines with less indentation. Blank lines and comments do not count.
+    """
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.length(F.regexp_extract(line, r"^(\s*)", 1)).alias("indent"), line.rlike(r"^\s*[^\s#]").alias("real")))
+    level = "array<struct<at:int,indent:int>>"
+    start = F.struct(F.array().cast(level).alias("open"), F.array().cast("array<array<int>>").alias("found"))
+
+    def step(state, line):
+        outer = F.filter(state["open"], lambda o: o["indent"] < line["indent"])
+        own = F.array(F.struct(line["at"].alias("at"), line["indent"].alias("indent")))
+        return F.struct(
+            F.when(line["real"], F.concat(outer, own)).otherwise(state["open"]).cast(level).alias("open"),
+            F.concat(state["found"], F.array(F.transform(outer, lambda o: o["at"]))).alias("found"),
+        )
+
+    return F.aggregate(numbered, start, step, lambda state: state["found"])
+
+
 def read_config_files(spark: SparkSession, root: str, pattern: str = "*_config.yaml", recursive: bool = True) -> DataFrame:
-    """``(path, file, line_no, key, kind, ..., indent)`` for the ``key: value`` lines of config files."""
+    """``(path, file, line_no, above, key, kind, ..., indent)`` for the ``key: value`` lines of config files."""
     files = whole_files(spark, root, pattern, recursive)
-    lines = files.select("path", text.base_name(F.col("path")).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return text.parse_key_values(lines).drop("value")
+    split = F.split("value", r"\r?\n")
+    rows = files.select("path", text.base_name(F.col("path")).alias("file"), split.alias("lines"), enclosing_lines(split).alias("levels"))
+    lines = rows.select("path", "file", "levels", F.posexplode("lines").alias("line_no", "value"))
+    above = F.get("levels", F.col("line_no")).alias("above")
+    return text.parse_key_values(lines.select("path", "file", "line_no", above, "value")).drop("value")
 
 
 def config_value(configs: DataFrame, key: str) -> DataFrame:
-    """``(path, file, value)``: the outermost, then first, occurrence of ``key`` in every file."""
-    hit = F.min_by("string_value", F.struct("indent", "line_no"))
+    """``(path, file, value)``: the first occurrence of ``key`` in every file, depth first.
+
+    A mapping's own entry comes before those of its children, whose order is that of the file. That is the order of the
+    lists of enclosing lines, where a list comes before its continuations.
+    """
+    hit = F.min_by("string_value", F.struct("above", "line_no"))
     return configs.filter(F.col("key") == key).groupBy("path", "file").agg(hit.alias("value"))
 
 
