@@ -296,21 +296,41 @@ def test_language_model(docs, empty):
 def test_every_position_is_learned_from(spark):
     train = spark.createDataFrame([(i, "a b c") for i in range(400)], "doc_id long, text string").coalesce(1)
     known = lm_score.vocabulary(lm_score.word_counts(train))
-    model = (np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), np.zeros(lm_score.CLASSES, np.float32))
-    for number in range(lm_score.ROUNDS):
-        model = lm_score._train_round(train, spark.sparkContext.broadcast(known), model, number)
+    model = lm_score.learn(train, spark.sparkContext.broadcast(known))
     hashes, buckets, bounds, _, _ = next(lm_score._chunks(pa.array(["a b c"])))
     kinds, rows, _, _ = lm_score.features(hashes, buckets, bounds, known)
     assert (np.exp(lm_score.log_softmax(*model, rows))[np.arange(4), kinds] > 0.1).all()  # those of "c" and the end were never seen
 
 
-def test_group_sums():
+def test_gradient_of_contexts_equals_that_of_tokens():
     rng = np.random.default_rng(6)
-    for keys in (np.zeros(50, int), np.arange(40), rng.zipf(1.3, 3000) % 500, np.repeat([1, 2, 3], [31, 32, 33])):
-        values, order = rng.normal(size=(len(keys), 5)), np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0])
-        sums = lm_score.group_sums(values, order, first, np.diff(np.r_[first, len(keys)]))
-        assert np.allclose(sums, [values[keys == k].sum(axis=0) for k in np.unique(keys)])
+    pairs, kinds = rng.integers(0, 40, 3000) ** 3, rng.integers(0, lm_score.CLASSES, 3000)
+    weights = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
+    bias = rng.normal(size=lm_score.CLASSES).astype(np.float32)
+    rows = lm_score.context_rows(pairs)
+    logs = lm_score.log_softmax(weights, bias, rows)
+    assert np.allclose(lm_score.class_chances(kinds, pairs, weights, bias), logs[np.arange(3000), kinds], atol=1e-5)
+    rest = -np.exp(logs)
+    rest[np.arange(3000), kinds] += 1
+    expected = np.zeros((lm_score.ROWS, lm_score.CLASSES + 1))
+    for column in range(3):
+        np.add.at(expected, rows[:, column], np.column_stack([rest, np.ones(3000)]))
+    found = lm_score.gradient(*np.unique(pairs * lm_score.CLASSES + kinds, return_counts=True), weights, bias)
+    assert np.allclose(found, expected, atol=1e-3)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join([prose(rng, rng.randrange(40)), "alpha beta gamma delta " * 12])) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts, kept in ((1, 1 << 30), (4, 500), (32, 1 << 30)):  # kept: tasks also send what they have gathered in several pieces
+        monkeypatch.setattr(lm_score, "KEPT_CONTEXTS", kept)
+        own = table.repartition(parts)
+        found.append({r["doc_id"]: tuple(r) for r in lm_score.score_texts(own, own.filter("doc_id % 5 <> 1")).collect()})
+    assert all(np.allclose(found[0][i], other[i], rtol=1e-9) for other in found[1:] for i in range(300))
+    held = [r for i, r in found[0].items() if i % 5 == 1]
+    assert sum(r[5] for r in held) > sum(r[4] for r in held)  # a better model of held-out texts than the unigrams
 
 
 def test_rare_words_are_joined(spark, monkeypatch):
