@@ -36,7 +36,7 @@ TOP, BUCKETS, PAIR_ROWS = 1024, 1023, 4096
 START = TOP + BUCKETS
 SIGNS = START + 1
 ROWS = 2 * SIGNS + PAIR_ROWS
-HEAVY = 20
+HEAVY = 17
 EXACT = 1 << 16  # words with fewer occurrences are told apart when the broadcast ones are chosen
 RATES = (0.4, 0.4, 0.3, 0.2, 0.1, 0.05)  # one per round
 MOMENTUM, DECAY, DAMPING = 0.6, 0.95, 100.0
