@@ -140,13 +140,14 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A text is split at \\n (null or empty: one empty line). A line counts by its key: white space at both ends
     stripped, A-Z lower-cased, at least 10 code points. A key found in two or more documents stays only in the one
     with the smallest id, with all its repeats there. A null text stays null; a text that loses all lines is empty.
-    Columns that begin with ``__`` are reserved.
+    An empty table gives no rows, and texts of any length are split whole. Columns that begin with ``__`` are reserved;
+    all other names may occur in ``docs``.
     """
-    bitmaps = keep_bitmaps(docs, id_col, text_col).withColumnsRenamed({"id": "__id", "text_key": "__key"})
+    bitmaps = keep_bitmaps(docs, id_col, text_col).withColumnsRenamed({"id": "__id", "text_key": "__key", "n_dropped": "__n", "keep_bitmap": "__bitmap"})
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__key": F.xxhash64(text_col)})
     joined = keyed.join(bitmaps, ["__id", "__key"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") if c != text_col else keep_lines(F.col(text_col), F.col("keep_bitmap")).alias(text_col) for c in docs.columns],
+        *[F.col(f"`{c}`") if c != text_col else keep_lines(F.col(text_col), F.col("__bitmap")).alias(text_col) for c in docs.columns],
         F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long").alias("__n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("__n_dropped"), F.col("keep_bitmap").alias("__keep_bitmap"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("__n_dropped"), F.col("__bitmap").alias("__keep_bitmap"),
     )
