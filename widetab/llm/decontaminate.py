@@ -6,8 +6,10 @@
    ``SPREAD`` times as often as the item's median 3-gram - so an item that has leaked into a third of all documents
    keeps its seeds. Items are handled in blocks of bounded size, each broadcast on its own.
 3. A second pass looks up the seeds in every whole text. Each hit says where the item would lie; hits that agree are
-   one place. The words around each place are aligned with the item by Smith-Waterman (match 1, mismatch and gap -1).
-   The score is the best alignment divided by the words of the item; a place counts from ``THRESHOLD`` on.
+   one place. The words around each place are aligned with the item by Smith-Waterman (match ``MATCH``, mismatch and
+   gap -1, so a word that was edited costs half of what one that was kept gives). The score is the best alignment as a
+   share of that of the whole item. A place counts from ``THRESHOLD`` on, and only with an alignment worth at least
+   ``LEAST_WORDS`` words or half of the item: copies with three of ten words replaced, and excerpts, are found.
 
 Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased, so punctuation and case do not
 matter.
@@ -25,7 +27,8 @@ from widetab.llm.frames import batch, documents, schema_of
 
 SEED = 3
 COMMON, SPREAD = 1e-6, 8
-THRESHOLD = 0.5
+MATCH = 2
+THRESHOLD, LEAST_WORDS = 0.38, 8
 BLOCK_WORDS = 2_000_000  # of items per pass: bounds every broadcast
 CELLS = 4_000_000  # alignment cells handled at once
 
@@ -39,6 +42,16 @@ def _words(column):
         yield (*textops.word_hashes(data[a:b], offsets[i:j + 1] - a, textops.ALNUM), i, j)
 
 
+def medians(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each value the median of all values of its owner."""
+    if not len(values):
+        return np.zeros(0)
+    ordered = values[np.lexsort((values, owner))].astype(float)
+    _, place, count = np.unique(owner, return_inverse=True, return_counts=True)
+    first = np.cumsum(count) - count
+    return ((ordered[first + (count - 1) // 2] + ordered[first + count // 2]) / 2)[place]
+
+
 class Items:
     """A block of items: words, bounds, and the seeds that point into them."""
 
@@ -52,10 +65,7 @@ class Items:
         """Keep rare grams; every item keeps those up to ``SPREAD`` times its median."""
         at = np.minimum(np.searchsorted(keys, self.grams), max(len(keys) - 1, 0))
         often = np.where(keys[at] == self.grams, counts[at], 0) if len(keys) else np.zeros(len(self.grams), np.int64)
-        keep = often <= COMMON * corpus_words
-        for item in np.unique(self.owner):
-            own = self.owner == item
-            keep[own] |= often[own] <= SPREAD * np.median(often[own])
+        keep = (often <= COMMON * corpus_words) | (often <= SPREAD * medians(often, self.owner))
         order = np.argsort(self.grams[keep], kind="stable")
         gram, place = self.grams[keep][order], self.places[keep][order]
         self.owner = self.owner[keep][order]
@@ -107,7 +117,7 @@ def gram_counts(docs: DataFrame, lookup) -> tuple[np.ndarray, np.ndarray, int]:
     return lookup.value.keys, counts, int(n[key < 0].sum())
 
 
-def align(windows: np.ndarray, valid: np.ndarray, items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(windows: np.ndarray, valid: np.ndarray, items: np.ndarray, sizes: np.ndarray, match: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each item (row of ``items``, ``sizes`` words) with its window, and the column where it ends.
 
     All pairs advance together, one item word at a time; the gaps along the window come from a running maximum.
@@ -118,7 +128,7 @@ def align(windows: np.ndarray, valid: np.ndarray, items: np.ndarray, sizes: np.n
     best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
     for i in range(items.shape[1]):
         live = i < sizes
-        step = np.where((windows == items[:, i:i + 1]) & valid, 1, -1).astype(np.int32)
+        step = np.where((windows == items[:, i:i + 1]) & valid, match, -1).astype(np.int32)
         diagonal = np.zeros_like(row)
         diagonal[:, 1:] = row[:, :-1]
         new = np.maximum(np.maximum(diagonal + step, row - 1), 0)
@@ -173,12 +183,12 @@ def leaks(items: Items, hashes: np.ndarray, bounds: np.ndarray):
         valid = (columns >= bounds[text[own]][:, None]) & (columns < bounds[text[own] + 1][:, None]) & (np.arange(reach) < width[own][:, None])
         window = hashes[np.clip(columns, 0, len(hashes) - 1)]
         words = items.words[np.minimum(items.bounds[item[own]][:, None] + np.arange(longest), len(items.words) - 1)]
-        best, end = align(window, valid, words, size[own])
-        score[own] = best / size[own]
+        best, end = align(window, valid, words, size[own], MATCH)
+        score[own] = best / (MATCH * size[own])
         last[own] = columns[np.arange(len(own)), end] - bounds[text[own]]
         first[own] = np.maximum(last[own] - size[own] + 1, 0)
         i = j
-    good = np.flatnonzero(score >= THRESHOLD)
+    good = np.flatnonzero(score >= np.maximum(THRESHOLD, np.minimum(0.5, LEAST_WORDS / size)))
     good = good[np.lexsort((first[good], -score[good], item[good], text[good]))]
     keep = np.ones(len(good), bool)
     keep[1:] = (text[good][1:] != text[good][:-1]) | (item[good][1:] != item[good][:-1])
