@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -212,15 +213,32 @@ KEYWORDS = sorted(set(_BY_KEYWORD) | {phrase.split()[-1] for phrase, _ in BASE})
 _BASE_PATTERNS = [(re.compile(rf"(?<= ){p}(?= )"), label) for p, label in BASE]
 
 
+def word_starts(words: list[str]) -> list[int]:
+    """Where the words begin in their text with one space before each."""
+    return list(accumulate((len(w) + 1 for w in words), initial=1))[:len(words)]
+
+
+class Taken:
+    """Intervals; those inside others are not kept, so both ends ascend and one look-up tells whether one is covered."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, a: int, b: int) -> bool:
+        """Take an interval unless it lies inside a taken one."""
+        at = bisect_right(self.starts, a)
+        if at and self.ends[at - 1] >= b:
+            return False
+        low = at - 1 if at and self.starts[at - 1] == a else at
+        high = bisect_right(self.ends, b, low)
+        self.starts[low:high], self.ends[low:high] = [a], [b]
+        return True
+
+
 def detections(words: list[str]) -> list[tuple[int, int, str, int]]:
     """``(first word, last word, label, priority)`` of the rules, those inside taken intervals suppressed."""
     present = set(words)
-    padded = f" {' '.join(words)} "
-    starts = []
-    at = 1
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
+    padded, starts = f" {' '.join(words)} ", word_starts(words)
     found = []
     for first in present & _BY_KEYWORD.keys():
         for rule in _BY_KEYWORD[first]:
@@ -228,12 +246,11 @@ def detections(words: list[str]) -> list[tuple[int, int, str, int]]:
                 for m in rule.pattern.finditer(padded):
                     found.append((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label))
     found.sort()
-    taken: list[tuple[int, int]] = []
+    taken = Taken()
     out = []
     for priority, _, a, b, label in found:
-        if any(x <= a and b <= y for x, y in taken):
+        if not taken.add(a, b):
             continue
-        taken.append((a, b))
         out.append((bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, label, -priority))
     return sorted(out)
 
@@ -241,11 +258,11 @@ def detections(words: list[str]) -> list[tuple[int, int, str, int]]:
 def scan(text: bytes) -> tuple:
     """Of a text in lower case that holds a keyword: n_base, first and last word, base labels, labels, score, detections."""
     words = WORD.findall(text.decode())
-    padded = f" {' '.join(words)} "
+    padded, starts = f" {' '.join(words)} ", word_starts(words)
     places, base = [], set()
     for pattern, label in _BASE_PATTERNS:
         for m in pattern.finditer(padded):
-            places.append(padded.count(" ", 0, m.start()) - 1)
+            places.append(bisect_right(starts, m.start()) - 1)
             base.add(label)
     found = detections(words)
     labels = sorted(base | {label for _, _, label, _ in found})
