@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
 
+def test_line_dedup_with_clashing_names(docs):
+    clashing = docs
+    for name in ("n_dropped", "keep_bitmap", "n_lines", "pos", "h1", "text_key", "dropped", "first_id"):
+        clashing = clashing.withColumn(name, F.lit(name))
+    out = line_dedup.deduplicate_lines(clashing)
+    plain = sorted(map(repr, (tuple(r) for r in line_dedup.deduplicate_lines(docs).select("doc_id", "text", "__n_lines", "__n_dropped").collect())))
+    assert sorted(map(repr, (tuple(r) for r in out.select("doc_id", "text", "__n_lines", "__n_dropped").collect()))) == plain
+    assert {tuple(r) for r in out.select("n_dropped", "keep_bitmap").distinct().collect()} == {("n_dropped", "keep_bitmap")}
+
+
 def test_runs_across_partitions_of_lines(spark):
     """One line in all documents, so that its run spans every range."""
     table = spark.createDataFrame([(i, f"a very common line\nown line of {i}") for i in range(200)], "doc_id long, text string")
@@ -180,6 +191,40 @@ def smith_waterman(a, b):
     return best
 
 
+def test_edited_copies_and_excerpts_are_found(spark):
+    """Recall by share of replaced words and by length of the excerpt, and no alarm on texts without them."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("bcdfglmnprstv", k=rng.randint(1, 5))) for _ in range(400)]
+    weights = [1 / (i + 2) for i in range(400)]
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [draw(rng.randint(15, 50)) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    wanted = {"edits 0": 1.0, "edits 0.1": 1.0, "edits 0.2": 0.95, "edits 0.3": 0.9, "excerpt 0.6": 1.0, "excerpt 0.5": 0.95}
+    rows, planted = [], {}
+    for kind in wanted:
+        name, share = kind.split()
+        for i, words in enumerate(items):
+            n = len(words) if name == "edits" else round(len(words) * float(share))
+            start = rng.randint(0, len(words) - n)
+            passage = [draw(1)[0] if name == "edits" and rng.random() < float(share) else w for w in words[start:start + n]]
+            planted[len(rows)] = (kind, i)
+            rows.append((len(rows), " ".join([*draw(40), *passage, *draw(40)])))
+    clean = range(len(rows), len(rows) + 600)
+    docs = spark.createDataFrame(rows + [(i, " ".join(draw(150))) for i in clean], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    for kind, least in wanted.items():
+        own = [(d, i) for d, (k, i) in planted.items() if k == kind]
+        assert sum(p in found for p in own) / len(own) >= least, kind
+    assert not {d for d, _ in found} & set(clean)
+
+
+def test_medians_by_owner():
+    rng = np.random.default_rng(3)
+    owner, values = rng.integers(0, 30, 400), rng.integers(0, 50, 400)
+    assert np.allclose(decontaminate.medians(values, owner), [np.median(values[owner == o]) for o in owner])
+    assert len(decontaminate.medians(np.zeros(0), np.zeros(0, int))) == 0
+
+
 def test_alignment_and_leaks(spark):
     rng = random.Random(2)
     for _ in range(30):
@@ -472,3 +517,23 @@ def test_odd_sketches_rule_out_no_link():
             assert apart <= len(a) + len(b) - 2 * common
             if 100 * common >= 75 * (len(a) + len(b) - common):
                 assert 7 * apart <= len(a) + len(b)
+
+
+def test_license_intervals_and_very_long_texts():
+    rng = random.Random(23)
+    for _ in range(200):
+        taken, plain = license_scan.Taken(), []
+        for _ in range(30):
+            a = rng.randrange(40)
+            b = a + rng.randrange(1, 12)
+            covered = any(x <= a and b <= y for x, y in plain)
+            assert taken.add(a, b) == (not covered)
+            if not covered:
+                plain.append((a, b))
+    notice = "licensed under the mit license or the apache license version 2 0 and the gnu general public license "
+    started = time.perf_counter()
+    n_base, first, last, base, *_ = license_scan.scan((notice * 4000).encode())
+    assert time.perf_counter() - started < 5  # 72,000 words; pairs of detections would take minutes
+    words = notice.split()
+    assert (n_base, first, base) == (12000, words.index("mit"), "apache,gpl,mit")
+    assert last == 3999 * len(words) + words.index("general")

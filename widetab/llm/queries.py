@@ -188,3 +188,36 @@ FROM p
 @query
 def op13_html_extraction(spark, folder: str) -> DataFrame:
     return html_text.main_text(read(spark, folder, "pages"), html_text.train(html_text.labelled_pages(spark)))
+
+
+@query
+def license_base_places(spark, folder: str) -> DataFrame:
+    """What op 10 says of its base phrases, which SQL can say too."""
+    return license_scan.scan_licenses(read(spark, folder, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+SQL["license_base_places"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, len(w) AS n_words, list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+    list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+    list_filter(range(0, len(w) - 2), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM d),
+a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM a
+"""
+
+
+@query
+def fingerprint_edits(spark, folder: str) -> DataFrame:
+    """The texts that op 9 compares: lengths, and each text with its last half replaced from the next document."""
+    return fingerprint.fingerprints(read(spark, folder, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+SQL["fingerprint_edits"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+f AS (SELECT text FROM d ORDER BY doc_id LIMIT 1),
+e AS (SELECT doc_id, text, n, coalesce(lead(text) OVER (ORDER BY doc_id), (SELECT text FROM f)) AS next FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 2) || substr(next, 1, n // 2)) AS edited_sha256 FROM e
+"""
