@@ -39,13 +39,13 @@ class LabelCoder(Estimator):
         rows = df.select(self.label).filter(F.col(self.label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
         if len(rows) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes; is this a regression target?")
-        return LabelCoderModel(self.label, self.out, sorted(r[0] for r in rows))
+        return LabelCoderModel(self.label, self.out, sorted(r[0] for r in rows), df.schema[self.label].dataType.simpleString())
 
 
 class LabelCoderModel(Model):
-    def __init__(self, label: str, out: str, classes: list):
+    def __init__(self, label: str, out: str, classes: list, dtype: str | None = None):
         super().__init__()
-        self.label, self.out, self.classes = label, out, classes
+        self.label, self.out, self.classes, self.dtype = label, out, classes, dtype
 
     def _transform(self, df: DataFrame) -> DataFrame:
         if len(self.classes) <= LITERAL_CODES:

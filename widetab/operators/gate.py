@@ -4,17 +4,21 @@ Each feature passes with weight ``w`` and receives noise that grows as the gate
 gate pays only for features that help the prediction. The gate and the head are trained together by
 full-batch gradients: an epoch is one pass over the rows in which every task adds up its own gradient,
 and the driver updates as many numbers as the table is wide.
+
+The rows are cut into chunks and every chunk into training and validation rows. The same pass gives the gradient of the
+training rows and the loss of the validation rows, which see no noise; the gate with the lowest validation loss is kept.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widetab.operators import matrix
+from widetab.functions.rng import mix64, stream, unit
+from widetab.operators import matrix, split
 from widetab.operators.base import ScoreSelector, SelectorModel
 from widetab.operators.stats import standard_scales
 
@@ -32,13 +36,29 @@ def projection_gradient(w: np.ndarray, k: int, g: np.ndarray, eps: float = 1e-12
     return inner * np.sign(w) * (np.abs(w) < 1.0)
 
 
-def row_noise(seed: int, epoch: int, row_ids, d: int) -> np.ndarray:
-    """Standard normal noise that belongs to the row, not to the task that reads it."""
-    noise = np.empty((len(row_ids), d))
-    for i, row in enumerate(row_ids):
-        digest = hashlib.md5(f"{seed}:{epoch}:{row}".encode()).digest()
-        noise[i] = np.random.Generator(np.random.Philox(key=int.from_bytes(digest, "little"))).standard_normal(d)
-    return noise
+CHUNK_ROWS = 256
+VALIDATION = 0.3
+
+
+def row_noise(seed: int, epoch: int, keys: np.ndarray, d: int) -> np.ndarray:
+    """Standard normal noise that belongs to the row, not to the task that reads it: hashes of (row, epoch, feature)."""
+    own = mix64(np.asarray(keys).astype(np.int64).view(np.uint64) ^ stream(np.uint64(seed % 2**64), epoch))
+    u = unit(stream(own[:, None], np.arange(2 * d)[None, :]))
+    return np.sqrt(-2.0 * np.log(1.0 - u[:, :d])) * np.cos(2.0 * math.pi * u[:, d:])
+
+
+def training_parts(df: DataFrame, seed: int, stratify: bool) -> DataFrame:
+    """``(row_id, valid)`` of the rows that are used: chunks of at most 256 rows, 30 % of each for validation.
+
+    A chunk whose parts do not hold equally many classes is left out. Without any chunk that can be used all rows train.
+    """
+    label = "label" if stratify else None
+    parts = split.chunk_holdout(split.chunks(df, CHUNK_ROWS, seed, label), VALIDATION, seed, stratify).persist()
+    if stratify:
+        covered = split.class_coverage(parts).filter("covered").select("chunk")
+        used = parts.join(F.broadcast(covered), "chunk", "left_semi") if covered.limit(split.CHUNKS_SENT + 1).count() <= split.CHUNKS_SENT else parts.join(covered, "chunk", "left_semi")
+        parts = used if used.limit(1).count() else parts.withColumn("part", F.lit("train"))
+    return parts.select("row_id", (F.col("part") == "test").alias("valid"))
 
 
 class Adam:
@@ -57,45 +77,53 @@ class Adam:
 
 
 def gradient_pass(rows: DataFrame, d: int, outputs: int, values: dict, k: int, sigma: float, seed: int, epoch: int, regression: bool, mean, scale, y_mean: float, y_scale: float):
-    """One epoch: ``(loss, rows, gradients of gate, head and intercept)`` summed over the table."""
+    """One epoch: ``(loss, rows, gradients of gate, head and intercept, validation loss)`` summed over the table.
+
+    The validation loss is None when no row is held out.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((projected(values["gate"], k), values["head"], values["bias"], mean, scale))
 
-    def step(state, ids, labels, column):
-        gate, head, bias, centre, spread = shared.value
-        x = (matrix.batch_matrix(column, d) - centre) / spread
-        noise = row_noise(seed, epoch, ids.to_pylist(), d)
-        y = labels.to_numpy(zero_copy_only=False)
-        gated = x * gate + sigma * (1.0 - np.abs(gate)) * noise
+    def errors(gated, y, head, bias):
+        """Loss, and its slopes at the outputs."""
         out = gated @ head + bias
         if regression:
             error = out[:, 0] - (y - y_mean) / y_scale
-            loss, delta = 0.5 * (error**2).sum(), error[:, None]
-        else:
-            out -= out.max(1, keepdims=True)
-            p = np.exp(out)
-            p /= p.sum(1, keepdims=True)
-            code = y.astype(int)
-            loss = -np.log(np.maximum(p[np.arange(len(y)), code], 1e-15)).sum()
-            delta = p
-            delta[np.arange(len(y)), code] -= 1.0
+            return 0.5 * (error**2).sum(), error[:, None]
+        out -= out.max(1, keepdims=True)
+        p = np.exp(out)
+        p /= p.sum(1, keepdims=True)
+        code = y.astype(int)
+        loss = -np.log(np.maximum(p[np.arange(len(y)), code], 1e-15)).sum()
+        p[np.arange(len(y)), code] -= 1.0
+        return loss, p
+
+    def step(state, keys, labels, column, valid):
+        gate, head, bias, centre, spread = shared.value
+        whole = (matrix.batch_matrix(column, d) - centre) / spread
+        held = valid.to_numpy(zero_copy_only=False).astype(bool)
+        target = labels.to_numpy(zero_copy_only=False)
+        checked, _ = errors(whole[held] * gate, target[held], head, bias)
+        x, y = whole[~held], target[~held]
+        noise = row_noise(seed, epoch, keys.to_numpy(zero_copy_only=False)[~held], d) if sigma else np.zeros_like(x)
+        gated = x * gate + sigma * (1.0 - np.abs(gate)) * noise
+        loss, delta = errors(gated, y, head, bias)
         through = delta @ head.T
         g_gate = (through * (x - sigma * np.sign(gate) * noise)).sum(0)
-        # One row per feature: gate gradient, then head gradients; the last row holds the totals.
-        total = np.zeros((d + 1, 1 + outputs))
-        total[:d, 0], total[:d, 1:] = g_gate, gated.T @ delta
-        total[d, 0], total[d, 1:] = loss, delta.sum(0)
-        count = np.zeros((d + 1, 1))
-        count[d, 0] = len(y)
-        total = np.hstack([total, count])
+        # One row per feature: gate gradient, then head gradients; the last two rows hold the totals.
+        total = np.zeros((d + 2, 2 + outputs))
+        total[:d, 0], total[:d, 1:-1] = g_gate, gated.T @ delta
+        total[d, 0], total[d, 1:-1], total[d, -1] = loss, delta.sum(0), len(y)
+        total[d + 1, 0], total[d + 1, -1] = checked, held.sum()
         return total if state is None else state + total
 
     blocks = matrix.add_blocks(
-        matrix.partial_blocks(rows, ["row_id", "label", "features"], step, lambda s: matrix._pieces(s, False))
+        matrix.partial_blocks(rows, ["_key", "label", "features", "valid"], step, lambda s: matrix._pieces(s, False))
     )
-    total = matrix.collect_blocks(blocks, d + 1, outputs + 2)
+    total = matrix.collect_blocks(blocks, d + 2, outputs + 2)
     shared.unpersist()
-    n = total[d, -1]
-    return total[d, 0] / n, n, {"gate": total[:d, 0] / n, "head": total[:d, 1:-1] / n, "bias": total[d, 1:-1] / n}
+    n, held = total[d, -1], total[d + 1, -1]
+    slopes = {"gate": total[:d, 0] / n, "head": total[:d, 1:-1] / n, "bias": total[d, 1:-1] / n}
+    return total[d, 0] / n, n, slopes, total[d + 1, 0] / held if held else None
 
 
 class GateSelector(ScoreSelector):
@@ -127,20 +155,30 @@ class GateSelector(ScoreSelector):
             "bias": np.zeros(outputs),
         }
         adam = Adam(self.get("lr"), {n: v.shape for n, v in values.items()})
-        rows = df.select("row_id", label.alias("label"), "features").persist()
+        parts = training_parts(df.select("row_id", "label", "features"), self.get("seed"), not regression)
+        keyed = df.select("row_id", F.xxhash64("row_id").alias("_key"), label.alias("label"), "features")
+        rows = keyed.join(parts, "row_id").persist()
         self.losses: list[float] = []
+        self.val_losses: list[float | None] = []
+        best = (np.inf, values["gate"])
         try:
-            for epoch in range(self.get("epochs")):
-                loss, _, gradients = gradient_pass(
+            for epoch in range(self.get("epochs") + 1):  # the last pass only checks the last gate
+                loss, _, gradients, checked = gradient_pass(
                     rows, d, outputs, values, k, self.get("sigma"), self.get("seed"), epoch, regression,
                     mean, scale, centre, spread or 1.0,
                 )
+                if checked is None or epoch and checked < best[0]:
+                    best = (np.inf if checked is None else checked, values["gate"])
+                if epoch == self.get("epochs"):
+                    self.val_losses.append(checked)
+                    break
                 gradients["gate"] = projection_gradient(values["gate"], k, gradients["gate"])
                 adam.step(values, gradients)
                 self.losses.append(loss)
+                self.val_losses.append(checked)
         finally:
             rows.unpersist()
-        weights = projected(values["gate"], k)
+        weights = projected(best[1], k)
         return self._from_scores(df.sparkSession, [(i, float(w)) for i, w in enumerate(weights)])
 
     def choose(self, scores):

@@ -144,6 +144,9 @@ def _fold_of(key: Column, tie: Column, steps: list) -> Column:
     return expr.cast("int")
 
 
+CHUNKS_SENT = 1_000_000  # chunk numbers broadcast at most
+
+
 def chunk_table(df: DataFrame, k: int, seed: int = 0, label: str | None = None) -> DataFrame:
     """``(row_id, label, chunk)`` with the block layout of :func:`kfold`, for any number of chunks.
 
