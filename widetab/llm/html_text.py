@@ -476,8 +476,8 @@ class _Writer:
         return self.element(("menu", "navbar", "nav", "main-nav", "site-navigation", "breadcrumb", "topbar"), ("nav", "nav", "div", "section"), self.links(self.draw.randint(2, 8)))
 
     def header(self) -> str:
-        title = self.pick("<h1>{}</h1>", "<div>{}</div>", "<p>{}</p>", "<a href='/'>{}</a>", "{}").format(self.words(1, 4))
-        inner = title + self.pick("", f"<p>{self.words(2, 8)}</p>", f'<p class="tagline">{self.sentences(1, 1)}</p>') + self.pick("", self.menu())
+        title = self.pick("<h1>{}</h1>", "<h1>{}</h1>", "<h1><a href='/'>{}</a></h1>", "<div>{}</div>", "<p>{}</p>", "<a href='/'>{}</a>", "{}").format(self.words(1, 4))
+        inner = title + self.pick("", "", f"<p>{self.words(2, 8)}</p>", f'<p class="tagline">{self.sentences(1, 1)}</p>') + self.pick("", self.menu())
         return self.element(("header", "site-header", "masthead", "top", "page-head", "logo"), ("header", "header", "div"), inner)
 
     def advert(self) -> str:
@@ -559,7 +559,7 @@ class _Writer:
             inner += re.sub(r"^<(\w+)", r"<\1 data-rest", self.comments())
         wrap = self.draw.random()
         if wrap < 0.1:  # straight into the body
-            return "".join(re.sub(r"^<(\w+)(?! data-)", r"<\1 data-main", b) for b in [title, *blocks])
+            return "".join(re.sub(r"^<(\w+)(?! data-)", r"<\1 data-main", b) for b in [re.sub("</?header>", "", title), *blocks])
         if wrap < 0.5:
             return f"<article data-main{self.pick('', '', ' class=post')}>{inner}</article>"
         if wrap < 0.62:
