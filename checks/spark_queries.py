@@ -513,8 +513,7 @@ def dropped_columns(spark, folder):
 
 @query
 def category_to_string(spark, folder):
-    df = read(spark, folder, "part")
-    return df.select("p_partkey", F.col("p_size").cast("string").alias("p_size"), F.col("p_brand").cast("string").alias("p_brand"))
+    return layout.as_text(read(spark, folder, "part").select("p_partkey", "p_size", "p_brand"), ["p_size", "p_brand"])
 
 
 @query

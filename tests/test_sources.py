@@ -193,3 +193,12 @@ def test_fitted_models_run_on_a_stream(spark, tmp_path, planted):
         assert back.count() == total and back.select(F.size("features")).distinct().collect()[0][0] == 4
         if total == 120:
             df.join(spark.read.parquet(source).select("row_id"), "row_id", "left_anti").write.mode("append").parquet(source)
+
+
+def test_malformed_rows_are_counted(spark, tmp_path):
+    (tmp_path / "a_results.csv").write_text("method,log_loss\nm,0.5\nm,0.5,7\nm\n")
+    (tmp_path / "b_results.csv").write_text("method,log_loss\nm,0.25\n")
+    (tmp_path / "c_results.csv").write_text("method,log_loss\n")
+    (tmp_path / "d_results.csv").write_text("log_loss,log_loss\n1,2\n")
+    found = {r["file"]: (r["n_rows"], r["n_malformed"]) for r in results.malformed_rows(results.scan_rows(spark, str(tmp_path))).collect()}
+    assert found == {"a_results.csv": (3, 2), "d_results.csv": (1, 1)}

@@ -43,6 +43,13 @@ def columns_by_type(df: DataFrame, kind: str) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds[kind])]
 
 
+def as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Category columns as plain strings: the named ones, or all CHAR and VARCHAR columns. Missing values stay missing."""
+    bounded = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.CharType, T.VarcharType))]
+    chosen = set(columns) if columns is not None else set(bounded)
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
+
+
 def number(name: str, dtype: T.DataType) -> Column:
     """A column as DOUBLE with NaN turned into NULL, so that averages skip it."""
     value = F.col(f"`{name}`").cast("double")

@@ -61,7 +61,10 @@ def whole_files(spark: SparkSession, root: str, pattern: str, recursive: bool) -
 
 
 def scan_rows(spark: SparkSession, root: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """``(path, file, fields MAP<STRING,STRING>)``: every data row of every CSV file below ``root``.
+    """``(path, file, header, fields MAP<STRING,STRING>, malformed)``: every data row of every CSV file below ``root``.
+
+    A row with another number of cells than its header, or below a header with repeated names, has no fields and is
+    marked; :func:`malformed_rows` counts them.
 
     Files may have different headers, which a multi-file CSV read does not support: it takes the first
     header for all. A result file has one row per fold, so it is read as one value and split in place.
@@ -77,14 +80,23 @@ def scan_rows(spark: SparkSession, root: str, pattern: str = "*.csv", recursive:
     fits = F.size(cells) == F.size("header")
     fields = F.when(fits, F.map_from_arrays(F.array_distinct("header"), cells))
     safe = F.when(F.size(F.array_distinct("header")) == F.size("header"), fields)
-    return rows.select("path", "file", "header", safe.alias("fields"))
+    return rows.select("path", "file", "header", safe.alias("fields"), (F.col("line").isNotNull() & safe.isNull()).alias("malformed"))
+
+
+def malformed_rows(rows: DataFrame) -> DataFrame:
+    """``(path, file, n_rows, n_malformed)`` of scanned rows: files from which rows are left out, and how many."""
+    counts = rows.groupBy("path", "file").agg(
+        F.count_if(F.col("malformed") | F.col("fields").isNotNull()).alias("n_rows"), F.count_if("malformed").alias("n_malformed")
+    )
+    return counts.filter(F.col("n_malformed") > 0)
 
 
 def load_results(spark: SparkSession, root: str, requested_columns: Sequence[str] = ()) -> DataFrame:
     """Result rows of all files below ``root`` with the metric found in their header.
 
     Columns: ``path, dataset_name, method, model, repeat, fold, <requested>, metric, score, val_score``.
-    The metric is the first of log_loss, roc_auc, rmse that a file has; files without one are left out.
+    The metric is the first of log_loss, roc_auc, rmse that a file has; files without one are left out, and so are
+    malformed rows.
     """
     rows = scan_rows(spark, root)
     metric = F.coalesce(*[F.when(F.array_contains("header", m), m) for m in RESULT_METRICS])
