@@ -27,6 +27,7 @@ ROWS_PER_BUCKET = 1_000_000
 LOCAL_COUNTS = 200_000
 MAX_GROUPS = 100_000
 MAX_CUTOFFS = 100_000
+MAX_RANGES = 256
 
 
 def _bucket(key: Column, bits: int) -> Column:
@@ -174,15 +175,21 @@ def range_of(value: Column, points: Sequence) -> Column:
     return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= value))
 
 
+def range_count(rows: int, rows_per_bucket: int) -> int:
+    """Partitions for ranges of about ``rows_per_bucket`` rows; more than ``MAX_RANGES`` only if ranges would exceed ``ROWS_PER_BUCKET``."""
+    return max(1, min(-(-rows // rows_per_bucket), max(MAX_RANGES, -(-rows // ROWS_PER_BUCKET))))
+
+
 def running_totals(df: DataFrame, order: str, values: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``<value>_before``: the exclusive prefix sum of each value in ascending ``order``.
 
     ``order`` must be distinct (aggregate ties first). The rows are range-partitioned, sorted inside the partitions and
     stored; one total per partition tells what lies before it, and a second pass streams through the partitions and
-    adds up. There may be any number of partitions.
+    adds up. Small ranges are joined up to ``MAX_RANGES`` partitions: beyond that their number only grows with the rows that
+    a task can sort, not with ``rows_per_bucket``, for every partition is a task and a stored file.
     """
     spark = df.sparkSession
-    parts = max(1, -(-df.count() // rows_per_bucket))
+    parts = range_count(df.count(), rows_per_bucket)
     placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     stored = cut_lineage(placed)
     totals = stored.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values]).orderBy("_p").collect()
