@@ -20,19 +20,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from widetab.functions import vectors
-from widetab.functions.rng import hash52, uniform
+from widetab.functions.rng import HASH_BITS, hash52, uniform
 from widetab.operators import matrix
-from widetab.operators.layout import to_long
+from widetab.operators.layout import known_width, to_long
 from widetab.operators.target import TargetEncoder, TargetStatistics
 from widetab.session import cut_lineage, task_count
 
 UNIT = 1 << 24  # gradients and hessians are integers in this unit
 BLOCK_CELLS = 1 << 18  # histogram cells of one feature block
 PASS_CELLS = 1 << 25  # histogram cells a task holds at a time; more are added up in further scans
+AT_ONCE = 1 << 12  # rows whose quantiles are aggregated at once
+MOST_PIVOTS, PIVOT_CELLS = 2048, 1 << 22  # per feature, and of all features
+STORED_ROWS = 1 << 20  # distinct rows of a stored partition
+EXACT_ROWS = 1 << 28  # rows of a batch, copies counted, whose sums of slopes are exact as doubles
 REFRESH = 16  # rounds after which the margins of all rows are stored
 LEVEL_SCHEMA = "model int, block int, cells array<long>, counts array<long>, gains array<double>"
 
@@ -123,7 +127,7 @@ def partial_histograms(rows: DataFrame, growing: list[Growth], d: int, bins: int
             table = np.frombuffer(batch.column(0).buffers()[2], np.uint8)
             start = np.frombuffer(batch.column(0).buffers()[1], np.int32)[batch.column(0).offset]
             table = table[start:start + n * d].reshape(n, d)
-            y, fold, valid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            y, fold, valid, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 5))
             margins = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1, classes)
             for g, recent, size in new:
                 own = np.flatnonzero(fold != g.index)
@@ -134,7 +138,8 @@ def partial_histograms(rows: DataFrame, growing: list[Growth], d: int, bins: int
                 if held_out and not g.nodes:
                     checked = valid[own]
                     loss = losses(margin[checked], target[checked])
-                    spent[g.index] += (int(np.rint(np.minimum(loss, 1e6) * UNIT).astype(np.int64).sum()), len(loss))
+                    times = copies[own][checked]
+                    spent[g.index] += (int((np.rint(np.minimum(loss, 1e6) * UNIT).astype(np.int64) * times).sum()), int(times.sum()))
                 use = ~valid[own]
                 slot = np.zeros(len(own), np.int64)
                 if g.nodes:
@@ -147,11 +152,16 @@ def partial_histograms(rows: DataFrame, growing: list[Growth], d: int, bins: int
                 if not len(use):
                     continue
                 steep, curved = slopes(margin[use], target[use])
+                times = copies[own][use]
+                exact = int(times.sum()) < EXACT_ROWS
                 where = ((slot[use][:, None] * (last - first) + np.arange(last - first)) * bins + x[use, first:last]).ravel()
                 cells = sums[g.index].reshape(-1, channels)
                 for c in range(channels):
-                    weight = None if c == channels - 1 else np.repeat((steep if c < classes else curved)[:, c % classes], last - first)
-                    cells[:, c] += np.bincount(where, weight, len(cells)).astype(np.int64)
+                    weight = times if c == channels - 1 else (steep if c < classes else curved)[:, c % classes] * times
+                    if exact:
+                        cells[:, c] += np.bincount(where, np.repeat(weight, last - first), len(cells)).astype(np.int64)
+                    else:
+                        np.add.at(cells[:, c], where, np.repeat(weight, last - first))
         for g, _, size in new:
             for at in range(first, last, per_block):
                 part = sums[g.index][:, at - first:min(at + per_block, last) - first]
@@ -234,26 +244,121 @@ def level_results(partials: DataFrame, above: DataFrame | None, growing: list[Gr
 
 
 def cut_points(df: DataFrame, bins: int, sample_rows: int, seed: int) -> list[np.ndarray]:
-    """At most ``bins - 1`` cuts per feature: exact quantiles of the rows with the smallest hashes.
+    """At most ``bins - 1`` cuts per feature: exact quantiles of all rows.
 
-    ``sample_rows`` bounds the rows that are looked at; a table with fewer is looked at as a whole. Only the cuts depend
-    on it: all rows are binned and learned from.
+    A small table is aggregated at once. Of a larger one at most about ``sample_rows`` rows, drawn by hash, give pivots only:
+    a scan counts the values between and on the pivots, which tells where every wanted rank lies, and a second one gathers
+    the few ranges between pivots that hold such a rank. The cuts do not depend on the rows drawn.
     """
-    key = hash52(seed, "cuts", F.col("row_id"))
-    rows = df.select("row_id", "features", key.alias("_key")).orderBy("_key", "row_id").limit(sample_rows)
-    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = to_long(rows, ()).groupBy("feature_idx").agg(F.expr("1").alias("_one"), F.percentile("value", shares).alias("cuts"), F.max("value").alias("top")).collect()
-    cuts = [np.zeros(0)] * len(found)
+    n = df.count()
+    if not n:
+        return []
+    if n <= min(sample_rows, AT_ONCE):
+        shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+        return [points[points < top] for points, top in _per_feature(df, F.percentile("value", shares))]
+    drawn = df.filter(hash52(seed, "cuts", F.col("row_id")) < F.lit(int(min(sample_rows / n, 1.0) * (1 << HASH_BITS))))
+    d = known_width(df)
+    count = min(MOST_PIVOTS, max(4 * bins, PIVOT_CELLS // max(d, 1)))
+    found = _per_feature(drawn, F.expr(f"percentile_approx(value, array({', '.join(f'{i / count!r}D' for i in range(count + 1))}))"))
+    pivots = [points for points, _ in found] + [np.zeros(0)] * (d - len(found))
+    cells, tops = _count_between(df, pivots)
+    return [points[points < top] for points, top in zip(_at_ranks(df, pivots, cells, [i / bins for i in range(1, bins)]), tops)]
+
+
+def _per_feature(df: DataFrame, points) -> list[tuple[np.ndarray, float]]:
+    """Per feature the distinct values of an aggregate of its cells, and its largest value."""
+    found = to_long(df, ()).groupBy("feature_idx").agg(F.expr("1").alias("_one"), points.alias("points"), F.max("value").alias("top")).collect()
+    out = [(np.zeros(0), 0.0)] * len(found)
     for r in found:
-        points = np.unique(np.array(r["cuts"], float))
-        cuts[r["feature_idx"]] = points[points < r["top"]]
-    return cuts
+        out[r["feature_idx"]] = np.unique(np.array(r["points"], float)), r["top"]
+    return out
+
+
+def _places(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Twice the number of points below every value, and one more for a value that is a point."""
+    return np.searchsorted(points, x, side="left") + np.searchsorted(points, x, side="right")
+
+
+def _count_between(df: DataFrame, pivots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per feature the numbers of values before, on and between its pivots, and its largest value."""
+    d, starts = len(pivots), np.concatenate([[0], np.cumsum([2 * len(p) + 1 for p in pivots])])
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, top = np.zeros(starts[-1], np.int64), np.full(d, -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix.batch_matrix(batch.column(0), d)
+            top = np.maximum(top, x.max(axis=0))
+            for j, points in enumerate(shared.value):
+                cells[starts[j]:starts[j + 1]] += np.bincount(_places(x[:, j], points), minlength=2 * len(points) + 1)
+        seen = np.flatnonzero(cells)
+        at = np.concatenate([seen, -1 - np.arange(d)])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([cells[seen], np.zeros(d, np.int64)])), pa.array(np.concatenate([np.full(len(seen), -np.inf), top]))], names=["at", "n", "top"])
+
+    partial = df.select("features").coalesce(task_count(df.sparkSession)).mapInArrow(count, "at bigint, n bigint, top double")
+    table = partial.groupBy("at").agg(F.sum("n").alias("n"), F.max("top").alias("top")).toPandas()
+    counts, tops = np.zeros(starts[-1], np.int64), np.zeros(d)
+    counted = table["at"] >= 0
+    counts[table["at"][counted]] = table["n"][counted]
+    tops[-1 - table["at"][~counted].to_numpy()] = table["top"][~counted]
+    return [counts[a:b] for a, b in zip(starts[:-1], starts[1:])], tops
+
+
+def _at_ranks(df: DataFrame, pivots: list[np.ndarray], cells: list[np.ndarray], shares: list[float]) -> list[np.ndarray]:
+    """Per feature its distinct percentiles, from the counts between its pivots and the values next to the wanted ranks."""
+    d, starts = len(pivots), np.concatenate([[0], np.cumsum([2 * len(p) + 1 for p in pivots])])
+    known, open_ = {}, set()
+    for j in range(d):
+        ends = np.cumsum(cells[j])
+        for share in shares:
+            position = share * float(ends[-1] - 1)
+            for rank in {math.floor(position), math.ceil(position)}:
+                place = int(np.searchsorted(ends, rank, side="right"))
+                if place % 2:
+                    known[j, rank] = float(pivots[j][place // 2])
+                else:
+                    open_.add((j, rank, int(starts[j]) + place, rank - int(ends[place] - cells[j][place])))
+    if open_:
+        wanted = np.zeros(starts[-1], bool)
+        wanted[[at for _, _, at, _ in open_]] = True
+        shared = df.sparkSession.sparkContext.broadcast((pivots, wanted))
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            points, marked = shared.value
+            searched = np.flatnonzero([marked[a:b].any() for a, b in zip(starts[:-1], starts[1:])])
+            for batch in batches:
+                x, parts = matrix.batch_matrix(batch.column(0), d), []
+                for j in searched:
+                    at = starts[j] + _places(x[:, j], points[j])
+                    keep = np.flatnonzero(marked[at])
+                    values, first, copies = np.unique(x[keep, j], return_index=True, return_counts=True)
+                    parts.append((at[keep][first], values, copies))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*parts)], names=["at", "value", "n"])
+
+        values = df.select("features").mapInArrow(gather, "at bigint, value double, n bigint").groupBy("at", "value").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = values.withColumn("upto", F.sum("n").over(upto))
+        ranks = F.broadcast(df.sparkSession.createDataFrame(sorted(open_), "feature int, rank bigint, at bigint, inside bigint"))
+        hit = (F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n"))
+        for r in placed.join(ranks, "at").filter(hit).select("feature", "rank", "value").collect():
+            known[r["feature"], r["rank"]] = r["value"]
+    out = []
+    for j in range(d):
+        points = []
+        for share in shares:
+            position = share * float(cells[j].sum() - 1)
+            lower, higher = math.floor(position), math.ceil(position)
+            low, high = known[j, lower], known[j, higher]
+            points.append(low if low == high else (higher - position) * low + (position - lower) * high)
+        out.append(np.unique(np.array(points, float)))
+    return out
 
 
-def binned(df: DataFrame, cuts: list[np.ndarray], models: int, classes: int, base: np.ndarray) -> DataFrame:
-    """``(bins BINARY, y, fold, valid, margins)``: a byte per feature; rows at most a cut are left of it."""
+def binned(df: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``(bins BINARY, y, fold, valid)``: a byte per feature; rows at most a cut are left of it."""
     d = len(cuts)
-    schema = "bins binary, y double, fold int, valid boolean, margins array<double>"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +368,26 @@ def binned(df: DataFrame, cuts: list[np.ndarray], models: int, classes: int, bas
                 table[:, j] = np.searchsorted(points, x[:, j], side="left")
             offsets = pa.array(np.arange(0, (len(x) + 1) * d, d, dtype=np.int32)[:len(x) + 1] if d else np.zeros(len(x) + 1, np.int32))
             column = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, offsets.buffers()[1], pa.py_buffer(table.tobytes())])
-            margins = matrix.list_column(np.broadcast_to(base.ravel(), (len(x), models * classes)))
-            yield pa.RecordBatch.from_arrays([column, *batch.columns[1:], margins], names=["bins", "y", "fold", "valid", "margins"])
+            yield pa.RecordBatch.from_arrays([column, *batch.columns[1:]], names=["bins", "y", "fold", "valid"])
+
+    return df.select("features", "y", "fold", "valid").mapInArrow(code, "bins binary, y double, fold int, valid boolean")
 
-    return df.select("features", "y", "fold", "valid").mapInArrow(code, schema)
+
+def distinct_rows(coded: DataFrame, base: np.ndarray) -> DataFrame:
+    """``(bins, y, fold, valid, margins, copies)``, stored: the table that all rounds read.
+
+    Rows with equal bins, target, fold and part get equal margins and slopes in every round, and sums are integers, so
+    such rows become one with their number, and the trees stay the same. When most rows differ they are left as they are.
+    """
+    keys, sc = ["bins", "y", "fold", "valid"], coded.sparkSession.sparkContext
+    total, different = coded.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).first()
+    if 2 * different <= total:
+        rows = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).repartition(max(task_count(coded.sparkSession), different // STORED_ROWS))
+    else:
+        rows = coded.withColumn("copies", F.lit(1).cast("bigint"))
+        if coded.rdd.getNumPartitions() < sc.defaultParallelism:
+            rows = rows.repartition(sc.defaultParallelism)  # a small file would keep one task busy
+    return cut_lineage(rows.select(*keys, vectors.array_literal(base.ravel()).alias("margins"), "copies"))
 
 
 def stored_margins(rows: DataFrame, growing: list[Growth], d: int, classes: int) -> DataFrame:
@@ -282,7 +403,7 @@ def stored_margins(rows: DataFrame, growing: list[Growth], d: int, classes: int)
             for index, trees in new:
                 for tree in trees:
                     margins[:, index] += tree.value[tree.nodes(table)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], matrix.list_column(margins.reshape(n, -1))], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], matrix.list_column(margins.reshape(n, -1)), batch.column(5)], names=batch.schema.names)
 
     out = cut_lineage(rows.mapInArrow(update, rows.schema))
     for g in growing:
@@ -341,10 +462,7 @@ class HistogramBoosting:
         if not cuts:
             raise ValueError("the table has no rows")
         scaled = table.withColumn("y", (F.col("y") - F.lit(centre)) / F.lit(scale)) if self.classes == 1 else table
-        coded = binned(scaled, cuts, len(models), self.classes, base)
-        if scaled.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-            coded = coded.repartition(df.sparkSession.sparkContext.defaultParallelism)  # a small file would keep one task busy
-        rows = cut_lineage(coded)
+        rows = distinct_rows(binned(scaled, cuts), base)
         growing = [Growth(m, base[m], None if allowed is None else np.isin(np.arange(len(cuts)), allowed[m])) for m in models]
         active = list(growing)
         for done in range(self.rounds):
