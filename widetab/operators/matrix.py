@@ -24,6 +24,7 @@ BLOCK = 512
 PAIRS_PER_PASS = 64  # block pairs a task accumulates at a time: 128 MB
 BLOCK_SCHEMA = "bi int, bj int, n_rows int, n_cols int, cells array<double>"
 MAX_BROADCAST_BYTES = 256 << 20
+KERNEL_CELLS = 1 << 20  # kernel values a task computes at a time: 8 MB
 GRAM_LIMIT = 4096  # widest covariance matrix decomposed on the driver: 128 MB
 FOLD_BYTES = 512 << 20  # all fold matrices together
 
@@ -292,7 +293,15 @@ def _project_slice(df, matrix, offset, source, name, d):
 def kernel_rows(x: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarray:
     """RBF kernel of a batch of rows against the landmarks."""
     squares = (x * x).sum(1)[:, None] + (landmarks * landmarks).sum(1)[None, :] - 2.0 * (x @ landmarks.T)
-    return np.exp(-gamma * np.maximum(squares, 0.0))
+    np.maximum(squares, 0.0, out=squares)
+    squares *= -gamma
+    return np.exp(squares, out=squares)
+
+
+def row_pieces(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows whose kernel with ``width`` landmarks has at most ``KERNEL_CELLS`` cells."""
+    step = max(1, KERNEL_CELLS // max(width, 1))
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
 
 def kernel_project(df: DataFrame, landmarks: np.ndarray, gamma: float, components: np.ndarray, offset: np.ndarray, out: str = "features") -> DataFrame:
@@ -308,8 +317,11 @@ def kernel_project(df: DataFrame, landmarks: np.ndarray, gamma: float, component
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, weights, minus = shared.value
         for batch in batches:
-            result = kernel_rows(batch_matrix(batch.column(source), d), z, gamma) @ weights - minus
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in order], list_column(result)], names=names)
+            x = batch_matrix(batch.column(source), d)
+            for piece in row_pieces(len(x), max(m, weights.shape[1])):
+                result = kernel_rows(x[piece], z, gamma) @ weights - minus
+                own = batch.slice(piece.start, piece.stop - piece.start)
+                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in order], list_column(result)], names=names)
 
     fields = [df.schema[c] for c in names[:-1]]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])

@@ -18,6 +18,8 @@ from widetab.operators.select import KBestSelector
 from widetab.operators.ward import ward_clusters
 from widetab.functions.naming import split_budget
 
+BLOCK_WIDTH = 64  # directions that one pass over the rows of a very wide table multiplies
+BLOCK_CELLS = 1 << 23  # cells of a wider block than the axes ask for
 RESIDUAL = 1e-6  # largest residual of a principal axis, as a share of the largest variance
 
 
@@ -62,12 +64,13 @@ def block_lanczos(df: DataFrame, d: int, n: int, means: np.ndarray, k: int, seed
     """Leading eigenvectors of the covariance without forming it: a Krylov space of blocks with thick restarts.
 
     Every pass over the rows multiplies one block of directions. The best axes of the space spanned so far are found on
-    the driver with their residuals; the residuals of the axes that are not good enough yet are the next block. When the
-    space has grown to three times the axes wanted it is replaced by the best ones (Wu and Simon 2000). The driver holds
-    that many columns twice. It ends when all residuals are within ``tol`` of the largest eigenvalue, or when the space
+    the driver with their residuals; what the image of the last block has outside that space is the next block, and it
+    holds the residuals of all axes. Blocks are wide, also for few axes: reading the rows costs more than multiplying them,
+    and a wide block spares passes. When the space has grown to three times the axes wanted and a block it is replaced by
+    the best ones (Wu and Simon 2000). The driver holds that many columns twice. It ends when all residuals are within ``tol`` of the largest eigenvalue, or when the space
     cannot grow any more, and raises an error when ``max_passes`` do not suffice.
     """
-    block = min(block or max(8, min(k, 64)), d)
+    block = min(block or max(8, min(k, BLOCK_WIDTH), min(BLOCK_WIDTH, BLOCK_CELLS // d)), d)
     kept_size = min(d, k + block)
     largest = min(d, 3 * kept_size)
     rng = np.random.Generator(np.random.Philox(key=seed))
@@ -86,10 +89,10 @@ def block_lanczos(df: DataFrame, d: int, n: int, means: np.ndarray, k: int, seed
         bound = tol * max(values[0], 1e-300)
         if len(values) >= k and (sizes <= bound).all():
             break
+        spanned, outside = basis, image[:, -fresh.shape[1]:]
         if basis.shape[1] + block > largest:
             basis, image = basis @ turn[:, :kept_size], image @ turn[:, :kept_size]
-        open_ = np.flatnonzero(sizes > bound)[:block] if len(values) >= k else np.arange(min(wanted, block))
-        fresh = rest[:, open_] / np.maximum(sizes[open_], 1e-300)
+        fresh = new_directions(spanned, outside / max(np.linalg.norm(outside), 1e-300))
         if fresh.shape[1] < block:  # as many random directions as are missing, so that the space can reach what it has not seen
             fresh = np.hstack([fresh, rng.standard_normal((d, block - fresh.shape[1]))])
         fresh = new_directions(basis, fresh)
@@ -246,15 +249,18 @@ def kernel_landmarks(df: DataFrame, gamma: float, share: float, least: int = 1,
             total = np.zeros(m + 3)  # rows, residuals, squared lengths, coordinates
             best: list = []
             for batch in batches:
-                x = matrix.batch_matrix(batch.column(1), d)
-                own = matrix.kernel_rows(x, points, gamma) @ whiten if m else np.zeros((len(x), 0))
-                residual = np.round(1.0 - (own * own).sum(axis=1), 12)
-                total += np.concatenate([[len(x), residual.sum(), (own * own).sum()], own.sum(axis=0)])
+                x, parts = matrix.batch_matrix(batch.column(1), d), []
+                for piece in matrix.row_pieces(len(x), m):
+                    own = matrix.kernel_rows(x[piece], points, gamma) @ whiten if m else np.zeros((piece.stop - piece.start, 0))
+                    length = np.einsum("ij,ij->i", own, own)
+                    parts.append(np.round(1.0 - length, 12))
+                    total += np.concatenate([[len(own), parts[-1].sum(), length.sum()], own.sum(axis=0)])
+                residual = np.concatenate(parts) if parts else np.zeros(0)
                 keys = batch.column(2).to_pylist()
                 ids = batch.column(0).to_pylist()
                 top = np.argsort(-residual, kind="stable")
                 top = top[residual[top] >= residual[top[min(candidates, len(top)) - 1]]] if len(top) else top
-                best += [(-residual[i], keys[i], ids[i], x[i]) for i in top]
+                best += [(-residual[i], keys[i], ids[i], x[i].copy()) for i in top]
                 best = sorted(best, key=lambda r: r[:3])[:candidates]
             lists = [[r[i] for r in best] for i in range(3)]
             yield pa.RecordBatch.from_arrays(
