@@ -24,7 +24,7 @@ BLOCK = 512
 PAIRS_PER_PASS = 64  # block pairs a task accumulates at a time: 128 MB
 BLOCK_SCHEMA = "bi int, bj int, n_rows int, n_cols int, cells array<double>"
 MAX_BROADCAST_BYTES = 256 << 20
-KERNEL_CELLS = 1 << 20  # kernel values a task computes at a time: 8 MB
+KERNEL_CELLS = 1 << 20  # kernel values or centred cells a task computes at a time: 8 MB
 GRAM_LIMIT = 4096  # widest covariance matrix decomposed on the driver: 128 MB
 FOLD_BYTES = 512 << 20  # all fold matrices together
 
@@ -140,18 +140,20 @@ def gram_blocks(df: DataFrame, d: int, shift: np.ndarray | float = 0.0, features
 
     def one_pass(chosen: list[tuple[int, int]]) -> DataFrame:
         def step(state, column, groups=None):
-            x = batch_matrix(column, d) - moved.value
+            rows = batch_matrix(column, d)
             state = {} if state is None else state
-            labels = np.zeros(len(x), dtype=int) if groups is None else groups.to_numpy(zero_copy_only=False)
-            for g in np.unique(labels):
-                part = x if groups is None else x[labels == g]
-                for i, j in chosen:
-                    product = part[:, i : i + BLOCK].T @ part[:, j : j + BLOCK]
-                    key = (int(g) * blocks + i // BLOCK, j // BLOCK)
-                    if key in state:
-                        state[key] += product
-                    else:
-                        state[key] = product
+            all_labels = np.zeros(len(rows), dtype=int) if groups is None else groups.to_numpy(zero_copy_only=False)
+            for piece in row_pieces(len(rows), d):
+                x, labels = rows[piece] - moved.value, all_labels[piece]
+                for g in np.unique(labels):
+                    part = x if groups is None else x[labels == g]
+                    for i, j in chosen:
+                        product = part[:, i : i + BLOCK].T @ part[:, j : j + BLOCK]
+                        key = (int(g) * blocks + i // BLOCK, j // BLOCK)
+                        if key in state:
+                            state[key] += product
+                        else:
+                            state[key] = product
             return state
 
         def finish(state):
@@ -299,7 +301,7 @@ def kernel_rows(x: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarra
 
 
 def row_pieces(rows: int, width: int) -> Iterator[slice]:
-    """Slices of rows whose kernel with ``width`` landmarks has at most ``KERNEL_CELLS`` cells."""
+    """Slices of rows that have at most ``KERNEL_CELLS`` cells in all, ``width`` in each."""
     step = max(1, KERNEL_CELLS // max(width, 1))
     return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
@@ -342,9 +344,15 @@ def normal_equations_pass(df: DataFrame, q: np.ndarray, means: np.ndarray, featu
 
     def step(state, column):
         basis, centre = shared.value
-        x = batch_matrix(column, d) - centre
-        product = x.T @ (x @ basis)
-        return product if state is None else state + product
+        rows = batch_matrix(column, d)
+        for piece in row_pieces(len(rows), d):
+            x = rows[piece] - centre
+            product = x.T @ (x @ basis)
+            if state is None:
+                state = product
+            else:
+                state += product
+        return state
 
     blocks = add_blocks(partial_blocks(df, [features], step, lambda s: _pieces(s, symmetric=False)))
     return collect_blocks(blocks, d, l)
