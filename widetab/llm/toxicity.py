@@ -1,16 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors, queries in batches.
 
 Fitting uses a bounded sample of at most about ``EXAMPLES`` labelled rows, drawn by hash. Terms are words (runs of
 letters, digits and anything beyond ASCII, A-Z lower-cased). All terms of the indexed examples are kept; their inverse
 document frequencies come from all documents, and count 1 + log(1 + chi-square) times, with the chi-square of term and
 label among the indexed examples. Words of no indexed example have no weight.
 
-Three quarters of the sample are indexed: sorted by their heaviest term and cut into blocks of ``BLOCK`` examples. The
-``FREQUENT`` most frequent terms are held as a matrix, with the largest weight of every such term in every block, all
-others as postings. A query adds up its postings, and bounds what the frequent terms can add to an example by the block's
-maxima and by the lengths of both vectors. The ``FIRST`` examples by bound are scored, then all whose bound reaches their
-k-th best cosine, so the k neighbours are exact. Neighbours vote with weights that grow as their distance shrinks. The
-last quarter of the sample calibrates votes to probabilities by a monotone fit. Texts without any indexed term get the
+Three quarters of the sample are indexed. The ``FREQUENT`` most frequent terms are held as a matrix, all others as postings.
+``QUERIES`` texts at a time are multiplied with the whole matrix in single precision; each adds its postings. Examples
+whose sum, ``SLACK`` allowed for rounding, reaches the k-th best are scored again in double precision, so the k neighbours
+are exact. Neighbours vote with weights that grow as their distance shrinks. The last quarter of the sample calibrates votes to probabilities by a monotone fit. Texts without any indexed term get the
 share of toxic examples among such texts.
 """
 
@@ -25,8 +23,9 @@ from pyspark.sql import functions as F
 from widetab.llm import textops
 from widetab.llm.frames import batch, documents, schema_of
 
-EXAMPLES, BLOCK, K = 16_000, 64, 15
-FREQUENT, FIRST = 256, 64
+EXAMPLES, K = 16_000, 15
+FREQUENT, QUERIES = 256, 64
+SLACK = 1e-4  # single precision is off by at most 256 * 2^-23 for vectors no longer than 1
 CUT = 0.7  # predicted from this score on
 EVIDENCE = 3
 
@@ -130,11 +129,10 @@ def weighted(hashes, bounds, lookup: textops.Lookup, idf: np.ndarray):
 
 
 class Index:
-    """Examples in blocks: a matrix of the frequent terms with their largest weight per block, and postings of the others."""
+    """Examples: a matrix of the frequent terms and postings of the others."""
 
     def __init__(self, ids, toxic, vectors, n_terms: int):
         filled = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        filled.sort(key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], ids[i]))
         self.ids, self.toxic = np.array([ids[i] for i in filled], np.int64), np.array([toxic[i] for i in filled], bool)
         empty = [toxic[i] for i, (t, _) in enumerate(vectors) if not len(t)]
         self.prior = (sum(empty) + 0.5 * (self.toxic.mean() if len(filled) else 0.5)) / (len(empty) + 0.5)
@@ -147,32 +145,37 @@ class Index:
         self.full = np.zeros((len(filled), len(frequent)), weight.dtype)
         own = self.place[term] >= 0
         self.full[rows[own], self.place[term[own]]] = weight[own]
-        self.length = np.sqrt(np.square(self.full, dtype=np.float64).sum(axis=1))
-        self.blocks = -(-len(filled) // BLOCK)
-        self.most = np.zeros((len(frequent), self.blocks), weight.dtype)
-        for b in range(self.blocks):
-            self.most[:, b] = self.full[b * BLOCK:(b + 1) * BLOCK].max(axis=0)
         rows, term, weight = rows[~own], term[~own], weight[~own]
         order = np.lexsort((rows, term))
         self.rows, self.weights = rows[order].astype(np.min_scalar_type(len(filled))), weight[order]
         self.cuts = np.searchsorted(term[order], np.arange(n_terms + 1))
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine above 0 and these, ties by id. Examples that cannot matter are not scored."""
-        place = self.place[terms]
-        query = np.zeros(self.full.shape[1])
-        query[place[place >= 0]] = weights[place >= 0]
-        rare, rare_weights = terms[place < 0], weights[place < 0]
+        """The k examples with the largest cosine above 0 and these, ties by id."""
+        return next(self.nearest_all([(terms, weights)], k))
+
+    def nearest_all(self, vectors, k: int = K):
+        """The nearest examples of every vector, in order."""
+        for start in range(0, len(vectors), QUERIES):
+            group = vectors[start:start + QUERIES]
+            queries = np.zeros((len(group), self.full.shape[1]))
+            for query, (terms, weights) in zip(queries, group):
+                place = self.place[terms]
+                query[place[place >= 0]] = weights[place >= 0]
+            for query, (terms, weights), frequent in zip(queries, group, queries.astype(np.float32) @ self.full.T.astype(np.float32, copy=False)):
+                yield self._best(query, terms, weights, frequent, k)
+
+    def _best(self, query, terms, weights, frequent, k):
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        other = self.place[terms] < 0
+        rare, rare_weights = terms[other], weights[other]
         start, size = self.cuts[rare], self.cuts[rare + 1] - self.cuts[rare]
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         total = np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(rare_weights, size), minlength=len(self.ids))
-        block = np.repeat(query @ self.most, BLOCK)[:len(total)]
-        bound = (total + np.minimum(block, np.sqrt(query @ query) * self.length)) * (1 + 1e-9)
-        least = 0.0
-        if len(total) > max(FIRST, k):
-            first = np.argpartition(-bound, max(FIRST, k))[:max(FIRST, k)]
-            least = np.partition(total[first] + self.full[first] @ query, -k)[-k]
-        row = np.flatnonzero((bound > 0) & (bound >= least - 1e-11))
+        about = total + frequent
+        least = np.partition(about, -k)[-k] - SLACK if len(about) > k else -1.0
+        row = np.flatnonzero((about > -SLACK) & (about >= least))
         cosine = total[row] + self.full[row] @ query
         order = np.lexsort((self.ids[row], -np.round(cosine, 12)))
         order = order[cosine[order] > 0][:k]
@@ -217,8 +220,7 @@ class Model:
         """Per text: score, vote (NaN without indexed terms), ids and cosines of the nearest examples."""
         out = []
         for hashes, bounds, _ in _terms(column):
-            for terms, weights in weighted(hashes, bounds, self.lookup, self.idf):
-                rows, cosine = self.index.nearest(terms, weights) if len(terms) and self.index.blocks else ((), ())
+            for rows, cosine in self.index.nearest_all(weighted(hashes, bounds, self.lookup, self.idf)):
                 if not len(rows):
                     out.append((self.index.prior, None, [], []))
                     continue
@@ -262,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     held = held.astype(bool)
     index = Index(*unpack(~held), len(idf))
     votes, toxic = [], []
-    for _, t, (terms, weights) in zip(*unpack(held)):
-        near, cosine = index.nearest(terms, weights) if len(terms) and index.blocks else ((), ())
+    _, marks, vectors = unpack(held)
+    for t, (near, cosine) in zip(marks, index.nearest_all(vectors)):
         if len(near):
             votes.append(index.vote(near, cosine))
             toxic.append(t)
