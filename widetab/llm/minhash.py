@@ -238,7 +238,10 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = labels.select("node", F.coalesce("p", "component").alias("component"))
         edges = edges.join(parents.withColumnsRenamed({"p": "pu"}), "u").join(parents.withColumnsRenamed({"u": "v", "p": "pv"}), "v")
         edges = cut_lineage(edges.filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-    return cut_lineage(labels)
+        labels = cut_lineage(labels)  # or each step would plan all steps before it again
+        del parents, jumped, up, both
+        release(labels.sparkSession)
+    return labels
 
 
 def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -263,6 +266,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
+        del now, degree  # plans of many joins
+        release(docs.sparkSession)
         found = cut_lineage(confirm_pairs(pairs, sets))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
@@ -272,7 +277,6 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         else:
             labels = join_components(labels, found)
         round_ += 1
-        del now, degree
         release(docs.sparkSession)
 
 
