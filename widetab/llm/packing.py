@@ -26,7 +26,8 @@ CAPACITY = 4096
 END = 1  # the id after each document
 GROUP = 16384  # full sequences per group
 CACHED_WORDS = 1_000_000  # the table of known words is emptied beyond
-TEXT_CHUNK = 1 << 22
+TEXT_CHUNK = 1 << 20  # bytes of text whose hashes and ids are in memory at a time
+NEW_WORDS = 1 << 13  # words the tokenizer gets at a time; its answer takes about a kilobyte for each
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, fill long"
@@ -61,8 +62,8 @@ class WordTokens:
         self.reset()
 
     def reset(self):
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         """Words of letters that need no cleaning go to the merges in the vocabulary's spelling of bytes."""
@@ -72,15 +73,21 @@ class WordTokens:
         long = iter(self.whole.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
         return [next(short if p else long).ids for p in plain]
 
-    def _learn(self, keys: np.ndarray, words: list[str]):
-        found = self._encode(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        numbers = np.concatenate([self.numbers, np.arange(len(self.sizes), len(self.sizes) + len(keys))])
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Add the words at these places, ``NEW_WORDS`` of them at a time; ``keys`` are sorted."""
+        sizes, ids = [], []
+        for i in range(0, len(keys), NEW_WORDS):
+            places = zip(starts[i:i + NEW_WORDS].tolist(), ends[i:i + NEW_WORDS].tolist())
+            found = self._encode([data[x:y].tobytes().lower().decode() for x, y in places])
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        sizes = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.ids = np.concatenate([self.ids, *ids])
+        numbers = np.concatenate([self.numbers, np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32)])
         self.sizes = np.concatenate([self.sizes, sizes])
         keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # two sorted runs, which it merges
         self.keys, self.numbers = keys[order], numbers[order]
 
     def _units(self, data: np.ndarray, offsets: np.ndarray):
@@ -108,9 +115,7 @@ class WordTokens:
         near = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[near] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            raw = data.tobytes()
-            spans = zip(a[first[new]].tolist(), b[first[new]].tolist())
-            self._learn(distinct[new], [raw[x:y].lower().decode() for x, y in spans])
+            self._learn(distinct[new], data, a[first[new]], b[first[new]])
             near = np.searchsorted(self.keys, distinct)
         number = self.numbers[near][back]
         sizes = self.sizes[number]
