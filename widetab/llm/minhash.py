@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widetab.llm import textops
-from widetab.llm.frames import batch, cut_lineage, documents, release, schema_of
+from widetab.llm.frames import batch, cut_lineage, documents, release, schema_of, scratch
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 EMPTY = np.uint64(2**64 - 1)
@@ -221,27 +221,28 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     Every step hooks each component onto its smallest neighbour and then shortens the chains by jumping, so a star is
     joined in one step and a path in a logarithmic number of steps.
     """
+    spark = labels.sparkSession
     name = labels.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     edges = links.join(name.withColumnsRenamed({"x": "a", "cx": "ca"}), "a").join(name.withColumnsRenamed({"x": "b", "cx": "cb"}), "b")
-    edges = cut_lineage(edges.filter("ca <> cb").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct())
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parents = cut_lineage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        while True:
-            up = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = cut_lineage(parents.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("q"), "p"))
-            done = jumped.filter("q <> p").isEmpty()
-            parents = jumped.select("u", F.col("q").alias("p"))
-            if done:
-                break
-        labels = labels.join(parents.withColumnRenamed("u", "component"), "component", "left")
-        labels = labels.select("node", F.coalesce("p", "component").alias("component"))
-        edges = edges.join(parents.withColumnsRenamed({"p": "pu"}), "u").join(parents.withColumnsRenamed({"u": "v", "p": "pv"}), "v")
-        edges = cut_lineage(edges.filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        labels = cut_lineage(labels)  # or each step would plan all steps before it again
-        del parents, jumped, up, both
-        release(labels.sparkSession)
-    return labels
+    with scratch(spark) as store:
+        edges = store(edges.filter("ca <> cb").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct())
+        while not edges.isEmpty():
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            parents = store(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
+            while True:
+                up = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+                jumped = store(parents.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("q"), "p"))
+                done = jumped.filter("q <> p").isEmpty()
+                parents = jumped.select("u", F.col("q").alias("p"))
+                if done:
+                    break
+            labels = labels.join(parents.withColumnRenamed("u", "component"), "component", "left")
+            labels = store(labels.select("node", F.coalesce("p", "component").alias("component")))  # or each step would plan all steps before it again
+            edges = edges.join(parents.withColumnsRenamed({"p": "pu"}), "u").join(parents.withColumnsRenamed({"u": "v", "p": "pv"}), "v")
+            edges = store(edges.filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+            del parents, jumped, up, both
+            release(spark)
+        return cut_lineage(labels)
 
 
 def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -256,28 +257,29 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     tested = links = None
     round_ = 0
-    while True:
-        degree = None
-        if links is not None:
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        now = members.join(labels.join(sketches, "node"), "node")
-        now = now.join(degree, "node", "left").fillna(0, ["links"]) if degree is not None else now.withColumn("links", F.lit(0))
-        pairs = _stars(now, round_)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        del now, degree  # plans of many joins
-        release(docs.sparkSession)
-        found = cut_lineage(confirm_pairs(pairs, sets))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            if round_:
-                return labels
-        else:
-            labels = join_components(labels, found)
-        round_ += 1
-        release(docs.sparkSession)
+    with scratch(docs.sparkSession) as store:
+        while True:
+            degree = None
+            if links is not None:
+                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+            now = members.join(labels.join(sketches, "node"), "node")
+            now = now.join(degree, "node", "left").fillna(0, ["links"]) if degree is not None else now.withColumn("links", F.lit(0))
+            pairs = _stars(now, round_)
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = store(pairs)
+            del now, degree  # plans of many joins
+            release(docs.sparkSession)
+            found = cut_lineage(confirm_pairs(pairs, sets))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = found if links is None else links.unionByName(found)
+            if found.isEmpty():
+                if round_:
+                    return labels
+            else:
+                labels = join_components(labels, found)
+            round_ += 1
+            release(docs.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
